@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import monoid_bpe, rule_ledger, url_rules
+from . import chat_template, chunk_store, monoid_bpe, rule_ledger, url_rules
 from .common import Query
 
 QUERIES: dict[str, Query] = {
+    "op2_chunk_store": chunk_store.query,
     "op5_url_rules": url_rules.query,
     "op7_rule_ledger": rule_ledger.query,
+    "op9_chat_template": chat_template.query,
     "op10_monoid_bpe": monoid_bpe.query,
 }
 
 ORACLES: dict[str, str] = {
     "op5_url_rules": url_rules.ORACLE,
     "op7_rule_ledger": rule_ledger.ORACLE,
+    "op9_chat_template": chat_template.ORACLE,
 }
