@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_template, chunk_store, monoid_bpe, rule_ledger, url_rules
+from . import chat_template, chunk_store, monoid_bpe, positional_index, rule_ledger, url_rules
 from .common import Query
 
 QUERIES: dict[str, Query] = {
     "op2_chunk_store": chunk_store.query,
+    "op3_positional_index": positional_index.query,
     "op5_url_rules": url_rules.query,
     "op7_rule_ledger": rule_ledger.query,
     "op9_chat_template": chat_template.query,
@@ -14,6 +15,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_positional_index": positional_index.ORACLE,
     "op5_url_rules": url_rules.ORACLE,
     "op7_rule_ledger": rule_ledger.ORACLE,
     "op9_chat_template": chat_template.ORACLE,
