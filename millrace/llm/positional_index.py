@@ -13,7 +13,8 @@ first list.  What is left after the last list is an exact phrase match: all of a
 window's words stand at their places, so no text is read again.  A document's
 lists lie in one segment, hence intersecting needs no shuffle; only hits are
 shuffled, to be merged per document.  Test windows are broadcast in blocks of at
-most ``BLOCK_WINDOWS``, so that a benchmark of any size is matched in rounds.
+most ``BLOCK_WINDOWS``, so that a benchmark of any size is matched in rounds; what is broadcast (a block's terms, windows and owners) is
+bounded by that figure.
 
 ``proximity`` finds the places where an item's rarest terms stand close together.
 
@@ -40,6 +41,7 @@ WINDOW_WORDS = 10
 SEGMENT_WORDS = 1_000_000
 GAP = 1_000
 BLOCK_WINDOWS = 200_000
+MAX_ITEM_WORDS = 1 << 30
 #: Bytes other than those of words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` become spaces, A-Z become a-z.
 WORD_BYTES = bytes(
     b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
@@ -62,7 +64,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """The segments of ``docs`` (doc_id, text); write them before use."""
     ship(docs.sparkSession)
     key = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row_nos array<long>, doc_ids array<{key}>, starts array<int>, sizes array<int>, terms array<string>, counts array<int>, steps array<int>"
+    schema = f"row_nos array<long>, doc_ids array<{key}>, starts array<int>, sizes array<int>, terms array<string>, counts array<int>, steps binary"
     names = ["row_nos", "doc_ids", "starts", "sizes", "terms", "counts", "steps"]
 
     def one(values: pa.Array) -> pa.Array:
@@ -83,8 +85,8 @@ def build_index(docs: DataFrame) -> DataFrame:
             head = steps[firsts]
             steps[1:] -= steps[:-1].copy()  # differences compress better than positions
             steps[firsts] = head
-            columns = [pa.array(rows, pa.int64()), pa.array(keys, key_type), pa.array(starts, pa.int32()), pa.array(n, pa.int32()), pa.array([t.decode() for t in numbers], pa.string()), pa.array(counts), pa.array(steps)]
-            return pa.RecordBatch.from_arrays(list(map(one, columns)), names)
+            columns = [pa.array(rows, pa.int64()), pa.array(keys, key_type), pa.array(starts, pa.int32()), pa.array(n, pa.int32()), pa.array([t.decode() for t in numbers], pa.string()), pa.array(counts)]
+            return pa.RecordBatch.from_arrays([*map(one, columns), pa.array([steps.tobytes()], pa.binary())], names)
 
         for batch in batches:
             key_type = batch.column(1).type
@@ -115,7 +117,7 @@ def term_counts(index: DataFrame, terms: list[str]) -> dict[str, int]:
     """Occurrences in the whole index of the given terms (a benchmark's, one block at a time)."""
     wanted = index.sparkSession.createDataFrame([(t,) for t in terms], "term string")
     found = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
-    return {r["term"]: r["n"] for r in found.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    return {r["term"]: r["n"] for r in found.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
 def item_windows(text: str | None, size: int = WINDOW_WORDS) -> set[tuple[str, ...]]:
@@ -177,9 +179,9 @@ def _search(index: DataFrame, plan: list, find) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                rows, starts, terms, counts, steps = (batch.column(i)[k].values for i in range(5))
+                rows, starts, terms, counts = (batch.column(i)[k].values for i in range(4))
                 rows, starts = rows.to_numpy(), starts.to_numpy()
-                lists = Lists(terms.to_pylist(), counts.to_numpy(), steps.to_numpy())
+                lists = Lists(terms.to_pylist(), counts.to_numpy(), np.frombuffer(batch.column(4)[k].as_buffer(), np.int32))
                 found = list(find(lists, sent.value))
                 if found:
                     at = np.concatenate([f[1] for f in found])
@@ -204,12 +206,14 @@ def _find_phrases(lists: Lists, plan: list) -> Iterator[tuple[int, np.ndarray, i
 def _blocks(items: DataFrame, size: int) -> Iterator[dict[tuple[str, ...], list]]:
     """Distinct windows with their item_ids, in blocks; the items stream through the driver."""
     block: dict[tuple[str, ...], list] = defaultdict(list)
+    held = 0
     for row in items.select("item_id", "text").toLocalIterator(prefetchPartitions=True):
         for window in item_windows(row["text"], size):
             block[window].append(row["item_id"])
-        if len(block) >= BLOCK_WINDOWS:
+            held += 1
+        if held >= BLOCK_WINDOWS:
             yield block
-            block = defaultdict(list)
+            block, held = defaultdict(list), 0
     if block:
         yield block
 
@@ -229,7 +233,7 @@ def phrase_matches(index: DataFrame, items: DataFrame, size: int = WINDOW_WORDS)
                 owners += [(number, i) for i in ids]
         plan = sorted(by_anchor.items())
         owner = spark.createDataFrame(owners, f"what long, item_id {key}")
-        found = _search(index, plan, _find_phrases).join(owner, "what").drop("what")
+        found = _search(index, plan, _find_phrases).join(F.broadcast(owner), "what").drop("what")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], f"row_no long, item_id {key}, start long, length long")
@@ -249,23 +253,23 @@ def proximity_matches(index: DataFrame, items: DataFrame, n_terms: int = 3, slop
                 yield number, at, 1
 
     out = None
-    for block in _blocks(items, 1 << 30):
+    for block in _blocks(items, MAX_ITEM_WORDS):
         counts = term_counts(index, sorted({t for w in block for t in w}))
         plan, owners = [], []
         for number, (words, ids) in enumerate(sorted(block.items())):
             terms = sorted(set(words), key=lambda t: (counts.get(t, 0), t))[:n_terms]
             plan.append((number, terms))
             owners += [(number, i) for i in ids]
-        found = _search(index, plan, find).join(spark.createDataFrame(owners, f"what long, item_id {key}"), "what").drop("what")
+        found = _search(index, plan, find).join(F.broadcast(spark.createDataFrame(owners, f"what long, item_id {key}")), "what").drop("what")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], f"row_no long, item_id {key}, start long, length long")
     return out.select("row_no", "item_id", "start")
 
 
-def contamination(index: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
-    """row_no, doc_id, n_words, n_hit, item_ids for every indexed document."""
-    hits = phrase_matches(index, items, size)
+def contamination(index: DataFrame, items: DataFrame, scratch: Scratch, size: int = WINDOW_WORDS) -> DataFrame:
+    """row_no, doc_id, n_words, n_hit, item_ids for every indexed document; the hits are written once."""
+    hits = scratch.table(phrase_matches(index, items, size), "hits")
     end = F.col("start") + F.col("length")
     before = Window.partitionBy("row_no").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
     spans = hits.select("row_no", "start", "length").distinct().withColumn("covered", F.coalesce(F.max(end).over(before), F.lit(0)))
@@ -278,7 +282,7 @@ def contamination(index: DataFrame, items: DataFrame, size: int = WINDOW_WORDS)
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "positional-index")
     index = scratch.table(build_index(read(spark, sf_dir, "documents")), "segments")
-    found = contamination(index, read(spark, sf_dir, "benchmark"))
+    found = contamination(index, read(spark, sf_dir, "benchmark"), scratch)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
