@@ -33,7 +33,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,24 +42,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import LongType
 
-from .common import Scratch, evict, read, ship
+from .common import Scratch, read, ship, write
 from .monoid_bpe import load_vocabulary
 
 #: Chunks have this many ids at least and at most, and about MASK + 1 more than the least on average.
 MIN_IDS, MAX_IDS, MASK = 64, 1024, 0xFF
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 700_000
 #: Characters of texts that are split by the standard library before the tokenizer sees each piece.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 BEYOND = re.compile("[^\t-\r -~\xa1-\xff]")
+ANY_WORD = re.compile(r"[^\t-\r ]+")
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9²³¹¼-¾]|[^\t-\r {LETTERS}0-9²³¹¼-¾]+")
 
 
 class WordCodec(dict):
-    """Pieces to ids by the tokenizers library; a bounded cache of what it has seen.
+    """Words to packed ids by the tokenizers library; a bounded cache of what it has seen.
 
     The tokenizer drops white space and encodes each match of its pattern on its
-    own, so a text's ids are those of its pieces, one after another.  Texts with
-    characters beyond Latin-1 are parted at white space only.
+    own, so a text's ids are those of its words, and a word's those of its
+    pieces, one after another.  Texts with characters beyond Latin-1 are parted at
+    white space only.  A full cache takes no more words: the frequent come early.
     """
 
     def __init__(self, data: bytes):
@@ -71,16 +72,24 @@ class WordCodec(dict):
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.tokenizer.encode_special_tokens = True
 
-    def __missing__(self, piece: str) -> list[int]:
-        evict(self, CACHE_ENTRIES)
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        pieces = re.findall(r"[^\t-\r ]+", text) if BEYOND.search(text) else PIECES.findall(text.lower())
-        return list(chain.from_iterable(map(self.__getitem__, pieces)))
+    def __missing__(self, word: str) -> bytes:
+        pieces = PIECES.findall(word)
+        if len(pieces) == 1 and word.isascii() and word.islower():  # one match, and bytes stand for themselves
+            found = np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
+        elif len(pieces) < 2 or BEYOND.search(word):
+            found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            found = b"".join(map(self.__getitem__, pieces))
+        if len(self) < CACHE_ENTRIES and len(word) <= 64:
+            self[word] = found
+        return found
+
+    def encode(self, text: str) -> np.ndarray:
+        if BEYOND.search(text):
+            words = [w if BEYOND.search(w) else w.lower() for w in ANY_WORD.findall(text)]
+        else:
+            words = text.lower().split()
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
 
 
 _CODECS: dict[str, WordCodec] = {}
@@ -188,32 +197,41 @@ def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFram
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(load_vocabulary(tokenizer_path))
 
+    def nested(sizes: list[int], **columns: pa.Array) -> pa.Array:
+        """A list of structs per document from flat columns."""
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, met = word_codec(vocabulary.value), {}
-        piece = pa.list_(pa.struct([("key", pa.binary()), ("n", pa.int32())]))
-        fresh_type = pa.list_(pa.struct([("key", pa.binary()), ("data", pa.binary())]))
+        own, met = word_codec(vocabulary.value), set()
+        end = np.array([end_id], "<u4")
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                sizes, roots, recipes, fresh = [], [], [], []
+                sizes, roots, n_chunks, n_fresh = [], [], [], []
+                keys, lengths, new_keys, new_data = [], [], [], []
                 for x in batch.column(2):
-                    ids = np.array([*own.encode(x.as_py() or ""), end_id], np.uint32)
-                    recipe, new, start = [], [], 0
-                    for end in cut_points(ids):
-                        data = pack(ids[start:end])
+                    ids = np.concatenate([own.encode(x.as_py() or ""), end])
+                    ends, start, before, fresh = cut_points(ids), 0, len(keys), len(new_keys)
+                    for stop in ends:
+                        data = pack(ids[start:stop])
                         key = hashlib.sha256(data).digest()
-                        recipe.append({"key": key, "n": end - start})
+                        keys.append(key)
+                        lengths.append(stop - start)
                         if key not in met:
-                            evict(met, CACHE_ENTRIES)
-                            met[key] = True
-                            new.append({"key": key, "data": data})
-                        start = end
+                            if len(met) < CACHE_ENTRIES:
+                                met.add(key)
+                            new_keys.append(key)
+                            new_data.append(data)
+                        start = stop
                     sizes.append(len(ids))
-                    roots.append(merkle([r["key"] for r in recipe]))
-                    recipes.append(recipe)
-                    fresh.append(new)
+                    roots.append(merkle(keys[before:]))
+                    n_chunks.append(len(ends))
+                    n_fresh.append(len(new_keys) - fresh)
+                recipe = nested(n_chunks, key=pa.array(keys, pa.binary()), n=pa.array(lengths, pa.int32()))
+                fresh_chunks = nested(n_fresh, key=pa.array(new_keys, pa.binary()), data=pa.array(new_data, pa.binary()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(roots, pa.binary()), pa.array(recipes, piece), pa.array(fresh, fresh_type)],
+                    [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(roots, pa.binary()), recipe, fresh_chunks],
                     ["row_no", "doc_id", "n_tokens", "root", "recipe", "fresh"],
                 )
 
@@ -311,13 +329,13 @@ def write_store(docs: DataFrame, root: str, tokenizer_path: str, end_id: int, sc
     ship(spark)
     encoded = scratch.table(encode_chunks(docs, tokenizer_path, end_id), "encoded")
     chunks = encoded.select(F.explode("fresh").alias("f")).select("f.key", "f.data").groupBy("key").agg(F.first("data").alias("data"))
-    chunks.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/chunks")
+    write(chunks, f"{root}/chunks")
     ordered = encoded.select("row_no", "doc_id", "n_tokens", "root", "recipe").repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root", "row_no")
     numbered = ordered.withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id())
-    numbered.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/recipes")
+    write(numbered, f"{root}/recipes")
     recipes = spark.read.parquet(f"{root}/recipes")
-    parts_of(recipes).coalesce(1).write.mode("overwrite").parquet(f"{root}/parts")
-    manifest_of(spark.read.parquet(f"{root}/parts")).coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest")
+    write(parts_of(recipes).coalesce(1), f"{root}/parts")
+    write(manifest_of(spark.read.parquet(f"{root}/parts")).coalesce(1), f"{root}/manifest")
     scratch.drop("encoded")
     return ChunkStore(spark, root)
 

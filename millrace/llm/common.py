@@ -46,6 +46,21 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_LOCAL_ROOT[app]}"
 
 
+#: Lets Spark delete the shuffle files of an execution once its output is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str, codec: str = "zstd") -> None:
+    """Write a Parquet table; the shuffles behind it are not kept, as readers start from the files."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
 class Scratch:
     """A folder of intermediate tables, removed when the application ends or on drop()."""
 
@@ -60,7 +75,7 @@ class Scratch:
     def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write ``df`` and return it as read back, so later work starts from files."""
         schema = df.schema
-        df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+        write(df, self.path(name), codec)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:
