@@ -133,8 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable, per_class: int = MAX_PER_CLA
     return train([(x.values.to_numpy(), label) for x, label in zip(at, y)])
 
 
-def score_documents(docs: DataFrame, weights: Weights) -> DataFrame:
-    """All columns of ``docs`` (with text) and ``score``."""
+def score_documents(docs: DataFrame, weights: Weights, column: str = "score") -> DataFrame:
+    """All columns of ``docs`` (with text) and the score."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -148,7 +148,7 @@ def score_documents(docs: DataFrame, weights: Weights) -> DataFrame:
                 sums.append(w[np.unique(at[w[at] != 0])].sum(dtype=np.float64))
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(sums, np.float64) + bias, -30, 30))))
 
-    return docs.withColumn("score", score("text"))
+    return docs.withColumn(column, score("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,8 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable, per_class: int = MAX_PER_CLA
     return fit_model([(np.array(r["ids"], np.int64), np.array(r["counts"], np.int64), r["y"]) for r in rows])
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` (with text) and ``score``."""
+def score_documents(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """All columns of ``docs`` (with text) and the score."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -189,7 +189,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                 found.append(sent.value.score([features(t, terms) for t in texts.iloc[at : at + BLOCK]]))
             yield pd.Series(np.concatenate(found) if found else np.zeros(0))
 
-    return docs.withColumn("score", score("text"))
+    return docs.withColumn(column, score("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat_template, chunk_store, ftrl_toxicity, knn_quality, monoid_bpe, positional_index, rule_ledger, url_rules
+from . import bigru_langid, chat_template, chunk_store, ftrl_toxicity, knn_quality, monoid_bpe, positional_index, prefix_tree_join, rule_ledger, url_rules
 from .common import Query
 
 QUERIES: dict[str, Query] = {
     "op1_knn_quality": knn_quality.query,
     "op2_chunk_store": chunk_store.query,
     "op3_positional_index": positional_index.query,
+    "op4_prefix_tree_join": prefix_tree_join.query,
     "op5_url_rules": url_rules.query,
     "op6_ftrl_toxicity": ftrl_toxicity.query,
     "op7_rule_ledger": rule_ledger.query,
+    "op8_bigru_langid": bigru_langid.query,
     "op9_chat_template": chat_template.query,
     "op10_monoid_bpe": monoid_bpe.query,
 }
