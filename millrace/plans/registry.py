@@ -1,10 +1,6 @@
 """The catalogue engine's queries and their SQL oracles."""
 
-from __future__ import annotations
+from . import feeds, identities, stats, streams, texts  # noqa: F401  (each registers its queries)
+from .base import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
