@@ -15,12 +15,14 @@ prefixes.  The steps:
    much of the prefix are verified, and verified links are contracted to
    components.  A large group of near copies so costs as many pairs as it has
    members.
-4. Groups that still span several components are searched for the rest: their
-   prefixes go into a prefix tree, which is traversed once per member outside the
-   largest component.  Subtrees share the overlap counted on their path and are
-   pruned when what remains of both sets can't reach the needed overlap, and
-   pairs that share an earlier shingle are left to that shingle's group.  Groups
-   over ``GROUP`` members are dealt out as pairs of blocks.
+4. Groups that still span several components, among sets of near sizes, are
+   searched for the rest: the members' prefixes go into a prefix tree, which is
+   traversed once per member outside the largest component.  Subtrees share the
+   overlap counted on their path and are pruned when what remains of both sets
+   can't reach the needed overlap, and pairs that share an earlier shingle are
+   left to that shingle's group.  Only shingles that other prefixes hold too are
+   sent, with their places.  Groups over ``GROUP`` members are dealt out as pairs
+   of blocks.
 5. What passes is verified on whole texts, and components are formed from all
    links.
 
@@ -37,6 +39,7 @@ rows; other columns are ignored.  Shingles are compared by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,34 +162,45 @@ def document_sets(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndar
 
 
 class Member:
-    """A class within the group of shingle t: its prefix before and after t."""
+    """A class within the group of shingle t: those of its prefix codes that other classes hold too.
 
-    __slots__ = ("cid", "comp", "size", "side", "before", "after")
+    ``place`` of a code counts all prefix codes before it, held by others or not;
+    the prefix has ``length`` codes and ends with ``last``.
+    """
 
-    def __init__(self, cid: int, comp: int, size: int, side: int, prefix: list[int], t: int):
-        at = prefix.index(t)
-        self.cid, self.comp, self.size, self.side = cid, comp, size, side
-        self.before, self.after = prefix[:at], prefix[at + 1 :]
+    __slots__ = ("cid", "comp", "size", "side", "band", "length", "last", "before", "after", "places", "place")
+
+    def __init__(self, cid: int, comp: int, size: int, side: int, band: int, length: int, last: int, codes: list[int], places: list[int], t: int):
+        at = codes.index(t)
+        self.cid, self.comp, self.size, self.side, self.band, self.length, self.last = cid, comp, size, side, band, length, last
+        self.before, self.after, self.place, self.places = codes[:at], codes[at + 1 :], places[at], places[at + 1 :]
+
+    def room(self, i: int) -> int:
+        """At most so many shingles stand behind the first ``i`` codes after t."""
+        return self.size - 1 - (self.places[i - 1] if i else self.place)
 
 
 class Node:
-    """An inner node of the tree, with the range of set sizes below it."""
+    """An inner node of the tree: set sizes below it, and the most that any set has left here."""
 
-    __slots__ = ("children", "ends", "least", "most")
+    __slots__ = ("children", "ends", "least", "most", "room")
 
     def __init__(self) -> None:
         self.children: dict[int, Node | Member] = {}
         self.ends: list[Member] = []
-        self.least, self.most = 1 << 62, 0
+        self.least, self.most, self.room = 1 << 62, 0, 0
+
+    def widen(self, m: Member, depth: int) -> None:
+        self.least, self.most, self.room = min(self.least, m.size), max(self.most, m.size), max(self.room, m.room(depth))
 
 
 def plant(members: list[Member]) -> Node:
-    """The tree of the members' remaining prefixes; a path without forks is kept as its member."""
+    """The tree of the members' remaining codes; a path without forks is kept as its member."""
     root = Node()
     for m in members:
         node, depth = root, 0
         while True:
-            node.least, node.most = min(node.least, m.size), max(node.most, m.size)
+            node.widen(m, depth)
             if depth == len(m.after):
                 node.ends.append(m)
                 break
@@ -198,7 +212,7 @@ def plant(members: list[Member]) -> Node:
                 break
             if isinstance(below, Member):  # the path forks: the sitting member goes one level down
                 fork = node.children[code] = Node()
-                fork.least = fork.most = below.size
+                fork.widen(below, depth)
                 if depth == len(below.after):
                     fork.ends.append(below)
                 else:
@@ -209,12 +223,11 @@ def plant(members: list[Member]) -> Node:
 
 
 def tail_fits(x: Member, y: Member, i: int, j: int, shared: int, num: int, den: int) -> bool:
-    """Whether x and y can reach the needed overlap, prefixes compared from i and j on."""
+    """Whether x and y can reach the needed overlap, codes compared from i and j on."""
     a, b = x.after, y.after
     need = needed(x.size, y.size, num, den)
-    passed_x, passed_y = len(x.before) + 1, len(y.before) + 1
     while i < len(a) and j < len(b):
-        if shared + min(x.size - passed_x - i, y.size - passed_y - j) < need:
+        if shared + min(x.room(i), y.room(j)) < need:
             return False
         if a[i] == b[j]:
             shared += 1
@@ -224,20 +237,38 @@ def tail_fits(x: Member, y: Member, i: int, j: int, shared: int, num: int, den:
             i += 1
         else:
             j += 1
-    return shared + min(x.size - passed_x - i, y.size - passed_y - j) >= need
+    # up to the end of the shorter prefix everything is known, beyond it nothing
+    known = min(x.last, y.last)
+    while i < len(a) and a[i] <= known:
+        i += 1
+    while j < len(b) and b[j] <= known:
+        j += 1
+    left_x = x.size - x.length if x.last == known else x.room(i)
+    left_y = y.size - y.length if y.last == known else y.room(j)
+    return shared + min(left_x, left_y) >= need
+
+
+def leaves(below: Node | Member) -> Iterator[Member]:
+    """All members of a subtree."""
+    stack = [below]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, Member):
+            yield node
+        else:
+            yield from node.ends
+            stack.extend(node.children.values())
 
 
 def traverse(root: Node, x: Member, num: int, den: int) -> Iterator[Member]:
     """Members of other components whose prefixes leave x within reach."""
-    a, passed = x.after, len(x.before) + 1
+    a = x.after
     stack: list[tuple[Node, int, int, int]] = [(root, 0, 0, 1)]
     while stack:
         node, i, depth, shared = stack.pop()
-        most = min(node.most, den * x.size // num)
         if num * x.size > den * node.most or num * node.least > den * x.size:
             continue  # sizes alone are too far apart
-        left = min(x.size - passed - i, most - 1 - depth)
-        if shared + left < needed(x.size, max(node.least, -(-num * x.size // den)), num, den):
+        if shared + min(x.room(i), node.room) < needed(x.size, max(node.least, -(-num * x.size // den)), num, den):
             continue
         for y in node.ends:
             if y.comp != x.comp and tail_fits(x, y, i, depth, shared, num, den):
@@ -249,13 +280,17 @@ def traverse(root: Node, x: Member, num: int, den: int) -> Iterator[Member]:
             if isinstance(below, Member):
                 if below.comp != x.comp and num * x.size <= den * below.size and num * below.size <= den * x.size and tail_fits(x, below, i, depth, shared, num, den):
                     yield below
-            elif k < len(a) and a[k] == code:
+            elif k == len(a):  # x's prefix ends here; what x holds beyond it may still match
+                for y in leaves(below):
+                    if y.comp != x.comp and tail_fits(x, y, k, depth, shared, num, den):
+                        yield y
+            elif a[k] == code:
                 stack.append((below, k + 1, depth + 1, shared + 1))
             else:
                 stack.append((below, k, depth + 1, shared))
 
 
-def group_pairs(members: list[Member], two_sides: bool, num: int, den: int) -> Iterator[tuple[int, int]]:
+def group_pairs(members: list[Member], band: int, two_sides: bool, num: int, den: int) -> Iterator[tuple[int, int]]:
     """Pairs of one group (or pair of blocks) that need verifying."""
     count: dict[int, int] = {}
     for m in members:
@@ -271,6 +306,8 @@ def group_pairs(members: list[Member], two_sides: bool, num: int, den: int) -> I
         for y in traverse(root, x, num, den):
             if y.comp != largest and x.cid < y.cid:
                 continue  # found from the other end
+            if max(x.band, y.band) != band:
+                continue  # the next band's group sees to it
             if two_sides and x.side == y.side:
                 continue  # the blocks' own groups see to it
             if not earlier.isdisjoint(y.before):
@@ -279,15 +316,25 @@ def group_pairs(members: list[Member], two_sides: bool, num: int, den: int) -> I
 
 
 def remaining_pairs(shared: DataFrame, classes: DataFrame, stars: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: pairs of classes in different components that share a prefix shingle and may be similar."""
-    labelled = shared.join(stars, shared["cid"] == stars["node"], "left").select("t", "cid", F.coalesce("root", "cid").alias("comp"))
-    open_groups = labelled.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("t", "n")
-    rows = labelled.join(open_groups, "t").join(classes.select("cid", "size", "prefix"), "cid")
+    """a, b: pairs of classes in different components that share a prefix shingle and may be similar.
+
+    Sizes fall into bands about as wide as the similarity allows them to differ,
+    so partners are in one band or in neighbours; groups are by shingle and pair
+    of neighbouring bands.
+    """
+    wide = max(math.log(den / num), 1e-9) * (1 + 1e-6)
+    labelled = shared.join(stars, shared["cid"] == stars["node"], "left").select("t", "cid", F.coalesce("root", "cid").alias("comp"), F.floor(F.log("size") / wide).cast("int").alias("band"))
+    labelled = labelled.withColumn("g", F.explode(F.array("band", F.col("band") + 1)))
+    open_groups = labelled.groupBy("t", "g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("t", "g", "n")
+    active = shared.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("t", "place"))).alias("held"))
+    held = active.select("cid", F.col("held.t").alias("codes"), F.col("held.place").alias("places")).join(classes.select("cid", "size", "length", "last"), "cid")
+    rows = labelled.join(open_groups, ["t", "g"]).join(held, "cid")
     blocks = F.when(F.col("n") > GROUP, F.ceil(F.col("n") / BLOCK)).otherwise(F.lit(1)).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
-    rows = rows.repartition("t", "lo", "hi").sortWithinPartitions("t", "lo", "hi").select("t", "lo", "hi", "cid", "comp", "size", "side", "prefix")
+    key = ["t", "g", "lo", "hi"]
+    rows = rows.repartition(*key).sortWithinPartitions(*key).select(*key, "cid", "comp", "size", "side", "band", "length", "last", "codes", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, members, out = None, [], []
@@ -297,18 +344,19 @@ def remaining_pairs(shared: DataFrame, classes: DataFrame, stars: DataFrame, num
             out.clear()
             return done
 
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            for row, (t, lo, hi, cid, comp, size, side) in enumerate(zip(*columns)):
-                if group != (t, lo, hi):
-                    if len(members) > 1:
-                        out.extend(group_pairs(members, group[1] != group[2], num, den))
-                        if len(out) > 10_000:
-                            yield flush()
-                    group, members = (t, lo, hi), []
-                members.append(Member(cid, comp, size, side, batch.column(7)[row].values.to_pylist(), t))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                columns = [c.to_pylist() for c in whole.slice(at, 2048).columns]
+                for t, g, lo, hi, *rest in zip(*columns):
+                    if group != (t, g, lo, hi):
+                        if len(members) > 1:
+                            out.extend(group_pairs(members, group[1], group[2] != group[3], num, den))
+                            if len(out) > 10_000:
+                                yield flush()
+                        group, members = (t, g, lo, hi), []
+                    members.append(Member(*rest, t))
         if len(members) > 1:
-            out.extend(group_pairs(members, group[1] != group[2], num, den))
+            out.extend(group_pairs(members, group[1], group[2] != group[3], num, den))
         if out:
             yield flush()
 
@@ -355,15 +403,16 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, scratch: Scr
     frequent = frequent_shingles(docs, n)
     sets = scratch.table(document_sets(docs, n, num, den, frequent), "sets")
     grouped = sets.where("size > 0").groupBy("key", "size", "prefix").agg(F.min("doc_id").alias("doc_id"))
-    classes = scratch.table(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    tokens = classes.select("cid", F.explode("prefix").alias("t"))
-    groups = tokens.groupBy("t").agg(F.min("cid").alias("leader"), F.max("cid").alias("last")).where("leader <> last").drop("last")
+    lengths = grouped.withColumn("length", F.size("prefix")).withColumn("last", F.element_at("prefix", -1))
+    classes = scratch.table(lengths.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    tokens = classes.select("cid", "size", F.posexplode("prefix").alias("place", "t"))
+    groups = tokens.groupBy("t").agg(F.min("cid").alias("leader"), F.max("cid").alias("final")).where("leader <> final").drop("final")
     shared = scratch.table(tokens.join(groups, "t"), "shared")
     agreeing = shared.where("cid <> leader").groupBy("leader", "cid").agg(F.count("*").alias("n"))
-    near = agreeing.join(classes.select("cid", F.size("prefix").alias("length")), "cid").where("4 * n >= length")
+    near = agreeing.join(classes.select("cid", "length"), "cid").where("4 * n >= length")
     links = verified(near.select(F.col("leader").alias("a"), F.col("cid").alias("b")), classes, docs, n, num, den, scratch, "stars")
     stars = components(links, scratch, "first")
-    more = verified(remaining_pairs(shared.select("t", "cid"), classes, stars, num, den), classes, docs, n, num, den, scratch, "rest")
+    more = verified(remaining_pairs(shared.drop("leader"), classes, stars, num, den), classes, docs, n, num, den, scratch, "rest")
     joined = links.unionByName(more)
     roots = components(joined, scratch, "all") if not more.isEmpty() else stars
     placed = classes.select("cid", "key", "doc_id").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
