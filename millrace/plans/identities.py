@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text
 from ..operators import identity, summaries
+from ..operators.rounds import first_by_two_keys
 from .base import Tables, query
 
 _CANON = """
@@ -122,3 +123,9 @@ SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') AS title_
 def identity_keys(t: Tables) -> DataFrame:
     n = F.col("c_name")
     return t.customer.select("c_custkey", keys.title_key(n).alias("title_key"), keys.location_key(n).alias("location_key"), keys.event_key(n).alias("event_key"))
+
+
+@query("two_key_dedup")
+def two_key_dedup(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_orderkey", (F.col("o_custkey") % 700).alias("listing"), F.concat_ws("|", F.col("o_orderkey") % 900, "o_orderstatus").alias("identity"))
+    return first_by_two_keys(rows, "o_orderkey", "listing", "identity").select("o_orderkey")

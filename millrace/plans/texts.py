@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, json, text
+from ..sources.readers import structured_postings
 from .base import NOW, Tables, query
 
 
@@ -150,3 +151,16 @@ def json_tolerant(t: Tables) -> DataFrame:
 def string_lists(t: Tables) -> DataFrame:
     said = F.when(F.col("event_id") % 2 == 0, '["a", " b", ""]').otherwise(" x ,, y z")
     return t.events.select("event_id", F.array_join(json.string_list(said), "|").alias("items"))
+
+
+@query("json_ld", "SELECT page_id, 'T' || page_id AS title, CASE WHEN page_id % 3 = 1 THEN 'Org' END AS company, CASE WHEN page_id % 3 = 0 THEN 'Clifton, NJ' END AS location FROM pages WHERE page_id % 4 <> 3")
+def json_ld(t: Tables) -> DataFrame:
+    k = F.col("page_id")
+    body = (
+        F.when(k % 4 == 3, '{"@type": "JobPosting", "title": broken')
+        .when(k % 3 == 0, F.concat(F.lit('{"@type": "JobPosting", "title": "T'), k, F.lit('", "jobLocation": {"address": {"addressLocality": "Clifton", "addressRegion": "NJ"}}}')))
+        .when(k % 3 == 1, F.concat(F.lit('[{"@type": "WebSite"}, {"@type": "JobPosting", "title": "T'), k, F.lit('", "hiringOrganization": {"name": "Org"}}]')))
+        .otherwise(F.concat(F.lit('{"@graph": [{"@type": "JobPosting", "title": "T'), k, F.lit('"}]}')))
+    )
+    html = F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"), F.coalesce("html", F.lit("")))
+    return structured_postings(t.pages.select("page_id", html.alias("html"))).select("page_id", "title", "company", "location")

@@ -113,3 +113,20 @@ def pipe_feed(text: DataFrame) -> DataFrame:
 def mail_body(encoded: Column) -> Column:
     """Text of a base64url body."""
     return F.decode(F.unbase64(F.translate(encoded, "-_", "+/")), "utf-8")
+
+
+_LD = "`@type`: string, title: string, description: string, datePosted: string, employmentType: string, url: string, hiringOrganization: struct<name: string>, jobLocation: struct<address: struct<addressLocality: string, addressRegion: string>>"
+
+
+def structured_postings(pages: DataFrame, html: str = "html") -> DataFrame:
+    """JobPosting objects of the pages' JSON-LD scripts: alone, in arrays or in an ``@graph``; malformed scripts give none."""
+    script = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
+    blocks = pages.withColumn("_block", F.explode(F.regexp_extract_all(html, F.lit(script), 1)))
+    one = f"struct<{_LD}, `@graph`: array<struct<{_LD}>>>"
+    whole = F.from_json(F.when(F.trim("_block").startswith("["), F.col("_block")).otherwise(F.concat(F.lit("["), "_block", F.lit("]"))), f"array<{one}>")
+    plain = F.transform(F.coalesce(whole, F.array().cast(f"array<{one}>")), lambda x: F.array_append(F.coalesce(x["@graph"], F.array().cast(f"array<struct<{_LD}>>")), F.struct(*[x[n].alias(n) for n in ("@type", "title", "description", "datePosted", "employmentType", "url", "hiringOrganization", "jobLocation")])))
+    found = F.filter(F.flatten(plain), lambda x: x["@type"] == "JobPosting")
+    others = [c for c in pages.columns if c != html]
+    j = blocks.select(*others, F.explode(found).alias("_j"))
+    place = F.nullif(F.concat_ws(", ", "_j.jobLocation.address.addressLocality", "_j.jobLocation.address.addressRegion"), F.lit(""))
+    return j.select(*others, "_j.title", F.col("_j.hiringOrganization.name").alias("company"), place.alias("location"), F.col("_j.employmentType").alias("employment_type"), F.col("_j.datePosted").alias("posted_text"), F.col("_j.url").alias("apply_url"), "_j.description")
