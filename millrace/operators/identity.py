@@ -21,14 +21,13 @@ def top(rows: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, num
 
 
 def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key, the least by ``order``, by an aggregate that combines before its shuffle.
+    """One row per key, the least by ``order`` (unique), by an aggregate that combines before its shuffle.
 
     Rows with a null key are all kept.
     """
-    keyed = rows.where(F.col(key).isNotNull())
-    value = F.struct(*[c for c in rows.columns if c != key])
-    kept = keyed.groupBy(key).agg(F.min_by(value, F.col(order)).alias("v")).select(key, "v.*").select(*rows.columns)
-    return kept.unionByName(rows.where(F.col(key).isNull()))
+    value = F.struct(*rows.columns)
+    alone = F.when(F.col(key).isNull(), F.col(order))
+    return rows.groupBy(F.col(key).alias("_k"), alone.alias("_alone")).agg(F.min_by(value, F.col(order)).alias("v")).select("v.*")
 
 
 def duplicate_counts(rows: DataFrame, key: str) -> DataFrame:
