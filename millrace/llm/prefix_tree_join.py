@@ -15,14 +15,15 @@ prefixes.  The steps:
    much of the prefix are verified, and verified links are contracted to
    components.  A large group of near copies so costs as many pairs as it has
    members.
-4. Groups that still span several components, among sets of near sizes, are
-   searched for the rest: the members' prefixes go into a prefix tree, which is
-   traversed once per member outside the largest component.  Subtrees share the
-   overlap counted on their path and are pruned when what remains of both sets
-   can't reach the needed overlap, and pairs that share an earlier shingle are
-   left to that shingle's group.  Only shingles that other prefixes hold too are
-   sent, with their places.  Groups over ``GROUP`` members are dealt out as pairs
-   of blocks.
+4. Groups that still span several components are searched for the rest.  In
+   groups of at most ``GROUP`` members a join on the shingle, under bounds on size
+   and place, names each class's possible partners; their prefixes go into a
+   prefix tree, which the class traverses.  Subtrees share the overlap counted on
+   their path and are pruned when what remains of both sets can't reach the
+   needed overlap.  Larger groups are such trees themselves, dealt out by size
+   and as pairs of blocks, and traversed by the members outside the largest
+   component; pairs that share an earlier shingle are left to that shingle's
+   group.  Only shingles that other prefixes hold too are sent, with their places.
 5. What passes is verified on whole texts, and components are formed from all
    links.
 
@@ -170,8 +171,11 @@ class Member:
 
     __slots__ = ("cid", "comp", "size", "side", "band", "length", "last", "before", "after", "places", "place")
 
-    def __init__(self, cid: int, comp: int, size: int, side: int, band: int, length: int, last: int, codes: list[int], places: list[int], t: int):
-        at = codes.index(t)
+    def __init__(self, cid: int, comp: int, size: int, side: int, band: int, length: int, last: int, codes: list[int], places: list[int], t: int | None):
+        if t is None:  # not in a shingle's group: nothing is behind yet
+            codes, places, at = [-1, *codes], [-1, *places], 0
+        else:
+            at = codes.index(t)
         self.cid, self.comp, self.size, self.side, self.band, self.length, self.last = cid, comp, size, side, band, length, last
         self.before, self.after, self.place, self.places = codes[:at], codes[at + 1 :], places[at], places[at + 1 :]
 
@@ -260,10 +264,10 @@ def leaves(below: Node | Member) -> Iterator[Member]:
             stack.extend(node.children.values())
 
 
-def traverse(root: Node, x: Member, num: int, den: int) -> Iterator[Member]:
-    """Members of other components whose prefixes leave x within reach."""
+def traverse(root: Node, x: Member, num: int, den: int, met: int = 1) -> Iterator[Member]:
+    """Members of other components whose prefixes leave x within reach; ``met`` shingles are known to be shared."""
     a = x.after
-    stack: list[tuple[Node, int, int, int]] = [(root, 0, 0, 1)]
+    stack: list[tuple[Node, int, int, int]] = [(root, 0, 0, met)]
     while stack:
         node, i, depth, shared = stack.pop()
         if num * x.size > den * node.most or num * node.least > den * x.size:
@@ -315,29 +319,12 @@ def group_pairs(members: list[Member], band: int, two_sides: bool, num: int, den
             yield (min(x.cid, y.cid), max(x.cid, y.cid))
 
 
-def remaining_pairs(shared: DataFrame, classes: DataFrame, stars: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: pairs of classes in different components that share a prefix shingle and may be similar.
-
-    Sizes fall into bands about as wide as the similarity allows them to differ,
-    so partners are in one band or in neighbours; groups are by shingle and pair
-    of neighbouring bands.
-    """
-    wide = max(math.log(den / num), 1e-9) * (1 + 1e-6)
-    labelled = shared.join(stars, shared["cid"] == stars["node"], "left").select("t", "cid", F.coalesce("root", "cid").alias("comp"), F.floor(F.log("size") / wide).cast("int").alias("band"))
-    labelled = labelled.withColumn("g", F.explode(F.array("band", F.col("band") + 1)))
-    open_groups = labelled.groupBy("t", "g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("t", "g", "n")
-    active = shared.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("t", "place"))).alias("held"))
-    held = active.select("cid", F.col("held.t").alias("codes"), F.col("held.place").alias("places")).join(classes.select("cid", "size", "length", "last"), "cid")
-    rows = labelled.join(open_groups, ["t", "g"]).join(held, "cid")
-    blocks = F.when(F.col("n") > GROUP, F.ceil(F.col("n") / BLOCK)).otherwise(F.lit(1)).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
-    key = ["t", "g", "lo", "hi"]
-    rows = rows.repartition(*key).sortWithinPartitions(*key).select(*key, "cid", "comp", "size", "side", "band", "length", "last", "codes", "places")
+def _streamed(rows: DataFrame, key: list[str], found) -> DataFrame:
+    """a, b: the pairs that ``found(group, rows)`` yields for the runs of equal keys; a group is held at a time."""
+    width = len(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, members, out = None, [], []
+        group, held, out = None, [], []
 
         def flush() -> pa.RecordBatch:
             done = pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
@@ -346,21 +333,79 @@ def remaining_pairs(shared: DataFrame, classes: DataFrame, stars: DataFrame, num
 
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
-                columns = [c.to_pylist() for c in whole.slice(at, 2048).columns]
-                for t, g, lo, hi, *rest in zip(*columns):
-                    if group != (t, g, lo, hi):
-                        if len(members) > 1:
-                            out.extend(group_pairs(members, group[1], group[2] != group[3], num, den))
+                for row in zip(*(c.to_pylist() for c in whole.slice(at, 2048).columns)):
+                    if group != row[:width]:
+                        if len(held) > 1:
+                            out.extend(found(group, held))
                             if len(out) > 10_000:
                                 yield flush()
-                        group, members = (t, g, lo, hi), []
-                    members.append(Member(*rest, t))
-        if len(members) > 1:
-            out.extend(group_pairs(members, group[1], group[2] != group[3], num, den))
+                        group, held = row[:width], []
+                    held.append(row[width:])
+        if len(held) > 1:
+            out.extend(found(group, held))
         if out:
             yield flush()
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def remaining_pairs(shared: DataFrame, classes: DataFrame, stars: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: pairs of classes in different components that share a prefix shingle and may be similar.
+
+    In groups of up to ``GROUP`` members an equi-join with the size and place
+    bounds finds who may be similar to whom; each class then traverses the prefix
+    tree of its possible partners.  Larger groups are searched as trees by
+    themselves: sizes fall into bands about as wide as the similarity allows them
+    to differ, so partners are in one band or in neighbours, and groups are by
+    shingle, pair of neighbouring bands and pair of blocks.
+    """
+    labelled = shared.join(stars, shared["cid"] == stars["node"], "left").select("t", "cid", "size", "place", F.coalesce("root", "cid").alias("comp"))
+    opened = labelled.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("t", "n")
+    rows = labelled.join(opened, "t")
+    active = shared.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("t", "place"))).alias("held"))
+    held = active.select("cid", F.col("held.t").alias("codes"), F.col("held.place").alias("places")).join(classes.select("cid", "size", "length", "last"), "cid")
+    return _by_class(rows.where(F.col("n") <= GROUP), held, num, den).unionByName(_by_shingle(rows.where(F.col("n") > GROUP), held, num, den)).distinct()
+
+
+def _by_class(rows: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs from groups of bounded size: each class against the tree of its possible partners."""
+    x, y = (rows.select("t", *[F.col(c).alias(f"{c}_{side}") for c in ("cid", "size", "place", "comp")]) for side in "xy")
+    need = F.expr(f"({num} * (size_x + size_y) + {num + den - 1}) div {num + den}")
+    near = (F.col("cid_x") < F.col("cid_y")) & (F.col("comp_x") != F.col("comp_y"))
+    near = near & (num * F.col("size_x") <= den * F.col("size_y")) & (num * F.col("size_y") <= den * F.col("size_x"))
+    near = near & (F.col("size_x") - F.col("place_x") >= need) & (F.col("size_y") - F.col("place_y") >= need)
+    pairs = x.join(y, "t").where(near).select(F.col("cid_x").alias("probe"), F.col("cid_y").alias("cid")).distinct()
+    partners = pairs.withColumn("spoke", F.lit(1))
+    probes = pairs.select("probe").distinct().select("probe", F.col("probe").alias("cid"), F.lit(0).alias("spoke"))
+    sent = partners.unionByName(probes).join(held, "cid").repartition("probe").sortWithinPartitions("probe", "spoke")
+
+    def found(group: tuple, members: list[tuple]) -> Iterator[tuple[int, int]]:
+        probe, *others = (Member(cid, spoke, size, 0, 0, length, last, codes, places, None) for cid, spoke, size, length, last, codes, places in members)
+        for y in traverse(plant(others), probe, num, den, 0):
+            yield (probe.cid, y.cid)
+
+    return _streamed(sent.select("probe", "cid", "spoke", "size", "length", "last", "codes", "places"), ["probe"], found)
+
+
+def _by_shingle(rows: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs from groups of any size: trees of blocks."""
+    wide = max(math.log(den / num), 1e-9) * (1 + 1e-6)
+    banded = rows.select("t", "cid", "comp", F.floor(F.log("size") / wide).cast("int").alias("band"))
+    banded = banded.withColumn("g", F.explode(F.array("band", F.col("band") + 1)))
+    opened = banded.groupBy("t", "g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("t", "g", "n")
+    sent = banded.join(opened, ["t", "g"]).join(held, "cid")
+    blocks = F.when(F.col("n") > GROUP, F.ceil(F.col("n") / BLOCK)).otherwise(F.lit(1)).cast("int")
+    sent = sent.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
+    key = ["t", "g", "lo", "hi"]
+    sent = sent.repartition(*key).sortWithinPartitions(*key).select(*key, "cid", "comp", "size", "side", "band", "length", "last", "codes", "places")
+
+    def found(group: tuple, members: list[tuple]) -> Iterator[tuple[int, int]]:
+        t, g, lo, hi = group
+        yield from group_pairs([Member(*m, t) for m in members], g, lo != hi, num, den)
+
+    return _streamed(sent, key, found)
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
