@@ -7,7 +7,7 @@ rolling hash of the last 32 ids meets a mask.  The store has four tables:
   (unsigned little-endian 16-bit ids where all fit, else 32-bit);
 * ``recipes``: per document its chunk keys in order and its Merkle root, in
   ascending doc_id order across and within the files of each ``part``;
-* ``parts``: per part its documents, ids and Merkle root;
+* ``parts``: per part its documents, ids and Merkle root (a tree of 4,096 documents a node);
 * ``manifest``: the totals and the root over all parts.
 
 Reading back never moves chunk data: each stored chunk is read once, its hash is
@@ -48,6 +48,8 @@ from .monoid_bpe import load_vocabulary
 #: Chunks have this many ids at least and at most, and about MASK + 1 more than the least on average.
 MIN_IDS, MAX_IDS, MASK = 64, 1024, 0xFF
 CACHE_ENTRIES = 700_000
+#: Documents under a node of a part's hash tree.
+FAN = 4096
 #: Characters of texts that are split by the standard library before the tokenizer sees each piece.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 BEYOND = re.compile("[^\t-\r -~\xa1-\xff]")
@@ -313,12 +315,21 @@ class ChunkStore:
         return parts_of(self.recipes).transform(manifest_of).exceptAll(self.manifest).isEmpty()
 
 
+def rooted(rows: DataFrame, by: list[str], order: str, root) -> DataFrame:
+    """Documents, ids and one hash over the roots of each group, in order."""
+    roots = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), root.alias("root")))), lambda x: x.root)
+    return rows.groupBy(*by).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(roots, ""), 256).alias("root"))
+
+
 def parts_of(recipes: DataFrame) -> DataFrame:
-    roots = F.transform(F.array_sort(F.collect_list(F.struct("nth", "root"))), lambda x: F.hex(x.root))
-    return recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(roots, ""), 256).alias("root"))
+    """A hash tree of two levels per part, so that no group has more than ``FAN`` documents or nodes of a file."""
+    node = F.expr(f"(nth & {(1 << 33) - 1}) div {FAN}").alias("node")
+    leaves = recipes.select("part", node, "nth", "n_tokens", F.lit(1).cast("long").alias("n_docs"), "root")
+    return rooted(rooted(leaves, ["part", "node"], "nth", F.hex("root")), ["part"], "node", F.col("root"))
 
 
 def manifest_of(parts: DataFrame) -> DataFrame:
+    """The totals and the root over all parts (a row per file)."""
     roots = F.transform(F.array_sort(F.collect_list(F.struct("part", "root"))), lambda x: x.root)
     return parts.agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(roots, ""), 256).alias("root"))
 
