@@ -16,14 +16,17 @@ prefixes.  The steps:
    components.  A large group of near copies so costs as many pairs as it has
    members.
 4. Groups that still span several components are searched for the rest.  In
-   groups of at most ``GROUP`` members a join on the shingle, under bounds on size
-   and place, names each class's possible partners; their prefixes go into a
+   groups of at most ``GROUP`` members a join on the shingle, under bounds on size,
+   place and sketch, names each class's possible partners; their prefixes go into a
    prefix tree, which the class traverses.  Subtrees share the overlap counted on
    their path and are pruned when what remains of both sets can't reach the
    needed overlap.  Larger groups are such trees themselves, dealt out by size
    and as pairs of blocks, and traversed by the members outside the largest
    component; pairs that share an earlier shingle are left to that shingle's
    group.  Only shingles that other prefixes hold too are sent, with their places.
+   A sketch is one bit of parity for each of 256 parts of a whole set; sketches
+   differ in no more bits than their sets do in shingles, so near copies of one
+   text that aren't similar enough to each other never become a pair.
 5. What passes is verified on whole texts, and components are formed from all
    links.
 
@@ -54,6 +57,8 @@ from .components import components
 FREQUENT, LOCAL_LEAST, COUNT_BUFFER = 200_000, 4, 2_000_000
 GROUP, BLOCK = 1_500, 750
 HUB = 400
+#: Columns of a set's sketch, 64 bits each.
+SKETCH = ["s0", "s1", "s2", "s3"]
 BROADCAST_ROWS = 100_000
 CACHE_ENTRIES = 400_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -88,6 +93,12 @@ def set_key(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """For each of 256 parts of the hash values, whether the set has an odd number there."""
+    parity = np.bincount((found & np.uint64(255)).astype(np.intp), minlength=256) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
     """The most frequent shingles, ascending by count: an order for step 2."""
 
@@ -141,7 +152,7 @@ def needed(x: int, y: int, num: int, den: int) -> int:
 
 
 def document_sets(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, size, key (null if empty), prefix of every document."""
+    """doc_id, size, key (null if empty), prefix and sketch of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -154,9 +165,12 @@ def document_sets(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndar
                 sizes = [len(f) for f in found]
                 keys = [set_key(f) if len(f) else None for f in found]
                 prefixes = [order.codes(f)[: prefix_length(len(f), num, den)] for f in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "size", "key", "prefix"])
+                sketches = np.array([sketch(f) for f in found]).reshape(-1, len(SKETCH))
+                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(s, pa.int64()) for s in sketches.T)], ["doc_id", "size", "key", "prefix", *SKETCH])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size long, key binary, prefix array<long>")
+    sketched = ", ".join(f"{s} long" for s in SKETCH)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size long, key binary, prefix array<long>, {sketched}")
 
 
 # --- the prefix tree -----------------------------------------------------------------
@@ -169,15 +183,16 @@ class Member:
     the prefix has ``length`` codes and ends with ``last``.
     """
 
-    __slots__ = ("cid", "comp", "size", "side", "band", "length", "last", "before", "after", "places", "place")
+    __slots__ = ("cid", "comp", "size", "side", "band", "length", "last", "before", "after", "places", "place", "sketch")
 
-    def __init__(self, cid: int, comp: int, size: int, side: int, band: int, length: int, last: int, codes: list[int], places: list[int], t: int | None):
+    def __init__(self, cid: int, comp: int, size: int, side: int, band: int, length: int, last: int, codes: list[int], places: list[int], parts: tuple[int, ...], t: int | None):
         if t is None:  # not in a shingle's group: nothing is behind yet
             codes, places, at = [-1, *codes], [-1, *places], 0
         else:
             at = codes.index(t)
         self.cid, self.comp, self.size, self.side, self.band, self.length, self.last = cid, comp, size, side, band, length, last
         self.before, self.after, self.place, self.places = codes[:at], codes[at + 1 :], places[at], places[at + 1 :]
+        self.sketch = int.from_bytes(b"".join(p.to_bytes(8, "little", signed=True) for p in parts), "little")
 
     def room(self, i: int) -> int:
         """At most so many shingles stand behind the first ``i`` codes after t."""
@@ -230,6 +245,8 @@ def tail_fits(x: Member, y: Member, i: int, j: int, shared: int, num: int, den:
     """Whether x and y can reach the needed overlap, codes compared from i and j on."""
     a, b = x.after, y.after
     need = needed(x.size, y.size, num, den)
+    if (x.sketch ^ y.sketch).bit_count() > x.size + y.size - 2 * need:
+        return False
     while i < len(a) and j < len(b):
         if shared + min(x.room(i), y.room(j)) < need:
             return False
@@ -359,32 +376,35 @@ def remaining_pairs(shared: DataFrame, classes: DataFrame, stars: DataFrame, num
     to differ, so partners are in one band or in neighbours, and groups are by
     shingle, pair of neighbouring bands and pair of blocks.
     """
-    labelled = shared.join(stars, shared["cid"] == stars["node"], "left").select("t", "cid", "size", "place", F.coalesce("root", "cid").alias("comp"))
+    sketches = classes.select("cid", *SKETCH)
+    labelled = shared.join(sketches, "cid").join(stars, F.col("cid") == F.col("node"), "left").select("t", "cid", "size", "place", *SKETCH, F.coalesce("root", "cid").alias("comp"))
     opened = labelled.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("t", "n")
     rows = labelled.join(opened, "t")
     active = shared.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("t", "place"))).alias("held"))
-    held = active.select("cid", F.col("held.t").alias("codes"), F.col("held.place").alias("places")).join(classes.select("cid", "size", "length", "last"), "cid")
+    held = active.select("cid", F.col("held.t").alias("codes"), F.col("held.place").alias("places")).join(classes.select("cid", "size", "length", "last", *SKETCH), "cid")
     return _by_class(rows.where(F.col("n") <= GROUP), held, num, den).unionByName(_by_shingle(rows.where(F.col("n") > GROUP), held, num, den)).distinct()
 
 
 def _by_class(rows: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs from groups of bounded size: each class against the tree of its possible partners."""
-    x, y = (rows.select("t", *[F.col(c).alias(f"{c}_{side}") for c in ("cid", "size", "place", "comp")]) for side in "xy")
+    x, y = (rows.select("t", *[F.col(c).alias(f"{c}_{side}") for c in ("cid", "size", "place", "comp", *SKETCH)]) for side in "xy")
     need = F.expr(f"({num} * (size_x + size_y) + {num + den - 1}) div {num + den}")
     near = (F.col("cid_x") < F.col("cid_y")) & (F.col("comp_x") != F.col("comp_y"))
     near = near & (num * F.col("size_x") <= den * F.col("size_y")) & (num * F.col("size_y") <= den * F.col("size_x"))
     near = near & (F.col("size_x") - F.col("place_x") >= need) & (F.col("size_y") - F.col("place_y") >= need)
+    apart = sum((F.bit_count(F.col(f"{s}_x").bitwiseXOR(F.col(f"{s}_y"))) for s in SKETCH), F.lit(0))
+    near = near & (apart <= F.col("size_x") + F.col("size_y") - 2 * need)
     pairs = x.join(y, "t").where(near).select(F.col("cid_x").alias("probe"), F.col("cid_y").alias("cid")).distinct()
     partners = pairs.withColumn("spoke", F.lit(1))
     probes = pairs.select("probe").distinct().select("probe", F.col("probe").alias("cid"), F.lit(0).alias("spoke"))
     sent = partners.unionByName(probes).join(held, "cid").repartition("probe").sortWithinPartitions("probe", "spoke")
 
     def found(group: tuple, members: list[tuple]) -> Iterator[tuple[int, int]]:
-        probe, *others = (Member(cid, spoke, size, 0, 0, length, last, codes, places, None) for cid, spoke, size, length, last, codes, places in members)
+        probe, *others = (Member(cid, spoke, size, 0, 0, length, last, codes, places, parts, None) for cid, spoke, size, length, last, codes, places, *parts in members)
         for y in traverse(plant(others), probe, num, den, 0):
             yield (probe.cid, y.cid)
 
-    return _streamed(sent.select("probe", "cid", "spoke", "size", "length", "last", "codes", "places"), ["probe"], found)
+    return _streamed(sent.select("probe", "cid", "spoke", "size", "length", "last", "codes", "places", *SKETCH), ["probe"], found)
 
 
 def _by_shingle(rows: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
@@ -399,11 +419,11 @@ def _by_shingle(rows: DataFrame, held: DataFrame, num: int, den: int) -> DataFra
     sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sent = sent.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
     key = ["t", "g", "lo", "hi"]
-    sent = sent.repartition(*key).sortWithinPartitions(*key).select(*key, "cid", "comp", "size", "side", "band", "length", "last", "codes", "places")
+    sent = sent.repartition(*key).sortWithinPartitions(*key).select(*key, "cid", "comp", "size", "side", "band", "length", "last", "codes", "places", *SKETCH)
 
     def found(group: tuple, members: list[tuple]) -> Iterator[tuple[int, int]]:
         t, g, lo, hi = group
-        yield from group_pairs([Member(*m, t) for m in members], g, lo != hi, num, den)
+        yield from group_pairs([Member(*m[:9], m[9:], t) for m in members], g, lo != hi, num, den)
 
     return _streamed(sent, key, found)
 
@@ -447,7 +467,7 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, scratch: Scr
     ship(docs.sparkSession)
     frequent = frequent_shingles(docs, n)
     sets = scratch.table(document_sets(docs, n, num, den, frequent), "sets")
-    grouped = sets.where("size > 0").groupBy("key", "size", "prefix").agg(F.min("doc_id").alias("doc_id"))
+    grouped = sets.where("size > 0").groupBy("key", "size", "prefix", *SKETCH).agg(F.min("doc_id").alias("doc_id"))
     lengths = grouped.withColumn("length", F.size("prefix")).withColumn("last", F.element_at("prefix", -1))
     classes = scratch.table(lengths.withColumn("cid", F.monotonically_increasing_id()), "classes")
     tokens = classes.select("cid", "size", F.posexplode("prefix").alias("place", "t"))
