@@ -32,6 +32,7 @@ import hashlib
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,12 +74,12 @@ class WordCodec(dict):
 
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: str) -> bytes:
-        pieces = PIECES.findall(word)
-        if len(pieces) == 1 and word.isascii() and word.islower():  # one match, and bytes stand for themselves
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
-        elif len(pieces) < 2 or BEYOND.search(word):
+        if word.isascii() and word.isalpha() and word.islower():  # one match, and bytes stand for themselves
+            found = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        elif len(pieces := PIECES.findall(word)) < 2 or BEYOND.search(word):
             found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         else:
             found = b"".join(map(self.__getitem__, pieces))
