@@ -11,10 +11,11 @@ prefixes.  The steps:
 2. One row per document: set size, set key and prefix.  Equal sets are one class,
    so copies never meet each other again.
 3. Prefix shingles held by several classes are grouped by shingle.  Within a
-   group every class is first paired with one leader only; pairs that agree in
-   much of the prefix are verified, and verified links are contracted to
-   components.  A large group of near copies so costs as many pairs as it has
-   members.
+   group every class is first paired with one leader only: the one with the fewest
+   rarer shingles of its own, which in a group of near copies is the plainest.
+   Pairs that agree in much of the prefix are verified, and verified links are
+   contracted to components.  A large group of near copies so costs as many pairs
+   as it has members.
 4. Groups that still span several components are searched for the rest.  In
    groups of at most ``GROUP`` members a join on the shingle, under bounds on size,
    place and sketch, names each class's possible partners; their prefixes go into a
@@ -471,7 +472,8 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, scratch: Scr
     lengths = grouped.withColumn("length", F.size("prefix")).withColumn("last", F.element_at("prefix", -1))
     classes = scratch.table(lengths.withColumn("cid", F.monotonically_increasing_id()), "classes")
     tokens = classes.select("cid", "size", F.posexplode("prefix").alias("place", "t"))
-    groups = tokens.groupBy("t").agg(F.min("cid").alias("leader"), F.max("cid").alias("final")).where("leader <> final").drop("final")
+    first = F.least("place", F.lit(1 << 22)).cast("long") * (1 << 40) + F.pmod(F.xxhash64("cid"), F.lit(1 << 40))
+    groups = tokens.groupBy("t").agg(F.min_by("cid", first).alias("leader"), F.count("*").alias("members")).where("members > 1").drop("members")
     shared = scratch.table(tokens.join(groups, "t"), "shared")
     agreeing = shared.where("cid <> leader").groupBy("leader", "cid").agg(F.count("*").alias("n"))
     near = agreeing.join(classes.select("cid", "length"), "cid").where("4 * n >= length")
