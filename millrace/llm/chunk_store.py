@@ -57,6 +57,9 @@ BEYOND = re.compile("[^\t-\r -~\xa1-\xff]")
 ANY_WORD = re.compile(r"[^\t-\r ]+")
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9²³¹¼-¾]|[^\t-\r {LETTERS}0-9²³¹¼-¾]+")
 
+#: In the model's alphabet the bytes that don't print are the characters from U+0100 on, in order; others are themselves.
+BYTE_CHARACTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE))}
+
 
 class WordCodec(dict):
     """Words to packed ids by the tokenizers library; a bounded cache of what it has seen.
@@ -77,12 +80,14 @@ class WordCodec(dict):
         self.model = self.tokenizer.model
 
     def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha() and word.islower():  # one match, and bytes stand for themselves
-            found = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-        elif len(pieces := PIECES.findall(word)) < 2 or BEYOND.search(word):
-            found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        else:
+        pieces = PIECES.findall(word)
+        if not pieces or not word.isprintable() or not word.isascii() and BEYOND.search(word):
+            found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        elif len(pieces) > 1:
             found = b"".join(map(self.__getitem__, pieces))
+        else:  # one match: the model takes its bytes as characters
+            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+            found = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         if len(self) < CACHE_ENTRIES and len(word) <= 64:
             self[word] = found
         return found
