@@ -26,6 +26,20 @@ INTERN_TYPE = r"(?i)\b(intern(ship)?|co-?op|temporary|seasonal|part[\s-]?time\s+
 CLOSED = (
     r"(?i)\b(no longer accepting|position (has been )?filled|posting closed|this (job|role|posting) is closed|applications are closed)\b"
 )
+#: Closing notices of whole pages; ``_`` stands for JavaScript's blanks, ``<`` and ``>`` for its word ends.
+_GONE = "(?:is|has been)_(?:closed|filled|expired|removed|cancelled|canceled|no longer available)"
+_NOTICES = (
+    f"<this_(?:job|position|posting|requisition)_{_GONE}>",
+    f"<the_(?:job|position|posting|requisition)_{_GONE}>",
+    "<job_posting_(?:has_)?expired>",
+    "<position_has_been_filled>",
+    "<job_is_no_longer_available>",
+    "<we(?:'|\u2019)re_sorry[^.]{0,120}<(?:job|position)>[^.]{0,120}<no_longer_available>",
+)
+CLOSED_HTML = tuple(
+    "(?i)" + n.replace("_", r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+").replace("<", "(?<![A-Za-z0-9_])").replace(">", "(?![A-Za-z0-9_])")
+    for n in _NOTICES
+)
 STUDENT_ROLE = r"(?i)\b(intern(ship)?s?|co-?ops?|undergrad(uate)?)\b"
 CLEARANCE = (
     "u.s. citizen", "us citizen", "united states citizen", "security clearance", "secret clearance", "top secret", "itar",
@@ -137,8 +151,12 @@ def fraud_signals(text: Column) -> Column:
     return F.array_compact(F.array(*found, F.when(F.size(personal_emails(text)) > 0, "personal-email-contact")))
 
 
-def looks_closed(html: Column, limit: int = 750_000) -> Column:
-    return F.substring(html, 1, limit).rlike(CLOSED)
+def looks_closed(html: Column) -> Column:
+    """Whether a page, read to its end, has one of the closing notices."""
+    found = F.lit(False)
+    for notice in CLOSED_HTML:
+        found = found | html.rlike(notice)
+    return found
 
 
 def normalized(text: Column) -> Column:
