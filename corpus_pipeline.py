@@ -15,7 +15,9 @@ return the columns of ``docs`` for the documents they keep:
 5. ``tokens`` encodes to byte-level BPE ids and decodes them again.
 
 Rows are told apart by their place in the stage's input, so repeated doc_ids are
-separate documents and repeated rows are copies.
+separate documents and repeated rows are copies.  A stage that needs these places
+in more than one job writes the numbered rows first, as a later scan of the same
+files may be split otherwise.
 """
 
 from __future__ import annotations
@@ -45,22 +47,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bigru_langid.identify(docs, net, found).where(known).select(*docs.columns)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def numbered_rows(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """``docs`` written once with a row number, and the name of its column."""
     row = spare(docs, "row_no")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    return scratch.table(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "near-duplicates")
+    numbered, row = numbered_rows(docs, scratch)
     by_row = numbered.select(F.col(row).alias("doc_id"), "text")
-    found = prefix_tree_join.jaccard_components(by_row, NEAR_WORDS, NEAR_NUM, NEAR_DEN, Scratch(spark, "near-duplicates"))
+    found = prefix_tree_join.jaccard_components(by_row, NEAR_WORDS, NEAR_NUM, NEAR_DEN, scratch)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(row))
     return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "decontamination")
-    index = scratch.table(positional_index.build_index(docs), "segments")
+    numbered, row = numbered_rows(docs, scratch)
+    index = scratch.table(positional_index.build_index(numbered, F.col(row)), "segments")
     hits = scratch.table(positional_index.phrase_matches(index, read(spark, sf_dir, "benchmark")).select("row_no").distinct(), "hits")
-    row = spare(docs, "row_no")
     gone = hits.select(F.col("row_no").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").select(*docs.columns)
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, read, ship
@@ -60,8 +60,12 @@ class _Numbers(dict):
         return n
 
 
-def build_index(docs: DataFrame) -> DataFrame:
-    """The segments of ``docs`` (doc_id, text); write them before use."""
+def build_index(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """The segments of ``docs`` (doc_id, text); write them before use.
+
+    Rows are numbered by ``row``.  Without it they get numbers that hold only
+    within the written index, as another scan of ``docs`` may number them otherwise.
+    """
     ship(docs.sparkSession)
     key = docs.schema["doc_id"].dataType.simpleString()
     schema = f"row_nos array<long>, doc_ids array<{key}>, starts array<int>, sizes array<int>, terms array<string>, counts array<int>, steps binary"
@@ -103,7 +107,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         if rows:
             yield segment()
 
-    return docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "text").mapInArrow(run, schema)
+    return docs.select((F.monotonically_increasing_id() if row is None else row).alias("row_no"), "doc_id", "text").mapInArrow(run, schema)
 
 
 def directory(index: DataFrame) -> DataFrame:
