@@ -9,7 +9,7 @@ which lets whole texts of any length run as columns of one matrix, all bytes
 being read.
 
 Training is backpropagation through time in numpy, with Adam, on windows of a
-bounded sample: at most about ``DOCS_PER_LANGUAGE`` documents of each language and
+bounded sample: at most ``DOCS_PER_LANGUAGE`` documents of each language and
 ``WINDOWS_PER_DOC`` windows of each.  The weights are a few kilobytes and are
 broadcast; prediction is one map pass.
 
@@ -28,10 +28,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fold, read, ship
+from .labelled import one_text
 
 STEPS, UNITS = 64, 8
 DOCS_PER_LANGUAGE, WINDOWS_PER_DOC, MAX_LANGUAGES = 400, 8, 200
@@ -208,17 +209,30 @@ def predict(net: Network, texts: list[str | None]) -> tuple[list[str], np.ndarra
     return [net.languages[b] if k else UNKNOWN for b, k in zip(best, known)], np.clip(score, 0, 1)
 
 
+def language_sample(rows: DataFrame, counts: dict[str, int], per_language: int) -> DataFrame:
+    """doc_id, lang and one text of the ids that hash lowest in each language, of which ``counts`` gives the distinct ids.
+
+    Only hashes under twice the share wanted are ranked: few rows, and enough of them.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, 2 * per_language / n))])
+    near = rows.where(place < share[F.col("lang")] * float(1 << 40))
+    lowest = Window.partitionBy("lang").orderBy(place, "doc_id")
+    ids = near.select("lang", "doc_id").distinct().withColumn("_rank", F.row_number().over(lowest)).where(F.col("_rank") <= per_language).drop("_rank")
+    return one_text(near.select("doc_id", "lang", "text").join(F.broadcast(ids), ["lang", "doc_id"]), "doc_id", "lang")
+
+
 def fit(docs: DataFrame, usable: Column) -> Network:
     """Train on windows of a bounded sample: the documents whose ids hash lowest, language by language."""
     ship(docs.sparkSession)
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    distinct = rows.select("lang", "doc_id").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    counts = {r["lang"]: r["n"] for r in distinct.limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
     if not counts:
         return new_network([])
-    share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, DOCS_PER_LANGUAGE / n))])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    chosen = language_sample(rows, counts, DOCS_PER_LANGUAGE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
