@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +58,7 @@ def tiered_identity(incoming: DataFrame, existing: DataFrame, tiers: Sequence[Se
         on = F.lit(True)
         for c, n in zip(columns, names):
             on = on & (F.col(f"l_{n}").eqNullSafe(F.col(f"r_{n}")) if c.endswith("?") else F.col(f"l_{n}") == F.col(f"r_{n}"))
+        right = right.groupBy(*[f"r_{n}" for n in names]).agg(F.min("match_id").alias("match_id"))
         found = left.join(right, on).groupBy(key).agg(F.min("match_id").alias("match_id")).withColumn("tier", F.lit(number))
         out = found if out is None else out.unionByName(found)
     best = out.groupBy(key).agg(F.min(F.struct("tier", "match_id")).alias("best"))
@@ -70,6 +71,32 @@ def best_match(left: DataFrame, right: DataFrame, block: Sequence[str], score: C
     return latest(scored, [left_key], [F.desc("score"), F.col(tie).asc()])
 
 
+def best_other(rows: DataFrame, block: str, name: str, key: str, tokens: Column, whole: Column, score: Callable[[Column, Column], Column], least: float) -> DataFrame:
+    """key, other, score: each row's best-scoring other row of its block, the least key on ties.
+
+    ``score`` must be the shared tokens over the larger set, or 1 for equal ``whole``
+    names.  Rows of one name are one class with its two least keys.  Classes meet on
+    their rarest tokens (a score of ``least`` or more shares one of these) or on
+    their whole names.
+    """
+    keyed = rows.select(block, name, key)
+    two = top(keyed, [block, name], [F.col(key)], 2).groupBy(block, name).agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    classes = two.withColumn("second", F.when(F.col("first") < F.col("last"), F.col("last"))).drop("last").withColumn("tokens", tokens)
+    words = classes.select(block, name, F.size("tokens").alias("size"), F.explode("tokens").alias("t"))
+    counts = words.groupBy(block, "t").agg(F.count("*").alias("_often"))
+    place = F.row_number().over(Window.partitionBy(block, name).orderBy("_often", "t"))
+    rare = words.join(counts, [block, "t"]).withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1)
+    meet = rare.select(block, name, F.concat(F.lit("t"), "t").alias("t")).unionByName(classes.select(block, name, F.concat(F.lit("w"), whole).alias("t")))
+    pairs = meet.join(meet.select(block, F.col(name).alias("to"), "t"), [block, "t"]).select(block, name, "to").distinct()
+    scored = pairs.withColumn("score", score(F.col(name), F.col("to"))).where(F.col("score") >= least)
+    found = scored.join(classes.select(block, F.col(name).alias("to"), "first", "second"), [block, "to"])
+    others = latest(found.where(F.col(name) != F.col("to")), [block, name], [F.desc("score"), F.col("first")])
+    both = found.where(F.col(name) == F.col("to")).unionByName(others)
+    other = F.when(F.col("first") != F.col(key), F.col("first")).otherwise(F.col("second"))
+    each = keyed.join(both, [block, name]).withColumn("other", other).where(F.col("other").isNotNull())
+    return latest(each, [key], [F.desc("score"), F.col("other")]).select(key, "other", "score")
+
+
 def merged(old: DataFrame, new: DataFrame, key: str, compared: Sequence[str]) -> DataFrame:
     """Full outer merge with outcome new, updated, unchanged or absent; new values win."""
     o, n = old.alias("o"), new.alias("n")

@@ -189,6 +189,16 @@ def work_generation(t: Tables) -> DataFrame:
     return summaries.missing_work(t.nation.select("n_nationkey"), t.part.where("p_size = 1").select("p_partkey"), done, ["n_nationkey", "p_partkey"])
 
 
+@query("work_generation_whole", """
+SELECT n_nationkey, p_partkey FROM nation, (SELECT p_partkey FROM part) p
+WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey = n_nationkey AND l_partkey = p_partkey)
+""")
+def work_generation_whole(t: Tables) -> DataFrame:
+    """``work_generation`` over all parts."""
+    done = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("s_nationkey").alias("n_nationkey"), F.col("l_partkey").alias("p_partkey"))
+    return summaries.missing_work(t.nation.select("n_nationkey"), t.part.select("p_partkey"), done, ["n_nationkey", "p_partkey"])
+
+
 @query("collated_top", "SELECT c_name FROM customer ORDER BY c_name, c_custkey LIMIT 30")
 def collated_top(t: Tables) -> DataFrame:
     return t.customer.orderBy(F.collate("c_name", "UNICODE"), "c_custkey").limit(30).select("c_name")

@@ -23,6 +23,17 @@ def company_lookup(t: Tables) -> DataFrame:
     return work.company_lookup(t.supplier.select("s_suppkey", "s_name"), "s_name", c, "name", "c_custkey").select("s_suppkey", "match_id")
 
 
+@query("company_lookup_whole", """
+WITH n AS (SELECT s_suppkey, lower(regexp_replace(s_name, '[^A-Za-z0-9]+', '', 'g')) AS k FROM supplier), c AS (SELECT c_custkey, lower(regexp_replace(regexp_replace(c_name, 'Customer', 'Supplier'), '[^A-Za-z0-9]+', '', 'g')) AS k FROM customer),
+m AS (SELECT s_suppkey, 1 AS tier, c_custkey AS id FROM n JOIN c USING (k) UNION ALL SELECT s_suppkey, 2, c_custkey FROM n JOIN c ON contains(n.k, c.k) OR contains(c.k, n.k) WHERE length(n.k) >= 5 AND length(c.k) >= 5)
+SELECT n.s_suppkey, b.id AS match_id FROM n LEFT JOIN (SELECT s_suppkey, arg_min(id, (tier, id)) AS id FROM m GROUP BY 1) b USING (s_suppkey)
+""")
+def company_lookup_whole(t: Tables) -> DataFrame:
+    """``company_lookup`` among all customers."""
+    c = t.customer.select("c_custkey", F.regexp_replace("c_name", "Customer", "Supplier").alias("name"))
+    return work.company_lookup(t.supplier.select("s_suppkey", "s_name"), "s_name", c, "name", "c_custkey").select("s_suppkey", "match_id")
+
+
 @query("mail_matches", """
 WITH m AS (SELECT conv_id AS mail_id, lower(coalesce(text, '')) AS text, CASE conv_id % 3 WHEN 0 THEN 'mail.example.com' WHEN 1 THEN 'corp.net' ELSE 'x.org' END AS domain FROM conversations WHERE turn = 0),
 j AS (SELECT item_id AS job_id, substring(lower(text), 1, 6) AS requisition, CASE item_id WHEN 5 THEN 'example.com' WHEN 7 THEN 'corp.net' END AS employer_domain, string_split(lower(text), ' ')[1] AS company, string_split(lower(text), ' ')[2] AS title FROM benchmark),
