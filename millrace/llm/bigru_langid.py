@@ -6,7 +6,8 @@ position with probabilities over the learned languages.  A document's
 probabilities are the mean over all of its positions; the best one is the
 prediction and its probability the score.  States start anew in each window,
 which lets whole texts of any length run as columns of one matrix, all bytes
-being read.
+being read.  Matrices have one shape and scores six places, so a result doesn't
+depend on the texts beside it.
 
 Training is backpropagation through time in numpy, with Adam, on windows of a
 bounded sample: at most ``DOCS_PER_LANGUAGE`` documents of each language and
@@ -21,7 +22,6 @@ equal results; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,9 +37,8 @@ from .labelled import one_text
 STEPS, UNITS = 64, 8
 DOCS_PER_LANGUAGE, WINDOWS_PER_DOC, MAX_LANGUAGES = 400, 8, 200
 ROUNDS, BATCH, RATE = 220, 256, 0.02
-COLUMNS = 1024
+COLUMNS, TEXTS = 1024, 1024
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -57,6 +56,11 @@ class Network:
         return [self.inputs, self.gates, self.candidate, self.output, self.bias]
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter in the sense of Unicode; digits, fractions and numerals aren't."""
+    return any(map(str.isalpha, text or ""))
+
+
 def new_network(languages: list[str], units: int = UNITS) -> Network:
     r = np.random.default_rng(8)
     draw = lambda *s, scale: (r.standard_normal(s) * scale).astype(np.float32)
@@ -187,7 +191,7 @@ def train(windows: list[bytes], languages: list[str]) -> Network:
 
 def predict(net: Network, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Languages and scores of whole texts."""
-    data = [t.encode() if t and LETTER.search(t) else b"" for t in texts]
+    data = [t.encode() if has_letter(t) else b"" for t in texts]
     sums = np.zeros((len(texts), len(net.languages)))
     windows = np.array([-(-len(b) // STEPS) for b in data], np.int64)
     padded = np.frombuffer(b"".join(b.ljust(int(w) * STEPS, b"\0") for b, w in zip(data, windows)), np.uint8).reshape(-1, STEPS)
@@ -197,15 +201,19 @@ def predict(net: Network, texts: list[str | None]) -> tuple[list[str], np.ndarra
     left[ends] = np.array([(len(b) - 1) % STEPS + 1 for b in data if b], np.int64)
     if len(net.languages) > 1:
         for at in range(0, len(padded), COLUMNS):
-            p = label_positions(net, padded[at : at + COLUMNS].T)
+            block = padded[at : at + COLUMNS]
+            filled = np.zeros((COLUMNS, STEPS), np.uint8)  # one shape, so that results don't depend on what shares a block
+            filled[: len(block)] = block
+            p = label_positions(net, filled.T)[:, :, : len(block)]
             p *= np.arange(STEPS)[:, None, None] < left[at : at + COLUMNS]
             np.add.at(sums, owner[at : at + COLUMNS], p.sum(axis=0).T)
     else:
         sums[:] = (windows > 0)[:, None]
     total = sums.sum(axis=1)
+    sums = np.round(sums / np.where(total > 0, total, 1)[:, None], 6)  # ties are what six places can't tell apart
     best = sums.argmax(axis=1) if sums.shape[1] else np.zeros(len(texts), int)
     known = total > 0
-    score = np.where(known, sums.max(axis=1, initial=0) / np.where(known, total, 1), 0.0)
+    score = np.where(known, sums.max(axis=1, initial=0), 0.0)
     return [net.languages[b] if k else UNKNOWN for b, k in zip(best, known)], np.clip(score, 0, 1)
 
 
@@ -240,7 +248,7 @@ def fit(docs: DataFrame, usable: Column) -> Network:
             for row, (lang, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 data = text.encode()
                 step = max(STEPS, len(data) // WINDOWS_PER_DOC)
-                out += [(batch.column(0)[row].as_py(), k, lang, data[at : at + STEPS]) for k, at in enumerate(range(0, len(data), step)) if k < WINDOWS_PER_DOC and LETTER.search(text)]
+                out += [(batch.column(0)[row].as_py(), k, lang, data[at : at + STEPS]) for k, at in enumerate(range(0, len(data), step)) if k < WINDOWS_PER_DOC and has_letter(text)]
             columns = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array([str(v) for v in columns[0]], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.binary())], ["id", "k", "lang", "bytes"])
 
@@ -256,7 +264,7 @@ def identify(docs: DataFrame, net: Network, column: str = "found") -> DataFrame:
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            found: list[tuple[list[str], np.ndarray]] = [predict(sent.value, list(texts.iloc[at : at + 512])) for at in range(0, len(texts), 512)]
+            found: list[tuple[list[str], np.ndarray]] = [predict(sent.value, list(texts.iloc[at : at + TEXTS])) for at in range(0, len(texts), TEXTS)]
             yield pd.DataFrame({"lang_pred": [x for f in found for x in f[0]], "score": np.concatenate([f[1] for f in found]) if found else np.zeros(0)})
 
     return docs.withColumn(column, run("text"))

@@ -5,22 +5,26 @@ first ``STEM`` letters, since languages inflect) and skip-grams (two words with
 between them) that a whole text holds, present or not.  Training
 follows the per-coordinate FTRL-proximal rule with L1 and L2 terms over a bounded
 sample of labelled documents (``MAX_PER_CLASS`` of each class) in a repeatable
-order; the L1 term leaves few weights, which are sent to the workers as a sparse
-list of at most ``2 ** BITS`` entries.  Scoring is one map pass.
+order, another one in each epoch.  One task reads the sorted sample as a stream and
+holds the coordinates and one document; the L1 term leaves few weights, and only
+these, a sparse list of at most ``2 ** BITS`` entries, reach the driver and are
+broadcast.  Scoring is one map pass.
 
 The bias is learnt without L1, so a document without any weighted feature scores
 as low as the sample's share of toxic documents suggests.
 
 Defined results: null and empty texts have no features and score by the bias
 alone; repeated rows score alike; without usable labels every score is 0.5 (an
-untrained model says nothing) and an empty table gives no rows; texts of any length are read
-whole, in blocks of words.
+untrained model says nothing) and an empty table gives no rows; texts of any length
+are read whole, in memory that grows with the longest one.  A labelled id that is
+repeated counts once, with one of its texts; other columns are carried along.
 """
 
 from __future__ import annotations
 
+import io
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import evict, fold, read, ship
-from .labelled import labelled_sample
+from .labelled import fitted, labelled_sample
 
 MAX_PER_CLASS = 4000
 BITS = 18
@@ -40,6 +44,8 @@ EPOCHS = 4
 #: Inflected forms share the hash of this many first letters.
 STEM = 4
 THRESHOLD = 0.3
+#: Buckets of a document in a row of the sample; longer ones take several.
+PART = 4096
 CACHE_ENTRIES = 500_000
 WORD = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -85,7 +91,7 @@ class Weights:
         return w
 
 
-def train(rows: list[tuple[np.ndarray, int]]) -> Weights:
+def train(rows: Iterable[tuple[np.ndarray, int]]) -> Weights:
     """FTRL-proximal over (present buckets, label) rows, in the order given."""
     n, z = np.zeros(1 << BITS), np.zeros(1 << BITS)
     n0 = z0 = 0.0
@@ -98,39 +104,64 @@ def train(rows: list[tuple[np.ndarray, int]]) -> Weights:
     def current_bias() -> float:
         return -z0 / ((BETA + n0**0.5) / ALPHA)
 
-    order = np.random.default_rng(6)
-    for _ in range(EPOCHS):
-        for i in order.permutation(len(rows)).tolist():
-            at, y = rows[i]
-            w, b = current(at), current_bias()
-            p = 1 / (1 + np.exp(-np.clip(w.sum() + b, -30, 30)))
-            g = p - y
-            sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
-            z[at] += g - sigma * w
-            n[at] += g * g
-            sigma0 = ((n0 + g * g) ** 0.5 - n0**0.5) / ALPHA
-            z0 += g - sigma0 * b
-            n0 += g * g
+    for at, y in rows:
+        w, b = current(at), current_bias()
+        p = 1 / (1 + np.exp(-np.clip(w.sum() + b, -30, 30)))
+        g = p - y
+        sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
+        z[at] += g - sigma * w
+        n[at] += g * g
+        sigma0 = ((n0 + g * g) ** 0.5 - n0**0.5) / ALPHA
+        z0 += g - sigma0 * b
+        n0 += g * g
     w = current(np.arange(1 << BITS))
     at = np.flatnonzero(w)
     return Weights(at, w[at].astype(np.float32), float(current_bias()))
 
 
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
+    """Whole documents from the rows (doc_id, y, part, parts, at) of their parts."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        for y, parts, at in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4))):
+            held.append(np.frombuffer(at, np.int32))
+            if len(held) == parts:
+                yield np.concatenate(held), y
+                held = []
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable, per_class: int = MAX_PER_CLASS) -> Weights:
-    """Train on a bounded sample; a row brings at most ``2 ** BITS`` buckets to the driver."""
+    """Train on a bounded sample, which one task reads as a stream, once an epoch."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            found = [np.unique(features(x.as_py(), hashes)).astype(np.int32) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "y", "at"])
+            rows, part, parts, at = [], [], [], []
+            for row, text in enumerate(batch.column(1)):
+                found = np.unique(features(text.as_py(), hashes)).astype(np.int32)
+                cuts = [found[k : k + PART].tobytes() for k in range(0, max(1, len(found)), PART)]
+                rows += [row] * len(cuts)
+                part += range(len(cuts))
+                parts += [len(cuts)] * len(cuts)
+                at += cuts
+            picked = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(picked), batch.column(2).take(picked), pa.array(part, pa.int32()), pa.array(parts, pa.int32()), pa.array(at, pa.binary())],
+                ["doc_id", "y", "part", "parts", "at"],
+            )
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> bytes:
+        out, w = io.BytesIO(), train(joined(batches))
+        np.savez(out, at=w.at, value=w.value, bias=w.bias)
+        return out.getvalue()
 
     sample = labelled_sample(docs, labels, "toxic", usable, per_class)
     key = sample.schema["doc_id"].dataType.simpleString()
-    table = sample.mapInArrow(run, f"doc_id {key}, y int, at array<int>").toArrow().sort_by("doc_id").combine_chunks()
-    at, y = table.column("at"), table.column("y").to_pylist()
-    return train([(x.values.to_numpy(), label) for x, label in zip(at, y)])
+    found = sample.mapInArrow(run, f"doc_id {key}, y int, part int, parts int, at binary")
+    epochs = found.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS)))).withColumn("place", F.xxhash64("epoch", "doc_id"))
+    with np.load(io.BytesIO(fitted(epochs, ["epoch", "place", "doc_id", "part"], learn))) as w:
+        return Weights(w["at"], w["value"], float(w["bias"]))
 
 
 def score_documents(docs: DataFrame, weights: Weights, column: str = "score") -> DataFrame:

@@ -4,23 +4,27 @@ Fitting: a bounded sample of labelled documents (``MAX_PER_CLASS`` of each class
 becomes hashed term vectors -- words in one block, word shapes with the signs
 around them, line and repetition bands in another, each scaled to length one --
 and a truncated singular value decomposition of that matrix gives ``DIMENSIONS``
-latent axes.  The projection and the labelled latent vectors have a fixed size
-(``FEATURES`` and ``2 * MAX_PER_CLASS`` rows) and are broadcast.
+latent axes, found by subspace iteration.  One task does this; the driver
+receives the projection and the labelled latent vectors only, which have a fixed
+size (``FEATURES`` and ``2 * MAX_PER_CLASS`` rows), and broadcasts them.
 
 Scoring: one map pass over whole texts.  Documents are projected in blocks, the
 block's cosine with every labelled vector is one matrix product, and the
 ``NEIGHBOURS`` nearest vote with their similarity.  Votes of a class are divided
 by the class's size in the sample, so the score doesn't depend on how many of
-each were labelled.
+each were labelled.  Blocks are filled up to one shape and scores rounded to six
+places, so a document's score doesn't depend on what shares its block.
 
 Defined results: null and empty texts, and those without any term, score by the
-sample's empty vector, that is 0.0; ties in similarity are broken by the order of
-the sample, which is by id hash; repeated rows get equal scores; without any
-usable label every score is 0.5; an empty table gives no rows.
+sample's empty vector, that is 0.0; all that are as near as the last of the
+nearest neighbours vote too; repeated rows get equal scores; without any usable
+label every score is 0.5; an empty table gives no rows.  A labelled id that is
+repeated counts once, with one of its texts; other columns are carried along.
 """
 
 from __future__ import annotations
 
+import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import evict, fold, read, ship
-from .labelled import labelled_sample
+from .labelled import fitted, labelled_sample
 
 MAX_PER_CLASS = 1500
 DIMENSIONS = 64
@@ -42,6 +46,8 @@ FEATURES = WORD_FEATURES + SHAPE_FEATURES
 NEIGHBOURS = 25
 THRESHOLD = 0.3
 BLOCK = 256
+#: Of the subspace iteration.
+SPARE_AXES, ITERATIONS = 16, 25
 CACHE_ENTRIES = 400_000
 TERM = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
@@ -116,16 +122,39 @@ class Model:
         return out / np.where(norm > 0, norm, 1)
 
     def score(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Scores of at most BLOCK documents."""
         if not len(self.vectors):
             return np.full(len(docs), 0.5)
-        at = self.latent(docs)
-        cosine = at @ self.vectors.T
-        k = min(NEIGHBOURS, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.clip(np.take_along_axis(cosine, near, axis=1), 0, None).astype(np.float64) ** 4
-        bad, good = (weight * self.votes[0][near]).sum(axis=1), (weight * self.votes[1][near]).sum(axis=1)
+        at = np.zeros((BLOCK, self.vectors.shape[1]), np.float32)
+        at[: len(docs)] = self.latent(docs)
+        weight = np.maximum(at @ self.vectors.T, 0)
+        k = min(NEIGHBOURS, weight.shape[1])
+        last = np.partition(weight, -k, axis=1)[:, -k]
+        weight[weight < last[:, None]] = 0
+        weight *= weight
+        weight *= weight
+        bad, good = (weight @ self.votes.T.astype(np.float32)).astype(np.float64)[: len(docs)].T
         total = bad + good
-        return np.where(total > 0, good / np.where(total > 0, total, 1), 0.0)
+        return np.round(np.where(total > 0, good / np.where(total > 0, total, 1), 0.0), 6)
+
+    def packed(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, idf=self.idf, projection=self.projection, vectors=self.vectors, votes=self.votes)
+        return out.getvalue()
+
+    @staticmethod
+    def unpacked(data: bytes) -> Model:
+        with np.load(io.BytesIO(data)) as parts:
+            return Model(parts["idf"], parts["projection"], parts["vectors"], parts["votes"])
+
+
+def leading(gram: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """About the ``k`` largest eigenvalues of a symmetric matrix, descending, with their vectors, by subspace iteration."""
+    q = np.random.default_rng(1).standard_normal((len(gram), min(len(gram), k + SPARE_AXES))).astype(gram.dtype)
+    for _ in range(ITERATIONS):
+        q = np.linalg.qr(gram @ q)[0]
+    values, vectors = np.linalg.eigh((q.T @ (gram @ q)).astype(np.float64))
+    return values[::-1][:k], q @ vectors[:, ::-1][:, :k]
 
 
 def fit_model(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
@@ -145,12 +174,12 @@ def fit_model(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
             here = (ids >= start) & (ids < start + 2048)
             block[i, ids[here] - start] = weights[i][here]
         gram += block @ block.T
-    values, vectors = np.linalg.eigh(gram.astype(np.float64))
     k = min(DIMENSIONS, n)
-    values, vectors = np.maximum(values[::-1][:k], 1e-9), vectors[:, ::-1][:, :k]
+    values, vectors = leading(gram, k)
+    scaled = vectors / np.sqrt(np.maximum(values, 1e-9))
     projection = np.zeros((FEATURES, k))
     for i, (ids, _, _) in enumerate(rows):
-        projection[ids] += weights[i][:, None] * (vectors[i] / np.sqrt(values))
+        projection[ids] += weights[i][:, None] * scaled[i]
     y = np.array([r[2] for r in rows])
     votes = np.stack([(y == c) / max(1, (y == c).sum()) for c in (0, 1)])
     model = Model(idf, projection.astype(np.float32), np.zeros((0, k), np.float32), votes)
@@ -159,20 +188,26 @@ def fit_model(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable, per_class: int = MAX_PER_CLASS) -> Model:
-    """Fit on a bounded sample; only its feature counts (at most FEATURES a row) reach the driver."""
+    """Fit on a bounded sample: at most ``2 * per_class`` rows of at most FEATURES counts come to one task."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for batch in batches:
             found = [features(x.as_py(), terms) for x in batch.column(1)]
-            many = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f[0] for f in found], many), pa.array([f[1] for f in found], many)], ["doc_id", "y", "ids", "counts"])
+            parts = [pa.array([np.asarray(f[i], np.int32).tobytes() for f in found], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *parts], ["doc_id", "y", "ids", "counts"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> bytes:
+        rows = []
+        for batch in batches:
+            for y, ids, counts in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                rows.append((np.frombuffer(ids, np.int32), np.frombuffer(counts, np.int32), y))
+        return fit_model(rows).packed()
 
     sample = labelled_sample(docs, labels, "quality", usable, per_class)
     key = sample.schema["doc_id"].dataType.simpleString()
-    rows = sample.mapInArrow(run, f"doc_id {key}, y int, ids array<long>, counts array<long>").toArrow().sort_by("doc_id").to_pylist()
-    return fit_model([(np.array(r["ids"], np.int64), np.array(r["counts"], np.int64), r["y"]) for r in rows])
+    return Model.unpacked(fitted(sample.mapInArrow(run, f"doc_id {key}, y int, ids binary, counts binary"), ["doc_id"], learn))
 
 
 def score_documents(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -1,7 +1,10 @@
-"""A bounded, repeatable sample of labelled documents for fitting a classifier."""
+"""A bounded, repeatable sample of labelled documents, and fitting on it within one task."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +30,17 @@ def one_text(rows: DataFrame, *by: str) -> DataFrame:
     """A row per group with the text that hashes lowest, by an aggregate that combines before its shuffle."""
     first = F.min(F.struct(F.col("text").isNull(), F.xxhash64("text"), F.col("text").alias("text")))
     return rows.groupBy(*by).agg(first.alias("_first")).select(*by, "_first.text")
+
+
+def fitted(rows: DataFrame, order: Sequence[str], learn: Callable[[Iterator[pa.RecordBatch]], bytes]) -> bytes:
+    """What ``learn`` makes of the rows of a bounded sample, read in order by one task.
+
+    The driver receives the model's bytes only; a lost executor repeats the task.
+    Without rows ``learn`` sees no batches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([learn(batches)], pa.binary())], ["model"])
+
+    found = rows.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").take(1)
+    return bytes(found[0]["model"]) if found else learn(iter(()))

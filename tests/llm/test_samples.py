@@ -30,10 +30,11 @@ def test_labelled_documents(docs, labels):
 
 
 def test_models(docs, labels, monkeypatch):
+    """What comes to the task that fits has a row per chosen id (and epoch)."""
     sizes = []
-    fit_model, train = knn_quality.fit_model, ftrl_toxicity.train
-    monkeypatch.setattr(knn_quality, "fit_model", lambda rows: sizes.append(len(rows)) or fit_model(rows))
-    monkeypatch.setattr(ftrl_toxicity, "train", lambda rows: sizes.append(len(rows)) or train(rows))
+    for module, rows in ((knn_quality, lambda r: r), (ftrl_toxicity, lambda r: r.where("epoch = 1 AND part = 0"))):
+        fitted = module.fitted
+        monkeypatch.setattr(module, "fitted", lambda r, *rest, fitted=fitted, rows=rows: sizes.append(rows(r).count()) or fitted(r, *rest))
     knn_quality.fit(docs, labels, F.lit(True))
     ftrl_toxicity.fit(docs, labels, F.lit(True))
     assert sizes == [63, 63]
