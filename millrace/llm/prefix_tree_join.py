@@ -10,26 +10,29 @@ prefixes.  The steps:
    The list only chooses the order, so its bound never loses a link.
 2. One row per document: set size, set key and prefix.  Equal sets are one class,
    so copies never meet each other again.
-3. Prefix shingles held by several classes are grouped by shingle.  Within a
-   group every class is first paired with one leader only: the one with the fewest
-   rarer shingles of its own, which in a group of near copies is the plainest.
-   Pairs that agree in much of the prefix are verified, and verified links are
-   contracted to components.  A large group of near copies so costs as many pairs
-   as it has members.
-4. Groups that still span several components are searched for the rest.  In
-   groups of at most ``GROUP`` members a join on the shingle, under bounds on size,
-   place and sketch, names each class's possible partners; their prefixes go into a
-   prefix tree, which the class traverses.  Subtrees share the overlap counted on
-   their path and are pruned when what remains of both sets can't reach the
-   needed overlap.  Larger groups are such trees themselves, dealt out by size
-   and as pairs of blocks, and traversed by the members outside the largest
-   component; pairs that share an earlier shingle are left to that shingle's
-   group.  Only shingles that other prefixes hold too are sent, with their places.
-   A sketch is one bit of parity for each of 256 parts of a whole set; sketches
-   differ in no more bits than their sets do in shingles, so near copies of one
-   text that aren't similar enough to each other never become a pair.
-5. What passes is verified on whole texts, and components are formed from all
-   links.
+3. A class joins the group of each shingle of its prefix that other classes hold
+   too.  The members of a group are stored in a prefix tree, their sets being
+   paths in the global order, and probes walk the tree together: a node is entered
+   with all probes for which the codes on its path leave the needed overlap in
+   reach, so members share the overlap counted on their common path and probes
+   share the walk.  Subtrees are pruned by what remains of both sets, by sizes,
+   by component and, at a leaf, by the sketches.
+4. First walk: classes with many shared shingles join the groups of ``PICKS`` of
+   them, chosen by hash, dealt into blocks with the group's plainest member (the
+   one with the fewest rarer shingles of its own) in each.  Each takes the plainest
+   member if it is in reach, else its best partner.  Those pairs are verified and
+   contracted to components, so a group of near copies costs as many pairs as it
+   has members.  What this walk misses is left to the next.
+5. Second walk, of every group that still spans several components: groups are by
+   shingle and pair of neighbouring bands of size, and hold what their members
+   have after the shingle, as pairs that share an earlier one are found there.
+   Members outside the group's largest component probe.  A large group is dealt
+   as a grid, blocks of members by blocks of probes, so no task holds more than
+   two blocks of a group.
+6. What is in reach is verified on whole texts, and components are formed from
+   all links.  A sketch is one bit of parity for each of 256 parts of a whole set;
+   sketches differ in no more bits than their sets do in shingles, so near copies
+   of one text that aren't similar enough to each other never become a pair.
 
 Nothing is collected but the frequent list.  Verification sends only the texts
 of involved classes, grouped by leader and salted by the leader's degree.
@@ -56,7 +59,8 @@ from .common import Scratch, evict, read, ship
 from .components import components
 
 FREQUENT, LOCAL_LEAST, COUNT_BUFFER = 200_000, 4, 2_000_000
-GROUP, BLOCK = 1_500, 750
+#: Groups that a class joins in the first walk, and most members of a block in the first and in the second walk.
+PICKS, NEAR_BLOCK, BLOCK = 4, 64, 256
 HUB = 400
 #: Columns of a set's sketch, 64 bits each.
 SKETCH = ["s0", "s1", "s2", "s3"]
@@ -178,44 +182,43 @@ def document_sets(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndar
 
 
 class Member:
-    """A class within the group of shingle t: those of its prefix codes that other classes hold too.
+    """A class within a group: its prefix codes that other classes hold too, behind the group's shingle.
 
-    ``place`` of a code counts all prefix codes before it, held by others or not;
-    the prefix has ``length`` codes and ends with ``last``.
+    ``places`` count all prefix codes before each, held by others or not; the
+    prefix has ``length`` codes and ends with ``last``.  ``place`` is the group's
+    shingle's, or -1 where the codes are those of the whole prefix.
     """
 
-    __slots__ = ("cid", "comp", "size", "side", "band", "length", "last", "before", "after", "places", "place", "sketch")
+    __slots__ = ("after", "comp", "cid", "last", "length", "place", "places", "role", "size", "sketch")
 
-    def __init__(self, cid: int, comp: int, size: int, side: int, band: int, length: int, last: int, codes: list[int], places: list[int], parts: tuple[int, ...], t: int | None):
-        if t is None:  # not in a shingle's group: nothing is behind yet
-            codes, places, at = [-1, *codes], [-1, *places], 0
-        else:
-            at = codes.index(t)
-        self.cid, self.comp, self.size, self.side, self.band, self.length, self.last = cid, comp, size, side, band, length, last
-        self.before, self.after, self.place, self.places = codes[:at], codes[at + 1 :], places[at], places[at + 1 :]
+    def __init__(self, cid: int, comp: int, role: int, size: int, length: int, last: int, place: int, codes: list[int], places: list[int], *parts: int):
+        self.cid, self.comp, self.role, self.size, self.length, self.last = cid, comp, role, size, length, last
+        self.place, self.after, self.places = place, codes, places
         self.sketch = int.from_bytes(b"".join(p.to_bytes(8, "little", signed=True) for p in parts), "little")
 
     def room(self, i: int) -> int:
-        """At most so many shingles stand behind the first ``i`` codes after t."""
+        """At most so many shingles stand behind the first ``i`` codes."""
         return self.size - 1 - (self.places[i - 1] if i else self.place)
 
 
 class Node:
-    """An inner node of the tree: set sizes below it, and the most that any set has left here."""
+    """An inner node of the tree: set sizes below it, the most that any set has left here, and the component if all have one."""
 
-    __slots__ = ("children", "ends", "least", "most", "room")
+    __slots__ = ("children", "comp", "ends", "least", "most", "room")
 
     def __init__(self) -> None:
         self.children: dict[int, Node | Member] = {}
         self.ends: list[Member] = []
         self.least, self.most, self.room = 1 << 62, 0, 0
+        self.comp: int | None = None
 
     def widen(self, m: Member, depth: int) -> None:
+        self.comp = m.comp if not self.most or self.comp == m.comp else None
         self.least, self.most, self.room = min(self.least, m.size), max(self.most, m.size), max(self.room, m.room(depth))
 
 
 def plant(members: list[Member]) -> Node:
-    """The tree of the members' remaining codes; a path without forks is kept as its member."""
+    """The tree of the members' codes; a path without forks is kept as its member."""
     root = Node()
     for m in members:
         node, depth = root, 0
@@ -242,15 +245,17 @@ def plant(members: list[Member]) -> Node:
     return root
 
 
-def tail_fits(x: Member, y: Member, i: int, j: int, shared: int, num: int, den: int) -> bool:
-    """Whether x and y can reach the needed overlap, codes compared from i and j on."""
+def reach(x: Member, y: Member, i: int, j: int, shared: int, num: int, den: int) -> int:
+    """Codes that x and y share if they can reach the needed overlap, else 0; codes are compared from i and j on."""
+    if x.comp == y.comp or num * x.size > den * y.size or num * y.size > den * x.size:
+        return 0
     a, b = x.after, y.after
     need = needed(x.size, y.size, num, den)
     if (x.sketch ^ y.sketch).bit_count() > x.size + y.size - 2 * need:
-        return False
+        return 0
     while i < len(a) and j < len(b):
         if shared + min(x.room(i), y.room(j)) < need:
-            return False
+            return 0
         if a[i] == b[j]:
             shared += 1
             i += 1
@@ -267,12 +272,12 @@ def tail_fits(x: Member, y: Member, i: int, j: int, shared: int, num: int, den:
         j += 1
     left_x = x.size - x.length if x.last == known else x.room(i)
     left_y = y.size - y.length if y.last == known else y.room(j)
-    return shared + min(left_x, left_y) >= need
+    return shared if shared + min(left_x, left_y) >= need else 0
 
 
-def leaves(below: Node | Member) -> Iterator[Member]:
+def leaves(below: Node) -> Iterator[Member]:
     """All members of a subtree."""
-    stack = [below]
+    stack: list[Node | Member] = [below]
     while stack:
         node = stack.pop()
         if isinstance(node, Member):
@@ -282,64 +287,59 @@ def leaves(below: Node | Member) -> Iterator[Member]:
             stack.extend(node.children.values())
 
 
-def traverse(root: Node, x: Member, num: int, den: int, met: int = 1) -> Iterator[Member]:
-    """Members of other components whose prefixes leave x within reach; ``met`` shingles are known to be shared."""
-    a = x.after
-    stack: list[tuple[Node, int, int, int]] = [(root, 0, 0, met)]
+def traverse(root: Node, probes: list[Member], num: int, den: int, met: int) -> Iterator[tuple[Member, Member, int]]:
+    """Pairs of a probe and a member of another component within reach, with the codes they share.
+
+    One walk serves all probes, each with its place among its codes and what it
+    shares with the path; ``met`` shingles are known to be shared.
+    """
+    stack: list[tuple[Node, int, list[tuple[Member, int, int]]]] = [(root, 0, [(x, 0, met) for x in probes])]
     while stack:
-        node, i, depth, shared = stack.pop()
-        if num * x.size > den * node.most or num * node.least > den * x.size:
-            continue  # sizes alone are too far apart
-        if shared + min(x.room(i), node.room) < needed(x.size, max(node.least, -(-num * x.size // den)), num, den):
+        node, depth, alive = stack.pop()
+        near = []
+        for x, i, shared in alive:
+            size = x.size
+            if node.comp == x.comp or num * size > den * node.most or num * node.least > den * size:
+                continue  # of one component, or sizes alone are too far apart
+            if shared + min(x.room(i), node.room) >= needed(size, max(node.least, -(-num * size // den)), num, den):
+                near.append((x, i, shared))
+        if not near:
             continue
         for y in node.ends:
-            if y.comp != x.comp and tail_fits(x, y, i, depth, shared, num, den):
-                yield y
+            for x, i, shared in near:
+                if found := reach(x, y, i, depth, shared, num, den):
+                    yield x, y, found
         for code, below in node.children.items():
-            k = i
-            while k < len(a) and a[k] < code:
-                k += 1
             if isinstance(below, Member):
-                if below.comp != x.comp and num * x.size <= den * below.size and num * below.size <= den * x.size and tail_fits(x, below, i, depth, shared, num, den):
-                    yield below
-            elif k == len(a):  # x's prefix ends here; what x holds beyond it may still match
-                for y in leaves(below):
-                    if y.comp != x.comp and tail_fits(x, y, k, depth, shared, num, den):
-                        yield y
-            elif a[k] == code:
-                stack.append((below, k + 1, depth + 1, shared + 1))
-            else:
-                stack.append((below, k, depth + 1, shared))
-
-
-def group_pairs(members: list[Member], band: int, two_sides: bool, num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Pairs of one group (or pair of blocks) that need verifying."""
-    count: dict[int, int] = {}
-    for m in members:
-        count[m.comp] = count.get(m.comp, 0) + 1
-    if len(count) < 2:
-        return
-    largest = max(count, key=count.__getitem__)
-    root = plant(members)
-    for x in members:
-        if x.comp == largest:
-            continue
-        earlier = set(x.before)
-        for y in traverse(root, x, num, den):
-            if y.comp != largest and x.cid < y.cid:
-                continue  # found from the other end
-            if max(x.band, y.band) != band:
-                continue  # the next band's group sees to it
-            if two_sides and x.side == y.side:
-                continue  # the blocks' own groups see to it
-            if not earlier.isdisjoint(y.before):
-                continue  # an earlier shared shingle's group sees to it
-            yield (min(x.cid, y.cid), max(x.cid, y.cid))
+                for x, i, shared in near:
+                    if found := reach(x, below, i, depth, shared, num, den):
+                        yield x, below, found
+                continue
+            down = []
+            for x, i, shared in near:
+                a = x.after
+                while i < len(a) and a[i] < code:
+                    i += 1
+                if i == len(a):  # x's prefix ends here; what x holds beyond it may still match
+                    for y in leaves(below):
+                        if found := reach(x, y, i, depth, shared, num, den):
+                            yield x, y, found
+                elif a[i] == code:
+                    down.append((x, i + 1, shared + 1))
+                else:
+                    down.append((x, i, shared))
+            if down:
+                stack.append((below, depth + 1, down))
+
 
+def walked(sent: DataFrame, key: list[str], found) -> DataFrame:
+    """a, b: the pairs that ``found(members)`` yields for each group of rows with equal keys; a group is held at a time.
 
-def _streamed(rows: DataFrame, key: list[str], found) -> DataFrame:
-    """a, b: the pairs that ``found(group, rows)`` yields for the runs of equal keys; a group is held at a time."""
+    The other columns are those of ``Member``.
+    """
     width = len(key)
+    columns = ["cid", "comp", "role", "size", "length", "last", "place", "codes", "places", *SKETCH]
+    rows = sent.select(*key, *columns).repartition(*key).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, out = None, [], []
@@ -354,79 +354,88 @@ def _streamed(rows: DataFrame, key: list[str], found) -> DataFrame:
                 for row in zip(*(c.to_pylist() for c in whole.slice(at, 2048).columns)):
                     if group != row[:width]:
                         if len(held) > 1:
-                            out.extend(found(group, held))
-                            if len(out) > 10_000:
-                                yield flush()
+                            for pair in found([Member(*m) for m in held]):
+                                out.append(pair)
+                                if len(out) > 10_000:
+                                    yield flush()
                         group, held = row[:width], []
                     held.append(row[width:])
         if len(held) > 1:
-            out.extend(found(group, held))
+            for pair in found([Member(*m) for m in held]):
+                out.append(pair)
+                if len(out) > 10_000:
+                    yield flush()
         if out:
             yield flush()
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
 
+#: Parts that a row plays in a group.
+MEMBER, PROBE, BOTH = 0, 1, 2
 
-def remaining_pairs(shared: DataFrame, classes: DataFrame, stars: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: pairs of classes in different components that share a prefix shingle and may be similar.
 
-    In groups of up to ``GROUP`` members an equi-join with the size and place
-    bounds finds who may be similar to whom; each class then traverses the prefix
-    tree of its possible partners.  Larger groups are searched as trees by
-    themselves: sizes fall into bands about as wide as the similarity allows them
-    to differ, so partners are in one band or in neighbours, and groups are by
-    shingle, pair of neighbouring bands and pair of blocks.
+def held_codes(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """Per class with a shared prefix shingle: those codes with their places, and what bounds need."""
+    found = shared.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("t", "place"))).alias("held"))
+    return found.select("cid", F.col("held.t").alias("codes"), F.col("held.place").alias("places")).join(classes.select("cid", "size", "length", "last", *SKETCH), "cid")
+
+
+def first_walk(groups: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: for each class with many shared shingles a partner within reach, if it meets one; a is the plainest member if that is it."""
+    many = held.where(4 * F.size("codes") >= F.col("length"))
+    chosen = F.slice(F.array_sort(F.transform("codes", lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t")))), 1, PICKS)
+    picks = many.select("cid", F.explode(chosen).alias("p")).select("cid", F.col("p.t").alias("t"))
+    sizes = picks.groupBy("t").agg(F.ceil(F.count("*") / NEAR_BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n").join(groups, "t")
+    dealt = picks.join(sizes, "t").withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).where("cid <> leader").select("t", "side", "cid", F.lit(BOTH).alias("role"))
+    leaders = sizes.select("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("side"), F.col("leader").alias("cid"), F.lit(MEMBER).alias("role"))
+    sent = dealt.unionByName(leaders).join(held, "cid").withColumn("comp", F.col("cid")).withColumn("place", F.lit(-1))
+
+    def found(members: list[Member]) -> Iterator[tuple[int, int]]:
+        best: dict[int, tuple] = {}
+        for x, y, shared in traverse(plant(members), [m for m in members if m.role == BOTH], num, den, 0):
+            best[x.cid] = max(best.get(x.cid, (False, 0, 0)), (y.role == MEMBER, shared, -y.cid))
+        for cid, (leads, _, other) in best.items():
+            yield (-other, cid) if leads else (min(-other, cid), max(-other, cid))
+
+    return walked(sent, ["t", "side"], found)
+
+
+def second_walk(shared: DataFrame, held: DataFrame, stars: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """a, b: all pairs of classes in different components that share a prefix shingle and are within reach.
+
+    Sizes fall into bands about as wide as the similarity allows them to differ,
+    so partners are in one band or in neighbours; a pair belongs to the group of
+    its upper band.
     """
-    sketches = classes.select("cid", *SKETCH)
-    labelled = shared.join(sketches, "cid").join(stars, F.col("cid") == F.col("node"), "left").select("t", "cid", "size", "place", *SKETCH, F.coalesce("root", "cid").alias("comp"))
-    opened = labelled.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("t", "n")
-    rows = labelled.join(opened, "t")
-    active = shared.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("t", "place"))).alias("held"))
-    held = active.select("cid", F.col("held.t").alias("codes"), F.col("held.place").alias("places")).join(classes.select("cid", "size", "length", "last", *SKETCH), "cid")
-    return _by_class(rows.where(F.col("n") <= GROUP), held, num, den).unionByName(_by_shingle(rows.where(F.col("n") > GROUP), held, num, den)).distinct()
-
-
-def _by_class(rows: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs from groups of bounded size: each class against the tree of its possible partners."""
-    x, y = (rows.select("t", *[F.col(c).alias(f"{c}_{side}") for c in ("cid", "size", "place", "comp", *SKETCH)]) for side in "xy")
-    need = F.expr(f"({num} * (size_x + size_y) + {num + den - 1}) div {num + den}")
-    near = (F.col("cid_x") < F.col("cid_y")) & (F.col("comp_x") != F.col("comp_y"))
-    near = near & (num * F.col("size_x") <= den * F.col("size_y")) & (num * F.col("size_y") <= den * F.col("size_x"))
-    near = near & (F.col("size_x") - F.col("place_x") >= need) & (F.col("size_y") - F.col("place_y") >= need)
-    apart = sum((F.bit_count(F.col(f"{s}_x").bitwiseXOR(F.col(f"{s}_y"))) for s in SKETCH), F.lit(0))
-    near = near & (apart <= F.col("size_x") + F.col("size_y") - 2 * need)
-    pairs = x.join(y, "t").where(near).select(F.col("cid_x").alias("probe"), F.col("cid_y").alias("cid")).distinct()
-    partners = pairs.withColumn("spoke", F.lit(1))
-    probes = pairs.select("probe").distinct().select("probe", F.col("probe").alias("cid"), F.lit(0).alias("spoke"))
-    sent = partners.unionByName(probes).join(held, "cid").repartition("probe").sortWithinPartitions("probe", "spoke")
-
-    def found(group: tuple, members: list[tuple]) -> Iterator[tuple[int, int]]:
-        probe, *others = (Member(cid, spoke, size, 0, 0, length, last, codes, places, parts, None) for cid, spoke, size, length, last, codes, places, *parts in members)
-        for y in traverse(plant(others), probe, num, den, 0):
-            yield (probe.cid, y.cid)
-
-    return _streamed(sent.select("probe", "cid", "spoke", "size", "length", "last", "codes", "places", *SKETCH), ["probe"], found)
-
-
-def _by_shingle(rows: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs from groups of any size: trees of blocks."""
     wide = max(math.log(den / num), 1e-9) * (1 + 1e-6)
-    banded = rows.select("t", "cid", "comp", F.floor(F.log("size") / wide).cast("int").alias("band"))
-    banded = banded.withColumn("g", F.explode(F.array("band", F.col("band") + 1)))
-    opened = banded.groupBy("t", "g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("t", "g", "n")
-    sent = banded.join(opened, ["t", "g"]).join(held, "cid")
-    blocks = F.when(F.col("n") > GROUP, F.ceil(F.col("n") / BLOCK)).otherwise(F.lit(1)).cast("int")
-    sent = sent.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = sent.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
-    key = ["t", "g", "lo", "hi"]
-    sent = sent.repartition(*key).sortWithinPartitions(*key).select(*key, "cid", "comp", "size", "side", "band", "length", "last", "codes", "places", *SKETCH)
-
-    def found(group: tuple, members: list[tuple]) -> Iterator[tuple[int, int]]:
-        t, g, lo, hi = group
-        yield from group_pairs([Member(*m[:9], m[9:], t) for m in members], g, lo != hi, num, den)
+    labelled = shared.join(stars, F.col("cid") == F.col("node"), "left").select("t", "cid", "size", "place", F.coalesce("root", "cid").alias("comp"))
+    banded = labelled.withColumn("band", F.floor(F.log("size") / wide).cast("int")).withColumn("g", F.explode(F.array("band", F.col("band") + 1)))
+    opened = banded.groupBy("t", "g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("size").alias("least"), F.max("band").alias("top")).where("lo <> hi AND top = g").select("t", "g", "least")
+    # the least partner that sizes allow, and what must be shared with it
+    partner = F.expr(f"greatest(least, ({num} * size + {den - 1}) div {den})")
+    room = F.expr(f"({num} * (size + partner) + {num + den - 1}) div {num + den}")
+    rows = banded.join(opened, ["t", "g"]).withColumn("partner", partner).where(F.col("size") - F.col("place") >= room)
+    rows = scratch.table(rows.select("t", "g", "cid", "comp", "place"), "opened")
+    parts = rows.groupBy("t", "g", "comp").agg(F.count("*").alias("n")).groupBy("t", "g").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("most < n")
+    grid = parts.select("t", "g", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("chunks"))
+    dealt = rows.join(grid, ["t", "g"]).withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("chunks")).cast("int"))
+    cell = lambda side, chunk, role: F.struct(side.alias("side"), chunk.alias("chunk"), role.alias("role"))
+    probes = F.col("comp") != F.col("main")
+    as_member = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: cell(F.col("side"), c, F.lit(MEMBER)))
+    as_probe = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: cell(b, F.col("chunk"), F.lit(PROBE)))
+    alone = F.array(cell(F.lit(0), F.lit(0), F.when(probes, BOTH).otherwise(MEMBER)))
+    cells = F.when((F.col("blocks") == 1) & (F.col("chunks") == 1), alone).when(probes, F.concat(as_member, as_probe)).otherwise(as_member)
+    sent = dealt.select("t", "g", "cid", "comp", "place", F.explode(cells).alias("cell")).select("t", "g", "cid", "comp", "place", "cell.*").join(held, "cid")
+    at = F.array_position("codes", F.col("t"))
+    after = {c: F.when(at < F.size("codes"), F.slice(c, at + 1, F.size("codes"))).otherwise(F.array().cast(kind)) for c, kind in (("codes", "array<long>"), ("places", "array<int>"))}
+    sent = sent.withColumns(after)
+
+    def found(members: list[Member]) -> Iterator[tuple[int, int]]:
+        for x, y, _ in traverse(plant([m for m in members if m.role != PROBE]), [m for m in members if m.role != MEMBER], num, den, 1):
+            yield (min(x.cid, y.cid), max(x.cid, y.cid))
 
-    return _streamed(sent, key, found)
+    return walked(sent, ["t", "g", "side", "chunk"], found)
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
@@ -474,12 +483,15 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, scratch: Scr
     tokens = classes.select("cid", "size", F.posexplode("prefix").alias("place", "t"))
     first = F.least("place", F.lit(1 << 22)).cast("long") * (1 << 40) + F.pmod(F.xxhash64("cid"), F.lit(1 << 40))
     groups = tokens.groupBy("t").agg(F.min_by("cid", first).alias("leader"), F.count("*").alias("members")).where("members > 1").drop("members")
-    shared = scratch.table(tokens.join(groups, "t"), "shared")
-    agreeing = shared.where("cid <> leader").groupBy("leader", "cid").agg(F.count("*").alias("n"))
-    near = agreeing.join(classes.select("cid", "length"), "cid").where("4 * n >= length")
-    links = verified(near.select(F.col("leader").alias("a"), F.col("cid").alias("b")), classes, docs, n, num, den, scratch, "stars")
+    groups = scratch.table(groups, "groups")
+    shared = scratch.table(tokens.join(groups.select("t"), "t"), "shared")
+    held = scratch.table(held_codes(shared, classes), "held")
+    links = verified(first_walk(groups, held, num, den), classes, docs, n, num, den, scratch, "near")
+    scratch.drop("groups")
     stars = components(links, scratch, "first")
-    more = verified(remaining_pairs(shared.drop("leader"), classes, stars, num, den), classes, docs, n, num, den, scratch, "rest")
+    more = verified(second_walk(shared, held, stars, num, den, scratch), classes, docs, n, num, den, scratch, "rest")
+    for name in ("shared", "held", "opened"):
+        scratch.drop(name)
     joined = links.unionByName(more)
     roots = components(joined, scratch, "all") if not more.isEmpty() else stars
     placed = classes.select("cid", "key", "doc_id").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))

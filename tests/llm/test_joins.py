@@ -54,12 +54,12 @@ def edited(r, words, edits):
     return " ".join(words)
 
 
+@pytest.mark.parametrize("small", [True, False])
 @pytest.mark.parametrize(("n", "num", "den"), [(3, 9, 10), (5, 4, 5), (1, 1, 2)])
-def test_near_copies_by_brute_force(spark, monkeypatch, n, num, den):
-    """Groups of near copies around the threshold, common passages, blocks of groups."""
-    monkeypatch.setattr(prefix_tree_join, "GROUP", 12)
-    monkeypatch.setattr(prefix_tree_join, "BLOCK", 5)
-    monkeypatch.setattr(prefix_tree_join, "HUB", 7)
+def test_near_copies_by_brute_force(spark, monkeypatch, n, num, den, small):
+    """Groups of near copies around the threshold, common passages; with blocks of the default size and with small ones."""
+    for name, size in (("BLOCK", 5), ("NEAR_BLOCK", 4), ("HUB", 7)) if small else ():
+        monkeypatch.setattr(prefix_tree_join, name, size)
     r = random.Random(n)
     common = " ".join(f"c{k}" for k in range(30))
     rows = []
@@ -72,6 +72,52 @@ def test_near_copies_by_brute_force(spark, monkeypatch, n, num, den):
     assert found(spark, rows, n, num, den) == brute_components(rows, n, num, den)
 
 
+def test_second_walk_alone(spark, monkeypatch):
+    """Without the first walk's contraction the second finds every link."""
+    monkeypatch.setattr(prefix_tree_join, "PICKS", 0)
+    monkeypatch.setattr(prefix_tree_join, "BLOCK", 5)
+    r = random.Random(8)
+    rows = []
+    for _ in range(12):
+        base = [f"v{r.randrange(300)}" for _ in range(r.choice([10, 40, 90]))]
+        rows += [(len(rows) + k, edited(r, base, k % 3)) for k in range(r.choice([2, 9, 20]))]
+    assert found(spark, rows, 3, 9, 10) == brute_components(rows, 3, 9, 10)
+
+
+def test_links_come_from_the_tree(spark, monkeypatch):
+    """On the tables of scale 0.1 every verified link is a pair that a walk of the tree yielded, and all linked classes are reached."""
+    yielded = set()
+    walked = prefix_tree_join.walked
+
+    def kept(sent, key, found):
+        out = walked(sent, key, found)
+        yielded.update((min(p), max(p)) for p in out.collect())
+        return out
+
+    monkeypatch.setattr(prefix_tree_join, "walked", kept)
+    links = []
+    verified = prefix_tree_join.verified
+    monkeypatch.setattr(prefix_tree_join, "verified", lambda *a: links.append(verified(*a)) or links[-1])
+    docs = read(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    got = {r.doc_id: r.component_id for r in prefix_tree_join.jaccard_components(docs, 3, 9, 10, Scratch(spark, "test")).collect()}
+    linked = {(min(p), max(p)) for found in links for p in found.collect()}
+    assert linked and linked <= yielded
+    texts = {r.doc_id: shingle_set(r.text, 3) for r in docs.collect()}
+    at = defaultdict(list)
+    for i, found_set in texts.items():
+        for g in found_set:
+            at[g].append(i)
+    root = {}
+    for i, own in texts.items():  # every document against all that share one of its rarest shingles
+        for g in sorted(own, key=lambda g: (len(at[g]), g))[: len(own) - -(-9 * len(own) // 10) + 1]:
+            for j in at[g]:
+                other = texts[j]
+                if j > i and 10 * len(own & other) >= 9 * len(own | other):
+                    root.setdefault(i, set()).add(j)
+    for i, others in root.items():
+        assert {got[j] for j in others} == {got[i]}
+
+
 def test_documents_by_brute_force(spark):
     rows = [tuple(r) for r in read(spark, SMALL, "documents").select("doc_id", "text").collect()]
     assert found(spark, rows, 3, 9, 10) == brute_components(rows, 3, 9, 10)
