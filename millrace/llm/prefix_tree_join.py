@@ -61,7 +61,7 @@ from .components import components
 FREQUENT, LOCAL_LEAST, COUNT_BUFFER = 200_000, 4, 2_000_000
 #: Groups that a class joins in the first walk, and most members of a block in the first and in the second walk.
 PICKS, NEAR_BLOCK, BLOCK = 4, 64, 256
-HUB = 400
+HUB = 100
 #: Columns of a set's sketch, 64 bits each.
 SKETCH = ["s0", "s1", "s2", "s3"]
 BROADCAST_ROWS = 100_000
@@ -181,17 +181,27 @@ def document_sets(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndar
 # --- the prefix tree -----------------------------------------------------------------
 
 
+def narrowed(code: int) -> int:
+    """31 bits of a code; codes that are equal then count as shared, which only adds candidates."""
+    return code & (1 << 30) - 1 | 1 << 30 if code >> 62 else code >> 32
+
+
+NARROWED = f"(CASE WHEN {{c}} >= {1 << 62} THEN ({{c}} & {(1 << 30) - 1}) | {1 << 30} ELSE shiftright({{c}}, 32) END)"
+
+
 class Member:
     """A class within a group: its prefix codes that other classes hold too, behind the group's shingle.
 
-    ``places`` count all prefix codes before each, held by others or not; the
-    prefix has ``length`` codes and ends with ``last``.  ``place`` is the group's
+    Codes are narrowed to 31 bits, in the same order; ``places`` count all prefix
+    codes before each, held by others or not; the prefix has ``length`` codes and
+    ends with the code ``last``, which isn't narrowed.  ``place`` is the group's
     shingle's, or -1 where the codes are those of the whole prefix.
     """
 
     __slots__ = ("after", "comp", "cid", "last", "length", "place", "places", "role", "size", "sketch")
 
-    def __init__(self, cid: int, comp: int, role: int, size: int, length: int, last: int, place: int, codes: list[int], places: list[int], *parts: int):
+    def __init__(self, cid: int, comp: int, role: int, size: int, length: int, last: int, place: int, *rest):
+        *parts, codes, places = rest
         self.cid, self.comp, self.role, self.size, self.length, self.last = cid, comp, role, size, length, last
         self.place, self.after, self.places = place, codes, places
         self.sketch = int.from_bytes(b"".join(p.to_bytes(8, "little", signed=True) for p in parts), "little")
@@ -264,14 +274,15 @@ def reach(x: Member, y: Member, i: int, j: int, shared: int, num: int, den: int)
             i += 1
         else:
             j += 1
-    # up to the end of the shorter prefix everything is known, beyond it nothing
-    known = min(x.last, y.last)
-    while i < len(a) and a[i] <= known:
+    # up to the end of the shorter prefix everything is known, beyond it nothing; narrowed codes may tie there
+    end = min(x.last, y.last)
+    known = narrowed(end)
+    while i < len(a) and a[i] < known:
         i += 1
-    while j < len(b) and b[j] <= known:
+    while j < len(b) and b[j] < known:
         j += 1
-    left_x = x.size - x.length if x.last == known else x.room(i)
-    left_y = y.size - y.length if y.last == known else y.room(j)
+    left_x = x.size - x.length if x.last == end else x.room(i)
+    left_y = y.size - y.length if y.last == end else y.room(j)
     return shared if shared + min(left_x, left_y) >= need else 0
 
 
@@ -338,9 +349,18 @@ def walked(sent: DataFrame, key: list[str], found) -> DataFrame:
     The other columns are those of ``Member``.
     """
     width = len(key)
-    columns = ["cid", "comp", "role", "size", "length", "last", "place", "codes", "places", *SKETCH]
+    columns = ["cid", "comp", "role", "size", "length", "last", "place", *SKETCH, "codes"]
     rows = sent.select(*key, *columns).repartition(*key).sortWithinPartitions(*key)
 
+    def unpacked(batch: pa.RecordBatch) -> Iterator[tuple]:
+        """The rows, with codes and places as lists of their own."""
+        packed = batch.column(batch.num_columns - 1)
+        both = packed.flatten().to_numpy()
+        codes, places = (both >> 32).tolist(), (both & 0xFFFFFFFF).tolist()
+        ends = np.cumsum(packed.value_lengths().to_numpy()).tolist()
+        for row, start, end in zip(zip(*(c.to_pylist() for c in batch.columns[:-1])), [0, *ends], ends):
+            yield (*row, codes[start:end], places[start:end])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, out = None, [], []
 
@@ -351,7 +371,7 @@ def walked(sent: DataFrame, key: list[str], found) -> DataFrame:
 
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
-                for row in zip(*(c.to_pylist() for c in whole.slice(at, 2048).columns)):
+                for row in unpacked(whole.slice(at, 2048)):
                     if group != row[:width]:
                         if len(held) > 1:
                             for pair in found([Member(*m) for m in held]):
@@ -376,17 +396,19 @@ MEMBER, PROBE, BOTH = 0, 1, 2
 
 
 def held_codes(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """Per class with a shared prefix shingle: those codes with their places, and what bounds need."""
+    """Per class with a shared prefix shingle: those codes, each packed with its place, and what bounds need."""
     found = shared.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("t", "place"))).alias("held"))
-    return found.select("cid", F.col("held.t").alias("codes"), F.col("held.place").alias("places")).join(classes.select("cid", "size", "length", "last", *SKETCH), "cid")
+    packed = F.expr(f"transform(held, h -> shiftleft({NARROWED.format(c='h.t')}, 32) | h.place)")
+    return found.select("cid", packed.alias("codes")).join(classes.select("cid", "size", "length", "last", *SKETCH), "cid")
 
 
-def first_walk(groups: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+def first_walk(held: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: for each class with many shared shingles a partner within reach, if it meets one; a is the plainest member if that is it."""
     many = held.where(4 * F.size("codes") >= F.col("length"))
-    chosen = F.slice(F.array_sort(F.transform("codes", lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t")))), 1, PICKS)
-    picks = many.select("cid", F.explode(chosen).alias("p")).select("cid", F.col("p.t").alias("t"))
-    sizes = picks.groupBy("t").agg(F.ceil(F.count("*") / NEAR_BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n").join(groups, "t")
+    chosen = F.slice(F.array_sort(F.expr("transform(codes, c -> struct(xxhash64(shiftright(c, 32)) AS h, c))")), 1, PICKS)
+    picks = many.select("cid", F.explode(chosen).alias("p")).selectExpr("cid", "shiftright(p.c, 32) AS t", "p.c & 4294967295 AS rarer")
+    plain = F.min_by("cid", F.struct("rarer", F.xxhash64("cid"))).alias("leader")
+    sizes = picks.groupBy("t").agg(F.ceil(F.count("*") / NEAR_BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"), plain).where("n > 1").drop("n")
     dealt = picks.join(sizes, "t").withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).where("cid <> leader").select("t", "side", "cid", F.lit(BOTH).alias("role"))
     leaders = sizes.select("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("side"), F.col("leader").alias("cid"), F.lit(MEMBER).alias("role"))
     sent = dealt.unionByName(leaders).join(held, "cid").withColumn("comp", F.col("cid")).withColumn("place", F.lit(-1))
@@ -427,9 +449,8 @@ def second_walk(shared: DataFrame, held: DataFrame, stars: DataFrame, num: int,
     alone = F.array(cell(F.lit(0), F.lit(0), F.when(probes, BOTH).otherwise(MEMBER)))
     cells = F.when((F.col("blocks") == 1) & (F.col("chunks") == 1), alone).when(probes, F.concat(as_member, as_probe)).otherwise(as_member)
     sent = dealt.select("t", "g", "cid", "comp", "place", F.explode(cells).alias("cell")).select("t", "g", "cid", "comp", "place", "cell.*").join(held, "cid")
-    at = F.array_position("codes", F.col("t"))
-    after = {c: F.when(at < F.size("codes"), F.slice(c, at + 1, F.size("codes"))).otherwise(F.array().cast(kind)) for c, kind in (("codes", "array<long>"), ("places", "array<int>"))}
-    sent = sent.withColumns(after)
+    at = F.expr(f"array_position(codes, shiftleft({NARROWED.format(c='t')}, 32) | place)")
+    sent = sent.withColumn("codes", F.when(at < F.size("codes"), F.slice("codes", at + 1, F.size("codes"))).otherwise(F.array().cast("array<long>")))
 
     def found(members: list[Member]) -> Iterator[tuple[int, int]]:
         for x, y, _ in traverse(plant([m for m in members if m.role != PROBE]), [m for m in members if m.role != MEMBER], num, den, 1):
@@ -481,13 +502,10 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, scratch: Scr
     lengths = grouped.withColumn("length", F.size("prefix")).withColumn("last", F.element_at("prefix", -1))
     classes = scratch.table(lengths.withColumn("cid", F.monotonically_increasing_id()), "classes")
     tokens = classes.select("cid", "size", F.posexplode("prefix").alias("place", "t"))
-    first = F.least("place", F.lit(1 << 22)).cast("long") * (1 << 40) + F.pmod(F.xxhash64("cid"), F.lit(1 << 40))
-    groups = tokens.groupBy("t").agg(F.min_by("cid", first).alias("leader"), F.count("*").alias("members")).where("members > 1").drop("members")
-    groups = scratch.table(groups, "groups")
-    shared = scratch.table(tokens.join(groups.select("t"), "t"), "shared")
+    groups = tokens.groupBy("t").agg(F.count("*").alias("members")).where("members > 1").select("t")
+    shared = scratch.table(tokens.join(groups, "t"), "shared")
     held = scratch.table(held_codes(shared, classes), "held")
-    links = verified(first_walk(groups, held, num, den), classes, docs, n, num, den, scratch, "near")
-    scratch.drop("groups")
+    links = verified(first_walk(held, num, den), classes, docs, n, num, den, scratch, "near")
     stars = components(links, scratch, "first")
     more = verified(second_walk(shared, held, stars, num, den, scratch), classes, docs, n, num, den, scratch, "rest")
     for name in ("shared", "held", "opened"):
