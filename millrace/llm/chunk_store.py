@@ -5,13 +5,15 @@ rolling hash of the last 32 ids meets a mask.  The store has four tables:
 
 * ``chunks``: each distinct chunk once, keyed by the SHA-256 of its bytes
   (unsigned little-endian 16-bit ids where all fit, else 32-bit);
-* ``recipes``: per document its chunk keys in order and its Merkle root, in
-  ascending doc_id order across and within the files of each ``part``;
+* ``recipes``: per document its chunks' keys in order, each with its ids and those
+  that follow it, and their Merkle root, in ascending doc_id order across and within the files of each ``part``;
 * ``parts``: per part its documents, ids and Merkle root (a tree of 4,096 documents a node);
 * ``manifest``: the totals and the root over all parts.
 
-Reading back never moves chunk data: each stored chunk is read once, its hash is
-verified, and its CRC-32 is taken; only (key, crc, length) joins the recipes.
+Reading back checks the manifest against the roots of all documents, and each
+document's recipe against its root.  It never moves chunk data: each stored chunk
+is read once, its hash is verified, and its CRC-32 is taken; only (key, crc,
+length) joins the recipes.
 CRC-32 is linear over GF(2), so a document's CRC is the XOR of its chunks' CRCs,
 each shifted by the bytes that follow it; Spark sums those with ``bit_xor`` and
 partial aggregation.  ``reconstruct`` returns the ids themselves.
@@ -29,6 +31,7 @@ first; an empty table gives an empty store; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import zlib
@@ -57,6 +60,16 @@ BEYOND = re.compile("[^\t-\r -~\xa1-\xff]")
 ANY_WORD = re.compile(r"[^\t-\r ]+")
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9²³¹¼-¾]|[^\t-\r {LETTERS}0-9²³¹¼-¾]+")
 
+#: The normalizer and pre-tokenizer whose texts may be encoded word by word.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 #: In the model's alphabet the bytes that don't print are the characters from U+0100 on, in order; others are themselves.
 BYTE_CHARACTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE))}
 
@@ -66,7 +79,8 @@ class WordCodec(dict):
 
     The tokenizer drops white space and encodes each match of its pattern on its
     own, so a text's ids are those of its words, and a word's those of its
-    pieces, one after another.  Texts with characters beyond Latin-1 are parted at
+    pieces, one after another.  That holds for one normalizer and pre-tokenizer; a
+    file with others is encoded text by text.  Texts with characters beyond Latin-1 are parted at
     white space only.  A full cache takes no more words: the frequent come early.
     """
 
@@ -78,6 +92,8 @@ class WordCodec(dict):
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        parts = json.loads(data)
+        self.by_words = (parts["normalizer"], parts["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER)
 
     def __missing__(self, word: str) -> bytes:
         pieces = PIECES.findall(word)
@@ -93,6 +109,8 @@ class WordCodec(dict):
         return found
 
     def encode(self, text: str) -> np.ndarray:
+        if not self.by_words:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         if BEYOND.search(text):
             words = [w if BEYOND.search(w) else w.lower() for w in ANY_WORD.findall(text)]
         else:
@@ -197,7 +215,7 @@ def shifted(crc: pd.Series, n_bytes: pd.Series) -> pd.Series:
 
 # --- the store -----------------------------------------------------------------
 
-ENCODED = "row_no long, doc_id {key}, n_tokens long, root binary, recipe array<struct<key: binary, n: int>>, fresh array<struct<key: binary, data: binary>>"
+ENCODED = "row_no long, doc_id {key}, n_tokens long, root binary, recipe array<struct<key: binary, n: int, after: long>>, fresh array<struct<key: binary, data: binary>>"
 
 
 def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -217,7 +235,7 @@ def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFram
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 sizes, roots, n_chunks, n_fresh = [], [], [], []
-                keys, lengths, new_keys, new_data = [], [], [], []
+                keys, lengths, afters, new_keys, new_data = [], [], [], [], []
                 for x in batch.column(2):
                     ids = np.concatenate([own.encode(x.as_py() or ""), end])
                     ends, start, before, fresh = cut_points(ids), 0, len(keys), len(new_keys)
@@ -226,6 +244,7 @@ def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFram
                         key = hashlib.sha256(data).digest()
                         keys.append(key)
                         lengths.append(stop - start)
+                        afters.append(len(ids) - stop)
                         if key not in met:
                             if len(met) < CACHE_ENTRIES:
                                 met.add(key)
@@ -236,7 +255,7 @@ def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFram
                     roots.append(merkle(keys[before:]))
                     n_chunks.append(len(ends))
                     n_fresh.append(len(new_keys) - fresh)
-                recipe = nested(n_chunks, key=pa.array(keys, pa.binary()), n=pa.array(lengths, pa.int32()))
+                recipe = nested(n_chunks, key=pa.array(keys, pa.binary()), n=pa.array(lengths, pa.int32()), after=pa.array(afters, pa.int64()))
                 fresh_chunks = nested(n_fresh, key=pa.array(new_keys, pa.binary()), data=pa.array(new_data, pa.binary()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(roots, pa.binary()), recipe, fresh_chunks],
@@ -283,18 +302,38 @@ class ChunkStore:
         own = self.recipes.select("row_no", "part", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("within"))
         return own.join(F.broadcast(offsets), "part").select("row_no", (F.col("offset") + F.col("within")).alias("start"))
 
+    def verified_recipes(self) -> DataFrame:
+        """row_no, recipe of every document; fails on one whose chunks don't have its Merkle root or its number of ids."""
+        kind = self.recipes.schema["recipe"].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                recipe = batch.column(1)
+                chunks = recipe.flatten()
+                keys, sizes, after = chunks.field("key").to_pylist(), chunks.field("n").to_numpy(), chunks.field("after").to_numpy()
+                ends = np.cumsum(recipe.value_lengths().to_numpy()).tolist()
+                for start, end, root, n in zip([0, *ends], ends, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    if merkle(keys[start:end]) != root:
+                        raise ValueError("a document's chunks don't have its Merkle root")
+                    own = sizes[start:end]
+                    if own.sum() != n or (n - np.cumsum(own) != after[start:end]).any():
+                        raise ValueError("a document's chunks don't have its number of ids")
+                yield batch.select(["row_no", "recipe"])
+
+        return self.recipes.select("row_no", "recipe", "root", "n_tokens").mapInArrow(run, f"row_no long, recipe {kind}")
+
     def document_crcs(self) -> DataFrame:
         """row_no, ids_crc32, n_read: from the stored chunks alone."""
-        # ids after each chunk, from the recipe itself
-        follow = F.expr("aggregate(slice(recipe, at + 2, size(recipe)), 0L, (s, r) -> s + r.n)")
-        placed = self.recipes.select("row_no", "recipe", F.posexplode("recipe").alias("at", "r")).select("row_no", F.col("r.key").alias("key"), F.col("r.n").alias("want"), (follow * 4).alias("n_bytes"))
+        placed = self.verified_recipes().select("row_no", F.explode("recipe").alias("r")).select("row_no", F.col("r.key").alias("key"), F.col("r.n").alias("want"), (F.col("r.after") * 4).alias("n_bytes"))
         met = placed.join(self.verified_chunks(), "key", "left")
         checked = F.when(F.col("crc").isNull() | (F.col("n") != F.col("want")), F.raise_error(F.lit("a recipe's chunk is missing or of another length"))).otherwise(F.col("crc"))
         parts = met.select("row_no", "n", shifted(checked.cast("long"), "n_bytes").alias("crc"))
         return parts.groupBy("row_no").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("n").alias("n_read"))
 
     def read_back(self) -> DataFrame:
-        """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
+        """doc_id, start, n_tokens, ids_crc32 of every document, from the files; fails if these don't have the manifest's root."""
+        if not self.manifest_holds():
+            raise ValueError("the documents don't have the manifest's root")
         docs = self.recipes.select("row_no", "doc_id")
         return docs.join(self.starts(), "row_no").join(self.document_crcs(), "row_no").select("doc_id", "start", F.col("n_read").alias("n_tokens"), "ids_crc32")
 
