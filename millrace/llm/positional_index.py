@@ -13,16 +13,18 @@ first list.  What is left after the last list is an exact phrase match: all of a
 window's words stand at their places, so no text is read again.  A document's
 lists lie in one segment, hence intersecting needs no shuffle; only hits are
 shuffled, to be merged per document.  Test windows are broadcast in blocks of at
-most ``BLOCK_WINDOWS``, so that a benchmark of any size is matched in rounds; what is broadcast (a block's terms, windows and owners) is
-bounded by that figure.
+most ``BLOCK_WINDOWS``, so that a benchmark of any size, and an item of any length, is
+matched in rounds; what is broadcast (a block's terms, windows and owners) is
+bounded by that figure.  Tasks cut the items into windows; the driver sees a block at a time.
 
-``proximity`` finds the places where an item's rarest terms stand close together.
+``proximity_matches`` finds the places where an item's rarest terms stand close together.
 
 Defined results: null texts and texts without words have no words and no hits;
 items without words match nothing; an item of fewer words than a window is one
 window; repeated documents or items are judged separately, and equal item_ids
 count once; empty tables give rows without hits or no rows; other columns are
-ignored.  A document longer than a segment is a segment of its own.
+ignored.  A document longer than a segment is a segment of its own, and a segment
+has at most ``SEGMENT_DOCUMENTS``, so positions stay within 31 bits.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, read, ship
 
 WINDOW_WORDS = 10
-SEGMENT_WORDS = 1_000_000
+SEGMENT_WORDS, SEGMENT_DOCUMENTS = 1_000_000, 100_000
 GAP = 1_000
 BLOCK_WINDOWS = 200_000
 MAX_ITEM_WORDS = 1 << 30
@@ -96,7 +98,7 @@ def build_index(docs: DataFrame, row: Column | None = None) -> DataFrame:
             key_type = batch.column(1).type
             for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = words_of(text.as_py())
-                if rows and total + len(words) > SEGMENT_WORDS:
+                if rows and (total + len(words) > SEGMENT_WORDS or len(rows) == SEGMENT_DOCUMENTS):
                     yield segment()
                     numbers, ids, rows, keys, sizes, total = _Numbers(), [], [], [], [], 0
                 ids.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
@@ -124,9 +126,11 @@ def term_counts(index: DataFrame, terms: list[str]) -> dict[str, int]:
     return {r["term"]: r["n"] for r in found.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
-def item_windows(text: str | None, size: int = WINDOW_WORDS) -> set[tuple[str, ...]]:
-    words = tuple(w.decode() for w in words_of(text))
-    return {words[k : k + size] for k in range(max(1, len(words) - size + 1))} if words else set()
+def item_windows(text: str | None, size: int = WINDOW_WORDS) -> Iterator[tuple[str, ...]]:
+    """The windows of an item (maybe repeated)."""
+    words = [w.decode() for w in words_of(text)]
+    for k in range(max(1, len(words) - size + 1) if words else 0):
+        yield tuple(words[k : k + size])
 
 
 class Lists:
@@ -207,14 +211,33 @@ def _find_phrases(lists: Lists, plan: list) -> Iterator[tuple[int, np.ndarray, i
                     yield number, at, len(ordered)
 
 
+def windows_of(items: DataFrame, size: int) -> DataFrame:
+    """item_id, window: the distinct windows of the items, words parted by spaces."""
+    ship(items.sparkSession)
+    key = items.schema["item_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, cut = [], []
+            for row, text in enumerate(batch.column(1)):
+                for window in item_windows(text.as_py(), size):
+                    owner.append(row)
+                    cut.append(" ".join(window))
+                    if len(cut) == 10_000:
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(cut)], ["item_id", "window"])
+                        owner, cut = [], []
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(cut, pa.string())], ["item_id", "window"])
+
+    return items.select("item_id", "text").mapInArrow(run, f"item_id {key}, window string").distinct()
+
+
 def _blocks(items: DataFrame, size: int) -> Iterator[dict[tuple[str, ...], list]]:
-    """Distinct windows with their item_ids, in blocks; the items stream through the driver."""
+    """Distinct windows with their item_ids, in blocks that stream through the driver."""
     block: dict[tuple[str, ...], list] = defaultdict(list)
     held = 0
-    for row in items.select("item_id", "text").toLocalIterator(prefetchPartitions=True):
-        for window in item_windows(row["text"], size):
-            block[window].append(row["item_id"])
-            held += 1
+    for row in windows_of(items, size).toLocalIterator():
+        block[tuple(row["window"].split(" "))].append(row["item_id"])
+        held += 1
         if held >= BLOCK_WINDOWS:
             yield block
             block, held = defaultdict(list), 0
@@ -248,7 +271,8 @@ def proximity_matches(index: DataFrame, items: DataFrame, n_terms: int = 3, slop
     """row_no, item_id, start: where an item's ``n_terms`` rarest terms stand within ``slop`` words (under GAP) of the rarest."""
     spark = index.sparkSession
     key = items.schema["item_id"].dataType.simpleString()
-    slop = min(slop, GAP - 1)
+    if slop >= GAP:
+        raise ValueError(f"slop must be under {GAP}, the distance of documents")
 
     def find(lists: Lists, plan: list) -> Iterator[tuple[int, np.ndarray, int]]:
         for number, terms in plan:
