@@ -482,8 +482,12 @@ def format_turns(turns: DataFrame, source: str = CHAT) -> DataFrame:
     """conv_id, turn, role, text, piece, spans: each turn's share of its conversation's output.
 
     A map pass; only a template that looks at ``loop`` or has text outside the
-    loop needs turns numbered, which sorts each conversation (Spark spills it).
+    loop needs turns numbered, which sorts each conversation (Spark spills it).  A
+    template that can't be rendered turn by turn (with statements outside one loop)
+    goes to ``format_conversations``.
     """
+    if compile_template(source).body is None:
+        return format_conversations(turns, source)
     ship(turns.sparkSession)
     rows = turns.select("conv_id", "turn", "role", "text")
     if compile_template(source).uses_loop:
@@ -509,6 +513,41 @@ def format_turns(turns: DataFrame, source: str = CHAT) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def format_conversations(turns: DataFrame, source: str) -> DataFrame:
+    """conv_id, turn, role, text, piece, spans: a row per conversation, rendered whole; turn, role and text are null.
+
+    For templates of any form.  Turns come sorted, and a task holds one conversation
+    and its output at a time, so its memory grows with the longest conversation.
+    """
+    ship(turns.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in turns.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        template, held, at, type_ = compile_template(source), [], None, None
+        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+        def rendered() -> pa.RecordBatch:
+            out = template.render(held)
+            spans = [{"start": a, "end": b} for a, b in out.spans]
+            return pa.RecordBatch.from_arrays([pa.array([at], type_), pa.array([out.text], pa.string()), pa.array([spans], span)], ["conv_id", "piece", "spans"])
+
+        for batch in batches:
+            type_ = batch.column(0).type
+            for key, role, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if held and key != at:
+                    yield rendered()
+                    held = []
+                at = key
+                held.append({"role": role, "text": text})
+        if held:
+            yield rendered()
+
+    ordered = turns.select("conv_id", "role", "text", "turn").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
+    whole = ordered.mapInArrow(run, f"conv_id {kinds['conv_id']}, piece string, spans array<struct<start: int, end: int>>")
+    nothing = [F.lit(None).cast(kinds[c]).alias(c) for c in ("turn", "role", "text")]
+    return whole.select("conv_id", *nothing, "piece", "spans")
+
+
 def digest(formatted: DataFrame) -> DataFrame:
     """Per conversation, what its formatted output says when read back.
 
