@@ -13,6 +13,7 @@ QUERIES: dict[str, Query] = {
     "op5_url_rules": url_rules.query,
     "op6_ftrl_toxicity": ftrl_toxicity.query,
     "op7_rule_ledger": rule_ledger.query,
+    "rule_ablations": rule_ledger.ablation_query,
     "op8_bigru_langid": bigru_langid.query,
     "op9_chat_template": chat_template.query,
     "op10_monoid_bpe": monoid_bpe.query,
@@ -22,5 +23,6 @@ ORACLES: dict[str, str] = {
     "op3_positional_index": positional_index.ORACLE,
     "op5_url_rules": url_rules.ORACLE,
     "op7_rule_ledger": rule_ledger.ORACLE,
+    "rule_ablations": rule_ledger.ABLATION_ORACLE,
     "op9_chat_template": chat_template.ORACLE,
 }

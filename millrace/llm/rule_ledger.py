@@ -2,7 +2,8 @@
 
 Every rule is evaluated once per document in one map pass; the ledger keeps the
 measurements and one bit per failed rule.  Versioned policies are masks over
-those bits, so a policy change or an ablation reads only the ledger: a document
+those bits.  The ledger is written once, with its version; a policy, a change of
+policy or an ablation reads only the written ledger: a document
 passes a policy when ``bits & mask = 0``, and an ablation of rule r passes where
 ``bits & (mask & ~r) = 0``.  Ablations aggregate with partial sums, one row per
 rule, whatever the corpus size.
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, ship
+from .common import Scratch, read, ship
 
 WINDOW = 5
 SPACE = re.compile(r"[\x20\x09-\x0D]")
@@ -85,6 +86,8 @@ RULES: dict[str, tuple[int, str]] = {
     "odd_word_length": (64, "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)"),
 }
 BASE_MASK = 1 | 2
+#: Changes with RULES: bits of another version mean other rules.
+LEDGER_VERSION = 1
 #: A policy is a version's mask over the rule bits.
 POLICIES: dict[str, int] = {"base": BASE_MASK, "v1": BASE_MASK | 4 | 16 | 32, "v2": 127}
 
@@ -99,6 +102,17 @@ def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return docs.select(*keep, each("text").alias("m")).select(*keep, "m.*").withColumn("fail_bits", bits)
 
 
+def write_ledger(docs: DataFrame, scratch: Scratch, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ledger of ``docs``, written with its version and read back."""
+    return scratch.table(ledger(docs, keep).withColumn("ledger_version", F.lit(LEDGER_VERSION)), "ledger")
+
+
+def current(rows: DataFrame) -> DataFrame:
+    """A read ledger; fails on rows of another version of the rules."""
+    known = F.col("ledger_version") == LEDGER_VERSION
+    return rows.withColumn("fail_bits", F.when(known, F.col("fail_bits")).otherwise(F.raise_error(F.lit("a ledger of other rules")).cast("int")))
+
+
 def passes(mask: int) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(mask)) == 0
 
@@ -127,13 +141,21 @@ def ablations(rows: DataFrame, version: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = apply_policy(ledger(read(spark, sf_dir, "documents").select("doc_id", "text")), "v1")
+    written = write_ledger(read(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "rule-ledger"))
+    rows = apply_policy(current(written), "v1")
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~passes(BASE_MASK)).alias("base_failed"), "kept", "fail_bits",
     )
 
 
+def ablation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ablations of each policy over the written ledger of all documents."""
+    rows = current(write_ledger(read(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "rule-ledger")))
+    found = [ablations(rows, version).select(F.lit(version).alias("policy"), "*") for version in POLICIES]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -165,3 +187,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND (fail_bits & 52) = 0 AS kept, fail_bits
 FROM f
 """
+
+ABLATION_ORACLE = ORACLE[: ORACLE.rindex("SELECT doc_id")].rstrip() + r""",
+rules AS (SELECT * FROM (VALUES ('too_few_words', 1), ('repeated_windows', 2), ('symbol_noise', 4), ('repeated_lines', 8), ('shouting', 16), ('exclamations', 32), ('odd_word_length', 64)) r(rule, bit)),
+policies AS (SELECT * FROM (VALUES ('base', 3), ('v1', 55), ('v2', 127)) p(policy, mask))
+SELECT policy, rule, (SELECT count(*) FROM f) AS n, (SELECT count(*) FROM f WHERE fail_bits & mask = 0) AS kept,
+  (SELECT count(*) FROM f WHERE fail_bits & bit <> 0) AS n_failing, (SELECT count(*) FROM f WHERE fail_bits & mask = bit) AS n_only_this,
+  (SELECT count(*) FROM f WHERE fail_bits & (mask & ~bit) = 0) AS n_kept_without
+FROM policies, rules WHERE mask & bit <> 0
+"""

@@ -190,7 +190,7 @@ def test_pipeline(spark):
     want = brute_components(rows.items(), 5, 4, 5)
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()}
     assert kept == {i for i, (_, c) in want.items() if i == c}
-    items = [positional_index.item_windows(r.text) for r in read(spark, SMALL, "benchmark").collect()]
+    items = [set(positional_index.item_windows(r.text)) for r in read(spark, SMALL, "benchmark").collect()]
     windows = defaultdict(set)
     for ws in items:
         for w in ws:
