@@ -17,7 +17,11 @@ return the columns of ``docs`` for the documents they keep:
 Rows are told apart by their place in the stage's input, so repeated doc_ids are
 separate documents and repeated rows are copies.  A stage that needs these places
 in more than one job writes the numbered rows first, as a later scan of the same
-files may be split otherwise.
+files may be split otherwise.  What a stage needs only on the way is deleted once
+the rows that it drops are written.
+
+Any column may be null, and other columns are carried along whatever their names;
+an empty table passes through every stage as an empty table.
 """
 
 from __future__ import annotations
@@ -35,12 +39,25 @@ NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 4, 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the vote of labelled neighbours keeps.
+
+    Null and empty texts score 0 and go; repeated rows stay or go together; a score
+    equal to the threshold stays.  Without any usable label every score is 0.5 and
+    all stay.  Null ids are scored but never learned from.
+    """
     model = knn_quality.fit(docs, read(spark, sf_dir, "labels"), F.lit(True))
     score = spare(docs, "score")
     return knn_quality.score_documents(docs, model, score).where(F.col(score) >= knn_quality.THRESHOLD).select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language.
+
+    Null texts and texts without a letter are ``und`` and go; repeated rows stay or
+    go together; a probability equal to the least stays.  Without any learned
+    language all are ``und``.  ``LEAST_LANGUAGE`` is just above chance for four
+    languages, so that no clean document is lost to an uncertain net.
+    """
     net = bigru_langid.fit(docs, F.lit(True))
     found = spare(docs, "found")
     known = (F.col(f"{found}.lang_pred") != bigru_langid.UNKNOWN) & (F.col(f"{found}.score") >= LEAST_LANGUAGE)
@@ -54,24 +71,37 @@ def numbered_rows(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "near-duplicates")
+    """One document of each group of near copies, the first in the input.
+
+    Null texts and texts without words are in no group and stay; of repeated rows
+    and of copies with one similarity alike the first row stays.
+    """
+    scratch, passing = Scratch(spark, "near-duplicates"), Scratch(spark, "near-duplicates-passing")
     numbered, row = numbered_rows(docs, scratch)
     by_row = numbered.select(F.col(row).alias("doc_id"), "text")
-    found = prefix_tree_join.jaccard_components(by_row, NEAR_WORDS, NEAR_NUM, NEAR_DEN, scratch)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(row))
+    found = prefix_tree_join.jaccard_components(by_row, NEAR_WORDS, NEAR_NUM, NEAR_DEN, passing)
+    gone = scratch.table(found.where("doc_id <> component_id").select(F.col("doc_id").alias(row)), "gone")
+    passing.drop()
     return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "decontamination")
+    """Documents without a passage of the benchmark.
+
+    Null texts and texts without words hold none and stay; repeated rows stay or go
+    together; an empty benchmark keeps all.
+    """
+    scratch, passing = Scratch(spark, "decontamination"), Scratch(spark, "decontamination-passing")
     numbered, row = numbered_rows(docs, scratch)
-    index = scratch.table(positional_index.build_index(numbered, F.col(row)), "segments")
-    hits = scratch.table(positional_index.phrase_matches(index, read(spark, sf_dir, "benchmark")).select("row_no").distinct(), "hits")
-    gone = hits.select(F.col("row_no").alias(row))
+    index = passing.table(positional_index.build_index(numbered, F.col(row)), "segments")
+    hits = positional_index.phrase_matches(index, read(spark, sf_dir, "benchmark")).select("row_no").distinct()
+    gone = scratch.table(hits.select(F.col("row_no").alias(row)), "gone")
+    passing.drop()
     return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every document; a null text is empty, and every row has its row."""
     return monoid_bpe.query(spark, sf_dir, docs)
 
 
