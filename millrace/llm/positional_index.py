@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, read, ship
 
 WINDOW_WORDS = 10
-SEGMENT_WORDS, SEGMENT_DOCUMENTS = 1_000_000, 100_000
+SEGMENT_WORDS, SEGMENT_DOCUMENTS = 400_000, 100_000
 GAP = 1_000
 BLOCK_WINDOWS = 200_000
 MAX_ITEM_WORDS = 1 << 30

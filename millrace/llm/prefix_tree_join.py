@@ -33,6 +33,8 @@ prefixes.  The steps:
    all links.  A sketch is one bit of parity for each of 256 parts of a whole set;
    sketches differ in no more bits than their sets do in shingles, so near copies
    of one text that aren't similar enough to each other never become a pair.
+   Sets of ``LONG`` shingles or more carry the sizes of those parts too, whose
+   differences add up to no more than the sets' own.
 
 Nothing is collected but the frequent list.  Verification sends only the texts
 of involved classes, grouped by leader and salted by the leader's degree.
@@ -64,6 +66,9 @@ PICKS, NEAR_BLOCK, BLOCK = 4, 64, 256
 HUB = 100
 #: Columns of a set's sketch, 64 bits each.
 SKETCH = ["s0", "s1", "s2", "s3"]
+LONG = 400
+#: Rows of a batch that are Python lists at a time.
+SLICE = 256
 BROADCAST_ROWS = 100_000
 CACHE_ENTRIES = 400_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -104,6 +109,13 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def part_sizes(found: np.ndarray) -> bytes | None:
+    """How many shingles of a long set are in each of 256 parts of the hash values, 255 at most."""
+    if len(found) < LONG:
+        return None
+    return np.minimum(np.bincount((found & np.uint64(255)).astype(np.intp), minlength=256), 255).astype(np.uint8).tobytes()
+
+
 def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
     """The most frequent shingles, ascending by count: an order for step 2."""
 
@@ -171,16 +183,20 @@ def document_sets(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndar
                 keys = [set_key(f) if len(f) else None for f in found]
                 prefixes = [order.codes(f)[: prefix_length(len(f), num, den)] for f in found]
                 sketches = np.array([sketch(f) for f in found]).reshape(-1, len(SKETCH))
-                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(s, pa.int64()) for s in sketches.T)], ["doc_id", "size", "key", "prefix", *SKETCH])
+                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array([part_sizes(f) for f in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(s, pa.int64()) for s in sketches.T)], ["doc_id", "size", "key", "prefix", "parts", *SKETCH])
 
     sketched = ", ".join(f"{s} long" for s in SKETCH)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size long, key binary, prefix array<long>, {sketched}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size long, key binary, prefix array<long>, parts binary, {sketched}")
 
 
 # --- the prefix tree -----------------------------------------------------------------
 
 
+#: Parts that a row plays in a group.
+MEMBER, PROBE, BOTH = 0, 1, 2
+
+
 def narrowed(code: int) -> int:
     """31 bits of a code; codes that are equal then count as shared, which only adds candidates."""
     return code & (1 << 30) - 1 | 1 << 30 if code >> 62 else code >> 32
@@ -198,13 +214,14 @@ class Member:
     shingle's, or -1 where the codes are those of the whole prefix.
     """
 
-    __slots__ = ("after", "comp", "cid", "last", "length", "place", "places", "role", "size", "sketch")
+    __slots__ = ("after", "comp", "cid", "last", "length", "parts", "place", "places", "role", "size", "sketch")
 
     def __init__(self, cid: int, comp: int, role: int, size: int, length: int, last: int, place: int, *rest):
-        *parts, codes, places = rest
+        *parity, parts, codes, places = rest
         self.cid, self.comp, self.role, self.size, self.length, self.last = cid, comp, role, size, length, last
         self.place, self.after, self.places = place, codes, places
-        self.sketch = int.from_bytes(b"".join(p.to_bytes(8, "little", signed=True) for p in parts), "little")
+        self.sketch = int.from_bytes(b"".join(p.to_bytes(8, "little", signed=True) for p in parity), "little")
+        self.parts = None if parts is None else np.frombuffer(parts, np.uint8).astype(np.int16)
 
     def room(self, i: int) -> int:
         """At most so many shingles stand behind the first ``i`` codes."""
@@ -261,7 +278,12 @@ def reach(x: Member, y: Member, i: int, j: int, shared: int, num: int, den: int)
         return 0
     a, b = x.after, y.after
     need = needed(x.size, y.size, num, den)
-    if (x.sketch ^ y.sketch).bit_count() > x.size + y.size - 2 * need:
+    apart = x.size + y.size - 2 * need
+    if (x.sketch ^ y.sketch).bit_count() > apart:
+        return 0
+    if shared + min(x.room(i), y.room(j)) < need:
+        return 0
+    if x.parts is not None and y.parts is not None and int(np.abs(x.parts - y.parts).sum()) > apart:
         return 0
     while i < len(a) and j < len(b):
         if shared + min(x.room(i), y.room(j)) < need:
@@ -286,6 +308,22 @@ def reach(x: Member, y: Member, i: int, j: int, shared: int, num: int, den: int)
     return shared if shared + min(left_x, left_y) >= need else 0
 
 
+def hopeful(members: list[Member], num: int, den: int) -> list[Member]:
+    """Members and probes that sizes, components and sketches leave some partner; all at once, by the group's matrix."""
+    probes = [m for m in members if m.role != MEMBER]
+    stored = [m for m in members if m.role != PROBE]
+    if len(probes) * len(stored) < 50:
+        return members
+    sizes, comps = (tuple(np.array([getattr(m, what) for m in side], np.int64) for side in (probes, stored)) for what in ("size", "comp"))
+    bits = [np.frombuffer(b"".join(m.sketch.to_bytes(32, "little") for m in side), np.uint64).reshape(-1, 4) for side in (probes, stored)]
+    x, y = sizes[0][:, None], sizes[1][None, :]
+    apart = x + y + 2 * (-num * (x + y) // (num + den))
+    differ = np.bitwise_count(bits[0][:, None, :] ^ bits[1][None, :, :]).sum(axis=2, dtype=np.int64)
+    fit = (differ <= apart) & (comps[0][:, None] != comps[1][None, :]) & (num * x <= den * y) & (num * y <= den * x)
+    left = {id(m) for side, some in ((probes, fit.any(axis=1)), (stored, fit.any(axis=0))) for m, ok in zip(side, some.tolist()) if ok}
+    return [m for m in members if id(m) in left]
+
+
 def leaves(below: Node) -> Iterator[Member]:
     """All members of a subtree."""
     stack: list[Node | Member] = [below]
@@ -343,13 +381,13 @@ def traverse(root: Node, probes: list[Member], num: int, den: int, met: int) ->
                 stack.append((below, depth + 1, down))
 
 
-def walked(sent: DataFrame, key: list[str], found) -> DataFrame:
+def walked(sent: DataFrame, key: list[str], num: int, den: int, found) -> DataFrame:
     """a, b: the pairs that ``found(members)`` yields for each group of rows with equal keys; a group is held at a time.
 
     The other columns are those of ``Member``.
     """
     width = len(key)
-    columns = ["cid", "comp", "role", "size", "length", "last", "place", *SKETCH, "codes"]
+    columns = ["cid", "comp", "role", "size", "length", "last", "place", *SKETCH, "parts", "codes"]
     rows = sent.select(*key, *columns).repartition(*key).sortWithinPartitions(*key)
 
     def unpacked(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -370,18 +408,18 @@ def walked(sent: DataFrame, key: list[str], found) -> DataFrame:
             return done
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                for row in unpacked(whole.slice(at, 2048)):
+            for at in range(0, whole.num_rows, SLICE):
+                for row in unpacked(whole.slice(at, SLICE)):
                     if group != row[:width]:
                         if len(held) > 1:
-                            for pair in found([Member(*m) for m in held]):
+                            for pair in found(hopeful([Member(*m) for m in held], num, den)):
                                 out.append(pair)
                                 if len(out) > 10_000:
                                     yield flush()
                         group, held = row[:width], []
                     held.append(row[width:])
         if len(held) > 1:
-            for pair in found([Member(*m) for m in held]):
+            for pair in found(hopeful([Member(*m) for m in held], num, den)):
                 out.append(pair)
                 if len(out) > 10_000:
                     yield flush()
@@ -391,15 +429,11 @@ def walked(sent: DataFrame, key: list[str], found) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-#: Parts that a row plays in a group.
-MEMBER, PROBE, BOTH = 0, 1, 2
-
-
 def held_codes(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """Per class with a shared prefix shingle: those codes, each packed with its place, and what bounds need."""
     found = shared.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("t", "place"))).alias("held"))
     packed = F.expr(f"transform(held, h -> shiftleft({NARROWED.format(c='h.t')}, 32) | h.place)")
-    return found.select("cid", packed.alias("codes")).join(classes.select("cid", "size", "length", "last", *SKETCH), "cid")
+    return found.select("cid", packed.alias("codes")).join(classes.select("cid", "size", "length", "last", "parts", *SKETCH), "cid")
 
 
 def first_walk(held: DataFrame, num: int, den: int) -> DataFrame:
@@ -420,7 +454,7 @@ def first_walk(held: DataFrame, num: int, den: int) -> DataFrame:
         for cid, (leads, _, other) in best.items():
             yield (-other, cid) if leads else (min(-other, cid), max(-other, cid))
 
-    return walked(sent, ["t", "side"], found)
+    return walked(sent, ["t", "side"], num, den, found)
 
 
 def second_walk(shared: DataFrame, held: DataFrame, stars: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
@@ -456,7 +490,7 @@ def second_walk(shared: DataFrame, held: DataFrame, stars: DataFrame, num: int,
         for x, y, _ in traverse(plant([m for m in members if m.role != PROBE]), [m for m in members if m.role != MEMBER], num, den, 1):
             yield (min(x.cid, y.cid), max(x.cid, y.cid))
 
-    return walked(sent, ["t", "g", "side", "chunk"], found)
+    return walked(sent, ["t", "g", "side", "chunk"], num, den, found)
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
@@ -498,7 +532,7 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, scratch: Scr
     ship(docs.sparkSession)
     frequent = frequent_shingles(docs, n)
     sets = scratch.table(document_sets(docs, n, num, den, frequent), "sets")
-    grouped = sets.where("size > 0").groupBy("key", "size", "prefix", *SKETCH).agg(F.min("doc_id").alias("doc_id"))
+    grouped = sets.where("size > 0").groupBy("key", "size", "prefix", *SKETCH).agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"))
     lengths = grouped.withColumn("length", F.size("prefix")).withColumn("last", F.element_at("prefix", -1))
     classes = scratch.table(lengths.withColumn("cid", F.monotonically_increasing_id()), "classes")
     tokens = classes.select("cid", "size", F.posexplode("prefix").alias("place", "t"))
