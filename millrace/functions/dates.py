@@ -14,6 +14,9 @@ RELATIVE = (
     r"(?i)(?:^|\s)(?:about\s+|over\s+|almost\s+|nearly\s+)?(\d+)\s*\+?\s*"
     r"(second|sec|minute|min|hour|hr|day|week|month|mo|year|s|m|h|d|w|y)s?\.?\s*ago\b"
 )
+#: Ages beyond this many seconds are no dates.
+LONGEST_AGO = 60_000_000_000
+#: The confidences of a date, from the least, and the months' names.
 CONFIDENCE = ("UNKNOWN", "DATE_ONLY", "RELATIVE_PARSED", "EXACT")
 MONTH_NAMES = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -40,7 +43,8 @@ def posted_at(raw: Column, captured_at: Column) -> Column:
     number = text.try_cast("long")
     epoch = F.when(text.rlike(r"^\d{10,13}$"), F.timestamp_millis(F.when(number < 100_000_000_000, number * 1000).otherwise(number)))
     units = F.create_map(*[F.lit(x) for pair in UNIT_SECONDS.items() for x in pair])
-    ago = F.regexp_extract(text, RELATIVE, 1).try_cast("long") * units[F.lower(F.regexp_extract(text, RELATIVE, 2))]
+    ago = F.try_multiply(F.regexp_extract(text, RELATIVE, 1).try_cast("long"), units[F.lower(F.regexp_extract(text, RELATIVE, 2))].cast("long"))
+    ago = F.when(ago <= LONGEST_AGO, ago)
     relative = F.timestamp_seconds(F.unix_micros(captured_at) / 1_000_000 - ago)
     iso_time = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), text.try_cast("timestamp"))
     iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))

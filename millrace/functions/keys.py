@@ -86,6 +86,7 @@ def slug_candidates(name: Column) -> Column:
 
 
 def fnv1a32(text: Column) -> Column:
-    """FNV-1a of the text's UTF-8 bytes, as an unsigned number."""
-    codes = F.transform(F.filter(F.split(F.regexp_replace(F.hex(F.encode(text, "utf-8")), "(..)", "$1 "), " "), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("long"))
-    return F.aggregate(codes, F.lit(0x811C9DC5).cast("long"), lambda h, b: F.pmod(h.bitwiseXOR(b) * F.lit(0x01000193).cast("long"), F.lit(1 << 32)))
+    """FNV-1a of the text's UTF-16 units, as eight hexadecimal digits."""
+    codes = F.transform(F.filter(F.split(F.regexp_replace(F.hex(F.encode(text, "utf-16be")), "(....)", "$1 "), " "), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("long"))
+    value = F.aggregate(codes, F.lit(0x811C9DC5).cast("long"), lambda h, b: F.pmod(h.bitwiseXOR(b) * F.lit(0x01000193).cast("long"), F.lit(1 << 32)))
+    return F.lpad(F.lower(F.hex(value)), 8, "0")

@@ -32,9 +32,9 @@ def nearest_rank(value: str, *shares: float) -> list[Column]:
 
 
 def fingerprint(rows: DataFrame, by: str, order: str, text: Column) -> DataFrame:
-    """SHA-256 of each group's texts in order."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), text.alias("t")))), lambda x: x.t)
-    return rows.groupBy(by).agg(F.sha2(F.array_join(parts, "|"), 256).alias("fingerprint"), F.count("*").alias("n"))
+    """SHA-256 of each group's trimmed texts in order, as a JSON array, so that no text runs into the next."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), text.alias("t")))), lambda x: F.trim(x.t))
+    return rows.groupBy(by).agg(F.sha2(F.to_json(parts), 256).alias("fingerprint"), F.count("*").alias("n"))
 
 
 def forward_filled(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:

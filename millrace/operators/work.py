@@ -22,10 +22,10 @@ VERIFICATION = {
 }
 #: Systems that a source's name may stand for, in order of preference.
 SYSTEMS = ("greenhouse", "lever", "ashby", "smartrecruiters", "workday", "icims", "taleo", "successfactors", "usajobs", "manual")
-#: Review reasons in their order.
+#: Review reasons, in the order in which they are reported.
 REVIEW_REASONS = (
-    "DEMO_OR_FIXTURE", "POSTING_CLOSED", "EMPLOYER_NOT_APPROVED", "LOCATION_MISMATCH", "COMPANY_MISMATCH", "JOB_ID_MISMATCH", "NETWORK_FAILURE",
-    "PARSING_FAILURE", "STALE_VERIFICATION", "OFFICIAL_JOB_NOT_FOUND", "MISSING_EVIDENCE", "ATS_TENANT_NOT_PROVEN",
+    "EMPLOYER_NOT_APPROVED", "OFFICIAL_JOB_NOT_FOUND", "ATS_TENANT_NOT_PROVEN", "POSTING_CLOSED", "JOB_ID_MISMATCH", "COMPANY_MISMATCH",
+    "LOCATION_MISMATCH", "NETWORK_FAILURE", "PARSING_FAILURE", "STALE_VERIFICATION", "DEMO_OR_FIXTURE", "MISSING_EVIDENCE",
 )
 
 
@@ -75,10 +75,17 @@ def mail_matches(mails: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def progressed(events: DataFrame, by: Sequence[str], status: str, order: str) -> DataFrame:
-    """Each owner's state: the last final one if any, else the highest rank reached."""
+    """Each owner's state after its events in order, which must be unique for an owner.
+
+    A final state always applies and has no rank, so a ranked one that follows it
+    applies again; of ranked states only a higher one does.
+    """
     rank = F.coalesce(F.create_map(*[F.lit(x) for kv in STATUS_RANK.items() for x in kv])[F.col(status)], F.lit(0))
-    final = F.max_by(status, F.when(F.col(status).isin(*FINAL_STATUS), F.col(order)))
-    return events.groupBy(*by).agg(F.coalesce(final, F.max_by(status, F.when(rank > 0, F.struct(rank, -F.col(order))))).alias("status"))
+    ended = F.when(F.col(status).isin(*FINAL_STATUS), F.col(order))
+    last = events.groupBy(*by).agg(F.max(ended).alias("_last"))
+    since = events.join(last, list(by)).where(F.col("_last").isNull() | (F.col(order) >= F.col("_last")))
+    reached = F.max_by(status, F.when(rank > 0, F.struct(rank, -F.col(order))))
+    return since.groupBy(*by).agg(F.coalesce(reached, F.max_by(status, ended)).alias("status"))
 
 
 def due(rows: DataFrame, state: str, next_at: str, now: Column) -> DataFrame:
@@ -137,13 +144,14 @@ def in_active_feed(status: Column, source: Column, demo: Column, aggregators: Se
     return ~barred & ~state.isin("quarantined", "destination_unavailable", "destination_mismatch") & ((state == "official_destination_verified") | F.coalesce(kind == "manual", F.lit(False)))
 
 
-def review_reason(demo: Column, closed: Column, approved: Column, reason: Column, verified_at: Column, now: Column, url: Column, evidence: Column) -> Column:
+def review_reason(demo: Column, closed: Column, approved: Column, reason: Column, verified_at: Column, now: Column, url: Column, evidence: Column, available: Column | None = None) -> Column:
     """The first reason why a posting needs review."""
     r = F.coalesce(reason, F.lit(""))
     mismatch = r.rlike("(?i)doesn.t match|mismatch")
     return (
         F.when(demo | r.rlike("(?i)fixture|mock test"), "DEMO_OR_FIXTURE")
         .when(closed | r.rlike("(?i)closed|no longer open|404"), "POSTING_CLOSED")
+        .when(~(F.lit(True) if available is None else available), "MISSING_EVIDENCE")
         .when(~approved, "EMPLOYER_NOT_APPROVED")
         .when(r.rlike("(?i)location") & mismatch, "LOCATION_MISMATCH")
         .when(r.rlike("(?i)company") & mismatch, "COMPANY_MISMATCH")

@@ -34,26 +34,13 @@ def multi_col_antijoin(t: Tables) -> DataFrame:
 
 
 @query("tiered_identity", """
-WITH n AS (SELECT p_partkey AS key, CASE WHEN p_partkey % 4 = 0 THEN p_name END AS name, CASE WHEN p_partkey % 3 = 0 THEN p_brand || p_type ELSE 'x' END AS model, p_size AS size FROM part WHERE p_partkey % 5 = 0),
-e AS (SELECT p_partkey AS id, p_name AS name, p_brand || p_type AS model, p_size AS size FROM part),
-m AS (SELECT key, 1 AS tier, min(id) AS match_id FROM n JOIN e USING (name) GROUP BY key UNION ALL SELECT key, 2, min(id) FROM n JOIN e USING (model, size) GROUP BY key)
-SELECT n.key, b.tier, b.match_id FROM n LEFT JOIN (SELECT key, min(tier) AS tier, arg_min(match_id, tier) AS match_id FROM m GROUP BY key) b ON b.key = n.key
-""")
-def tiered_identity(t: Tables) -> DataFrame:
-    model = F.concat("p_brand", "p_type")
-    new = t.part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("key"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).alias("name"), F.when(F.col("p_partkey") % 3 == 0, model).otherwise("x").alias("model"), F.col("p_size").alias("size"))
-    old = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), model.alias("model"), F.col("p_size").alias("size"))
-    return identity.tiered_identity(new, old, [["name"], ["model", "size?"]], "key", "id").select("key", "tier", "match_id")
-
-
-@query("tiered_identity_whole", """
 WITH n AS (SELECT p_partkey AS key, CASE WHEN p_partkey % 4 = 0 THEN p_name END AS name, CASE WHEN p_partkey % 3 = 0 THEN p_brand || p_type ELSE 'x' END AS model, p_size AS size FROM part),
 e AS (SELECT p_partkey AS id, p_name AS name, p_brand || p_type AS model, p_size AS size FROM part),
 m AS (SELECT key, 1 AS tier, min(id) AS match_id FROM n JOIN e USING (name) GROUP BY key UNION ALL SELECT key, 2, min(id) FROM n JOIN e USING (model, size) GROUP BY key)
 SELECT n.key, b.tier, b.match_id FROM n LEFT JOIN (SELECT key, min(tier) AS tier, arg_min(match_id, tier) AS match_id FROM m GROUP BY key) b ON b.key = n.key
 """)
-def tiered_identity_whole(t: Tables) -> DataFrame:
-    """``tiered_identity`` with every part as incoming."""
+def tiered_identity(t: Tables) -> DataFrame:
+    """With every part as incoming."""
     model = F.concat("p_brand", "p_type")
     new = t.part.select(F.col("p_partkey").alias("key"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).alias("name"), F.when(F.col("p_partkey") % 3 == 0, model).otherwise("x").alias("model"), F.col("p_size").alias("size"))
     old = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), model.alias("model"), F.col("p_size").alias("size"))
@@ -109,23 +96,11 @@ _TOKENS_SQL = "list_distinct(list_filter(string_split(trim(regexp_replace(regexp
 
 
 @query("fuzzy_best_match", f"""
-WITH l AS (SELECT p_partkey AS l_key, p_brand, p_name AS l_name FROM part WHERE p_partkey % 10 = 0), r AS (SELECT p_partkey AS r_key, p_brand, p_name AS r_name FROM part WHERE p_partkey % 10 <> 0),
-s AS (SELECT l_key, r_key, CASE WHEN l_name = r_name THEN 1.0 ELSE len(list_intersect({_TOKENS_SQL.format(c='l_name')}, {_TOKENS_SQL.format(c='r_name')})) / greatest(len({_TOKENS_SQL.format(c='l_name')}), len({_TOKENS_SQL.format(c='r_name')})) END AS score FROM l JOIN r USING (p_brand))
-SELECT l_key, r_key, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY l_key ORDER BY score DESC, r_key) AS rn FROM s WHERE score >= 0.3) WHERE rn = 1
-""")
-def fuzzy_best_match(t: Tables) -> DataFrame:
-    left = t.part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("l_key"), "p_brand", F.col("p_name").alias("l_name"))
-    right = t.part.where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("r_key"), "p_brand", F.col("p_name").alias("r_name"))
-    out = identity.best_match(left, right, ["p_brand"], text.token_similarity(F.col("l_name"), F.col("r_name")), "l_key", "r_key", 0.3)
-    return out.select("l_key", "r_key", F.round("score", 6).alias("score"))
-
-
-@query("fuzzy_best_match_whole", f"""
 WITH p AS (SELECT p_partkey, p_brand, p_name, {_TOKENS_SQL.format(c='p_name')} AS w FROM part),
 s AS (SELECT l.p_partkey AS l_key, r.p_partkey AS r_key, CASE WHEN l.p_name = r.p_name THEN 1.0 ELSE len(list_intersect(l.w, r.w)) / greatest(len(l.w), len(r.w)) END AS score FROM p l JOIN p r ON l.p_brand = r.p_brand AND l.p_partkey <> r.p_partkey)
 SELECT l_key, r_key, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY l_key ORDER BY score DESC, r_key) AS rn FROM s WHERE score >= 0.3) WHERE rn = 1
 """)
-def fuzzy_best_match_whole(t: Tables) -> DataFrame:
+def fuzzy_best_match(t: Tables) -> DataFrame:
     """Every part with the most similar other part of its brand."""
     name = F.col("p_name")
     out = identity.best_other(t.part, "p_brand", "p_name", "p_partkey", text.token_set(name), F.nullif(text.normalized(name), F.lit("")), text.token_similarity, 0.3)

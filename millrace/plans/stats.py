@@ -146,7 +146,9 @@ def priority_fill(t: Tables) -> DataFrame:
     return summaries.priority_fill(t.orders, rank, [due.asc_nulls_first(), F.asc("o_orderkey")], 200).select("o_orderkey", "priority_rank")
 
 
-@query("fingerprint", "SELECT o_custkey, sha256(string_agg(CAST(o_orderkey AS VARCHAR) || ':' || o_orderstatus, '|' ORDER BY o_orderkey)) AS fingerprint, count(*) AS n FROM orders GROUP BY o_custkey")
+@query("fingerprint", """
+SELECT o_custkey, sha256('[' || string_agg('"' || CAST(o_orderkey AS VARCHAR) || ':' || o_orderstatus || '"', ',' ORDER BY o_orderkey) || ']') AS fingerprint, count(*) AS n FROM orders GROUP BY o_custkey
+""")
 def fingerprint(t: Tables) -> DataFrame:
     return summaries.fingerprint(t.orders, "o_custkey", "o_orderkey", F.concat_ws(":", "o_orderkey", "o_orderstatus"))
 
@@ -181,19 +183,10 @@ def backoff(t: Tables) -> DataFrame:
 
 
 @query("work_generation", """
-SELECT n_nationkey, p_partkey FROM nation, (SELECT p_partkey FROM part WHERE p_size = 1) p
-WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey = n_nationkey AND l_partkey = p_partkey)
-""")
-def work_generation(t: Tables) -> DataFrame:
-    done = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("s_nationkey").alias("n_nationkey"), F.col("l_partkey").alias("p_partkey"))
-    return summaries.missing_work(t.nation.select("n_nationkey"), t.part.where("p_size = 1").select("p_partkey"), done, ["n_nationkey", "p_partkey"])
-
-
-@query("work_generation_whole", """
 SELECT n_nationkey, p_partkey FROM nation, (SELECT p_partkey FROM part) p
 WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey = n_nationkey AND l_partkey = p_partkey)
 """)
-def work_generation_whole(t: Tables) -> DataFrame:
+def work_generation(t: Tables) -> DataFrame:
     """``work_generation`` over all parts."""
     done = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("s_nationkey").alias("n_nationkey"), F.col("l_partkey").alias("p_partkey"))
     return summaries.missing_work(t.nation.select("n_nationkey"), t.part.select("p_partkey"), done, ["n_nationkey", "p_partkey"])

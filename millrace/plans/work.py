@@ -14,21 +14,11 @@ def _now():
 
 
 @query("company_lookup", """
-WITH n AS (SELECT s_suppkey, lower(regexp_replace(s_name, '[^A-Za-z0-9]+', '', 'g')) AS k FROM supplier), c AS (SELECT c_custkey, lower(regexp_replace(regexp_replace(c_name, 'Customer', 'Supplier'), '[^A-Za-z0-9]+', '', 'g')) AS k FROM customer WHERE c_custkey % 3 = 0),
-m AS (SELECT s_suppkey, 1 AS tier, c_custkey AS id FROM n JOIN c USING (k) UNION ALL SELECT s_suppkey, 2, c_custkey FROM n JOIN c ON contains(n.k, c.k) OR contains(c.k, n.k) WHERE length(n.k) >= 5 AND length(c.k) >= 5)
-SELECT n.s_suppkey, b.id AS match_id FROM n LEFT JOIN (SELECT s_suppkey, arg_min(id, (tier, id)) AS id FROM m GROUP BY 1) b USING (s_suppkey)
-""")
-def company_lookup(t: Tables) -> DataFrame:
-    c = t.customer.where("c_custkey % 3 = 0").select("c_custkey", F.regexp_replace("c_name", "Customer", "Supplier").alias("name"))
-    return work.company_lookup(t.supplier.select("s_suppkey", "s_name"), "s_name", c, "name", "c_custkey").select("s_suppkey", "match_id")
-
-
-@query("company_lookup_whole", """
 WITH n AS (SELECT s_suppkey, lower(regexp_replace(s_name, '[^A-Za-z0-9]+', '', 'g')) AS k FROM supplier), c AS (SELECT c_custkey, lower(regexp_replace(regexp_replace(c_name, 'Customer', 'Supplier'), '[^A-Za-z0-9]+', '', 'g')) AS k FROM customer),
 m AS (SELECT s_suppkey, 1 AS tier, c_custkey AS id FROM n JOIN c USING (k) UNION ALL SELECT s_suppkey, 2, c_custkey FROM n JOIN c ON contains(n.k, c.k) OR contains(c.k, n.k) WHERE length(n.k) >= 5 AND length(c.k) >= 5)
 SELECT n.s_suppkey, b.id AS match_id FROM n LEFT JOIN (SELECT s_suppkey, arg_min(id, (tier, id)) AS id FROM m GROUP BY 1) b USING (s_suppkey)
 """)
-def company_lookup_whole(t: Tables) -> DataFrame:
+def company_lookup(t: Tables) -> DataFrame:
     """``company_lookup`` among all customers."""
     c = t.customer.select("c_custkey", F.regexp_replace("c_name", "Customer", "Supplier").alias("name"))
     return work.company_lookup(t.supplier.select("s_suppkey", "s_name"), "s_name", c, "name", "c_custkey").select("s_suppkey", "match_id")
@@ -54,8 +44,10 @@ def mail_matches(t: Tables) -> DataFrame:
 
 @query("status_progress", """
 WITH e AS (SELECT user_id, event_id, CASE event_id % 97 WHEN 0 THEN 'REJECTED' ELSE CASE event_type WHEN 'purchase' THEN 'OFFER' WHEN 'click' THEN 'INTERVIEW' WHEN 'view' THEN 'SUBMITTED' ELSE 'OTHER' END END AS status FROM events),
-r AS (SELECT *, CASE status WHEN 'SUBMITTED' THEN 1 WHEN 'ASSESSMENT_REQUIRED' THEN 2 WHEN 'INTERVIEW' THEN 3 WHEN 'OFFER' THEN 4 ELSE 0 END AS rank FROM e)
-SELECT user_id, CASE WHEN bool_or(status = 'REJECTED') THEN 'REJECTED' ELSE CASE max(rank) WHEN 1 THEN 'SUBMITTED' WHEN 3 THEN 'INTERVIEW' WHEN 4 THEN 'OFFER' END END AS status FROM r GROUP BY user_id
+r AS (SELECT *, CASE status WHEN 'SUBMITTED' THEN 1 WHEN 'ASSESSMENT_REQUIRED' THEN 2 WHEN 'INTERVIEW' THEN 3 WHEN 'OFFER' THEN 4 ELSE 0 END AS rank FROM e),
+l AS (SELECT user_id, max(event_id) FILTER (status = 'REJECTED') AS last FROM r GROUP BY user_id)
+SELECT user_id, CASE max(rank) FILTER (last IS NULL OR event_id > last) WHEN 1 THEN 'SUBMITTED' WHEN 3 THEN 'INTERVIEW' WHEN 4 THEN 'OFFER' ELSE CASE WHEN count(last) > 0 THEN 'REJECTED' END END AS status
+FROM r JOIN l USING (user_id) GROUP BY user_id
 """)
 def status_progress(t: Tables) -> DataFrame:
     kind = F.col("event_type")

@@ -26,7 +26,7 @@ def test_hosts_and_keys(spark):
     assert column(spark, ["Software Engineer Intern!"], keys.title_key) == ["softwareengineerintern"]
     assert column(spark, ["Acme Robotics, Inc."], keys.company_key) == ["acmerobotics"]
     assert column(spark, ["Acme & Sons LLC"], keys.slug_candidates) == [["acmeandsons", "acme-and-sons"]]
-    assert column(spark, ["", "a", "foobar"], keys.fnv1a32) == [0x811C9DC5, 0xE40C292C, 0xBF9CF968]
+    assert column(spark, ["", "a", "foobar"], keys.fnv1a32) == ["811c9dc5", "e40c292c", "bf9cf968"]
 
 
 @pytest.mark.parametrize(
