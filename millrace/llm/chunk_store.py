@@ -303,28 +303,32 @@ class ChunkStore:
         return own.join(F.broadcast(offsets), "part").select("row_no", (F.col("offset") + F.col("within")).alias("start"))
 
     def verified_recipes(self) -> DataFrame:
-        """row_no, recipe of every document; fails on one whose chunks don't have its Merkle root or its number of ids."""
-        kind = self.recipes.schema["recipe"].dataType.simpleString()
+        """row_no, key, want, n_bytes: the chunks of every document with their ids and the bytes that follow.
+
+        Fails on a document whose chunks don't have its Merkle root or its number of ids.
+        """
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                recipe = batch.column(1)
-                chunks = recipe.flatten()
-                keys, sizes, after = chunks.field("key").to_pylist(), chunks.field("n").to_numpy(), chunks.field("after").to_numpy()
-                ends = np.cumsum(recipe.value_lengths().to_numpy()).tolist()
-                for start, end, root, n in zip([0, *ends], ends, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    if merkle(keys[start:end]) != root:
+                counts, chunks = batch.column(1).value_lengths().to_numpy(), batch.column(1).flatten()
+                keys, sizes, after = chunks.field("key"), chunks.field("n").to_numpy(), chunks.field("after").to_numpy()
+                names, ends = keys.to_pylist(), np.cumsum(counts)
+                totals = np.repeat(batch.column(3).to_numpy(), counts)
+                before = np.cumsum(sizes) - sizes
+                first = np.repeat(ends - counts, counts)
+                if (totals - (before - before[first]) - sizes != after).any() or after[ends - 1].any():
+                    raise ValueError("a document's chunks don't have its number of ids")
+                for start, end, root in zip([0, *ends.tolist()], ends.tolist(), batch.column(2).to_pylist()):
+                    if merkle(names[start:end]) != root:
                         raise ValueError("a document's chunks don't have its Merkle root")
-                    own = sizes[start:end]
-                    if own.sum() != n or (n - np.cumsum(own) != after[start:end]).any():
-                        raise ValueError("a document's chunks don't have its number of ids")
-                yield batch.select(["row_no", "recipe"])
+                rows = np.repeat(batch.column(0).to_numpy(), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), keys, pa.array(sizes), pa.array(after * 4)], ["row_no", "key", "want", "n_bytes"])
 
-        return self.recipes.select("row_no", "recipe", "root", "n_tokens").mapInArrow(run, f"row_no long, recipe {kind}")
+        return self.recipes.select("row_no", "recipe", "root", "n_tokens").mapInArrow(run, "row_no long, key binary, want int, n_bytes long")
 
     def document_crcs(self) -> DataFrame:
         """row_no, ids_crc32, n_read: from the stored chunks alone."""
-        placed = self.verified_recipes().select("row_no", F.explode("recipe").alias("r")).select("row_no", F.col("r.key").alias("key"), F.col("r.n").alias("want"), (F.col("r.after") * 4).alias("n_bytes"))
+        placed = self.verified_recipes()
         met = placed.join(self.verified_chunks(), "key", "left")
         checked = F.when(F.col("crc").isNull() | (F.col("n") != F.col("want")), F.raise_error(F.lit("a recipe's chunk is missing or of another length"))).otherwise(F.col("crc"))
         parts = met.select("row_no", "n", shifted(checked.cast("long"), "n_bytes").alias("crc"))
