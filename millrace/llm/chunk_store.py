@@ -56,7 +56,7 @@ CACHE_ENTRIES = 700_000
 FAN = 4096
 #: Characters of texts that are split by the standard library before the tokenizer sees each piece.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
-BEYOND = re.compile("[^\t-\r -~\xa1-\xff]")
+WITHIN = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA1, 0x100)])
 ANY_WORD = re.compile(r"[^\t-\r ]+")
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9²³¹¼-¾]|[^\t-\r {LETTERS}0-9²³¹¼-¾]+")
 
@@ -74,6 +74,14 @@ PRE_TOKENIZER = {
 BYTE_CHARACTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE))}
 
 
+def beyond(text: str) -> bool:
+    """Whether a text has control characters or any that Latin-1 lacks."""
+    try:
+        return bool(text.encode("latin-1").translate(None, WITHIN))
+    except UnicodeEncodeError:
+        return True
+
+
 class WordCodec(dict):
     """Words to packed ids by the tokenizers library; a bounded cache of what it has seen.
 
@@ -97,7 +105,7 @@ class WordCodec(dict):
 
     def __missing__(self, word: str) -> bytes:
         pieces = PIECES.findall(word)
-        if not pieces or not word.isprintable() or not word.isascii() and BEYOND.search(word):
+        if not pieces or not word.isprintable() or not word.isascii() and beyond(word):
             found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         elif len(pieces) > 1:
             found = b"".join(map(self.__getitem__, pieces))
@@ -111,8 +119,8 @@ class WordCodec(dict):
     def encode(self, text: str) -> np.ndarray:
         if not self.by_words:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        if BEYOND.search(text):
-            words = [w if BEYOND.search(w) else w.lower() for w in ANY_WORD.findall(text)]
+        if beyond(text):
+            words = [w if beyond(w) else w.lower() for w in ANY_WORD.findall(text)]
         else:
             words = text.lower().split()
         return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
