@@ -28,7 +28,8 @@ prefixes.  The steps:
    have after the shingle, as pairs that share an earlier one are found there.
    Members outside the group's largest component probe.  A large group is dealt
    as a grid, blocks of members by blocks of probes, so no task holds more than
-   two blocks of a group.
+   two blocks of a group.  Sizes, components and sketches meet first, and only
+   what they leave a partner is sent with its codes.
 6. What is in reach is verified on whole texts, and components are formed from
    all links.  A sketch is one bit of parity for each of 256 parts of a whole set;
    sketches differ in no more bits than their sets do in shingles, so near copies
@@ -324,6 +325,62 @@ def hopeful(members: list[Member], num: int, den: int) -> list[Member]:
     return [m for m in members if id(m) in left]
 
 
+def partnered(sent: DataFrame, key: list[str], num: int, den: int) -> DataFrame:
+    """The rows of ``sent`` that sizes, components and sketches leave some partner in their group (equal ``key``), without these.
+
+    Rows are compared with those 1, 2, ... places behind them, all groups of a batch
+    at once; only a batch's last, unfinished group is carried on.
+    """
+    kept = [*key, "cid", "comp", "role", "place"]
+    rows = sent.select(*kept, "size", "parts", *SKETCH).repartition(*key).sortWithinPartitions(*key)
+
+    def fitting(batch: pa.RecordBatch, ends: np.ndarray) -> np.ndarray:
+        """Which rows have a partner; ``ends``: where each row's group ends."""
+        comp, role, size = (batch.column(c).to_numpy() for c in ("comp", "role", "size"))
+        bits = np.stack([batch.column(s).to_numpy() for s in SKETCH], axis=1).view(np.uint64)
+        long = batch.column("parts").is_valid().to_numpy(zero_copy_only=False)
+        parts = np.frombuffer(b"".join(batch.column("parts").drop_null().to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16)
+        nth = np.cumsum(long) - 1
+        fit = np.zeros(len(ends), bool)
+        left, step = np.arange(len(ends)), 1
+        while len(left := left[left + step < ends[left]]):
+            i, j = left, left + step
+            x, y = size[i], size[j]
+            met = (comp[i] != comp[j]) & ((role[i] != role[j]) | (role[i] == BOTH)) & (num * x <= den * y) & (num * y <= den * x)
+            i, j, both = i[met], j[met], (x + y)[met]
+            apart = both + 2 * (-num * both // (num + den))
+            near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= apart
+            known = np.flatnonzero(near & long[i] & long[j])
+            near[known] = np.abs(parts[nth[i[known]]] - parts[nth[j[known]]]).sum(axis=1, dtype=np.int64) <= apart[known]
+            fit[i[near]] = fit[j[near]] = True
+            step += 1
+        return fit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def settled(last: bool) -> pa.RecordBatch:
+            """The rows with partners of all groups held, but for the last one unless it is finished."""
+            whole = pa.concat_batches(held)
+            keys = np.stack([whole.column(k).to_numpy() for k in key], axis=1)
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+            done = whole.num_rows if last else int(starts[-1])
+            held[:] = [whole.slice(done)]
+            ends = np.repeat(np.r_[starts[1:], whole.num_rows], np.diff(np.r_[starts, whole.num_rows]))
+            ready = whole.slice(0, done)
+            return ready.select(kept).filter(pa.array(fitting(ready, ends[:done])))
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                yield settled(False)
+        if held:
+            yield settled(True)
+
+    kinds = dict(rows.select(kept).dtypes)
+    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept))
+
+
 def leaves(below: Node) -> Iterator[Member]:
     """All members of a subtree."""
     stack: list[Node | Member] = [below]
@@ -482,7 +539,9 @@ def second_walk(shared: DataFrame, held: DataFrame, stars: DataFrame, num: int,
     as_probe = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: cell(b, F.col("chunk"), F.lit(PROBE)))
     alone = F.array(cell(F.lit(0), F.lit(0), F.when(probes, BOTH).otherwise(MEMBER)))
     cells = F.when((F.col("blocks") == 1) & (F.col("chunks") == 1), alone).when(probes, F.concat(as_member, as_probe)).otherwise(as_member)
-    sent = dealt.select("t", "g", "cid", "comp", "place", F.explode(cells).alias("cell")).select("t", "g", "cid", "comp", "place", "cell.*").join(held, "cid")
+    celled = dealt.select("t", "g", "cid", "comp", "place", F.explode(cells).alias("cell")).select("t", "g", "cid", "comp", "place", "cell.*")
+    group = ["t", "g", "side", "chunk"]
+    sent = partnered(celled.join(held.select("cid", "size", "parts", *SKETCH), "cid"), group, num, den).join(held, "cid")
     at = F.expr(f"array_position(codes, shiftleft({NARROWED.format(c='t')}, 32) | place)")
     sent = sent.withColumn("codes", F.when(at < F.size("codes"), F.slice("codes", at + 1, F.size("codes"))).otherwise(F.array().cast("array<long>")))
 
@@ -490,7 +549,7 @@ def second_walk(shared: DataFrame, held: DataFrame, stars: DataFrame, num: int,
         for x, y, _ in traverse(plant([m for m in members if m.role != PROBE]), [m for m in members if m.role != MEMBER], num, den, 1):
             yield (min(x.cid, y.cid), max(x.cid, y.cid))
 
-    return walked(sent, ["t", "g", "side", "chunk"], num, den, found)
+    return walked(sent, group, num, den, found)
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
