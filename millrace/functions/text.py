@@ -26,6 +26,13 @@ INTERN_TYPE = r"(?i)\b(intern(ship)?|co-?op|temporary|seasonal|part[\s-]?time\s+
 CLOSED = (
     r"(?i)\b(no longer accepting|position (has been )?filled|posting closed|this (job|role|posting) is closed|applications are closed)\b"
 )
+#: Words of facts and postings, those that never count, and the kinds of facts that are always kept.
+MATCH_WORD = r"[a-z0-9][a-z0-9+.#-]{1,}"
+MATCH_STOP_WORDS = (
+    "and", "are", "for", "from", "have", "intern", "internship", "job", "our",
+    "that", "the", "this", "with", "will", "you", "your",
+)
+CONTEXT_FACTS = ("education", "gpa", "graduationDate", "experience", "project", "activity")
 #: Closing notices of whole pages; ``_`` stands for JavaScript's blanks, ``<`` and ``>`` for its word ends.
 _GONE = "(?:is|has been)_(?:closed|filled|expired|removed|cancelled|canceled|no longer available)"
 _NOTICES = (
@@ -197,10 +204,16 @@ def name_jaccard(left: Column, right: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(*tokens)) / union).otherwise(0.0)
 
 
-def relevance(text: Column, words: Column) -> Column:
-    """Sum over the words that the text has: 2 for words of six letters or more, else 1."""
-    have = F.array_intersect(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), words)
-    return F.aggregate(have, F.lit(0), lambda s, w: s + F.when(F.length(w) >= 6, 2).when(F.length(w) > 0, 1).otherwise(0))
+def match_tokens(text: Column) -> Column:
+    """The distinct words that count when a fact is held against a posting, such as ``c++`` or ``node.js``."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(MATCH_WORD), F.lit(0))
+    return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 3) & ~t.isin(*MATCH_STOP_WORDS)))
+
+
+def relevance(text: Column, tokens: Column) -> Column:
+    """Sum over the posting's tokens that the text has: 2 for tokens of six letters or more, else 1."""
+    have = F.array_intersect(match_tokens(F.coalesce(text, F.lit(""))), tokens)
+    return F.aggregate(have, F.lit(0), lambda s, w: s + F.when(F.length(w) >= 6, 2).otherwise(1))
 
 
 def html_text(html: Column) -> Column:

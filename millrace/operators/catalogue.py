@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 SORTS = ("newest", "oldest", "match", "discovered")
 
 
@@ -116,3 +118,15 @@ def counts(rows: DataFrame, predicates: dict[str, Column], by: Sequence[str] = (
     """Any number of conditional counts in one pass."""
     aggs = [F.count_if(p).alias(n) for n, p in predicates.items()]
     return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
+
+
+def relevant_facts(facts: DataFrame, order: str, posting: str, most: int = 40) -> DataFrame:
+    """The facts (type, content, detail) to hold against a posting, with their scores, in their order.
+
+    Facts that give context stay at any score, others with a score; beyond ``most``
+    context comes first, then the higher score, then the earlier fact.
+    """
+    score = text.relevance(F.concat_ws(" ", "content", "detail"), text.match_tokens(F.lit(posting)))
+    context = F.coalesce(F.col("type").isin(*text.CONTEXT_FACTS), F.lit(False))
+    kept = facts.withColumn("score", score).where(context | (F.col("score") > 0))
+    return kept.orderBy(context.desc(), F.desc("score"), order).limit(max(1, most)).orderBy(order)

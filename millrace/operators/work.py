@@ -57,20 +57,34 @@ def company_lookup(names: DataFrame, name: str, companies: DataFrame, company: s
     return names.join(best.select(name, F.col("_b._id").alias("match_id")), name, "left")
 
 
+def plain_words(c: Column) -> Column:
+    """Lower-case letters and digits, all else as single blanks; null as empty."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
+
+
 def mail_matches(mails: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Each mail (mail_id, text, domain) with its job by requisition, sender's domain, single company, or company and title.
+    """Each mail (mail_id, subject, from_address, body) with its job (job_id, title, company, requisition, employer_domain).
 
-    Texts and names must be normalized alike.  The least (method, job id) wins.
+    A requisition of four signs or more in the mail comes first, then a sender's
+    domain that ends like the employer's, then a company named in the mail that has
+    a single job, or whose job's title is named too.  Within each of the three the
+    least job_id wins, whatever the last one's method.  A requisition without
+    letters or digits finds nothing.
     """
-    texts = mails.select("mail_id", "text")
-    by_id = containing(texts, "text", jobs.select("job_id", "requisition"), "requisition", 4).select("mail_id", "job_id", F.lit(1).alias("method"))
-    parts = F.split("domain", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    by_domain = mails.select("mail_id", F.explode(suffixes).alias("employer_domain")).join(jobs.select("job_id", "employer_domain"), "employer_domain").select("mail_id", "job_id", F.lit(2).alias("method"))
-    n = jobs.groupBy("company").agg(F.count("*").alias("n"))
-    named = containing(texts, "text", jobs.select("job_id", "company", "title").join(n, "company"), "company", 3)
-    by_name = named.where("n = 1 OR (length(title) >= 3 AND contains(text, title))").select("mail_id", "job_id", F.when(F.col("n") == 1, 3).otherwise(4).alias("method"))
-    best = by_id.unionByName(by_domain).unionByName(by_name).groupBy("mail_id").agg(F.min(F.struct("method", "job_id")).alias("b"))
+    texts = mails.select("mail_id", plain_words(F.concat_ws(" ", "subject", "body")).alias("text"))
+    asked = jobs.where(F.length("requisition") >= 4).select("job_id", plain_words(F.col("requisition")).alias("needle"))
+    by_id = containing(texts, "text", asked, "needle", 4).unionByName(containing(texts, "text", asked.where(F.length("needle") < 4), "needle", 1))
+    sender = F.lower(F.nullif(F.regexp_extract("from_address", "@([A-Za-z0-9.-]+)", 1), F.lit("")))
+    suffixes = F.transform(F.sequence(F.lit(1), F.length("domain")), lambda i: F.substring(F.col("domain"), i, F.length("domain")))
+    employers = jobs.select("job_id", F.lower("employer_domain").alias("suffix"))
+    by_domain = mails.select("mail_id", sender.alias("domain")).select("mail_id", F.explode(suffixes).alias("suffix")).join(employers, "suffix")
+    plain = jobs.select("job_id", plain_words(F.col("company")).alias("company"), plain_words(F.col("title")).alias("title"))
+    counted = plain.join(plain.groupBy("company").agg(F.count("*").alias("n")), "company")
+    named = containing(texts, "text", counted, "company", 3).where("n = 1 OR (length(title) >= 3 AND contains(text, title))")
+    tier = lambda df, k, method: df.select("mail_id", F.struct(F.lit(k).alias("tier"), "job_id", method.alias("method")).alias("found"))
+    by_name = tier(named, 3, F.when(F.col("n") == 1, "company-name").otherwise("job-title"))
+    every = tier(by_id, 1, F.lit("requisition-id")).unionByName(tier(by_domain, 2, F.lit("ats-domain"))).unionByName(by_name)
+    best = every.groupBy("mail_id").agg(F.min("found").alias("b"))
     return mails.select("mail_id").join(best, "mail_id", "left").select("mail_id", "b.method", "b.job_id")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, json, text
+from ..operators import catalogue
 from ..sources.readers import structured_postings
 from .base import NOW, Tables, query
 
@@ -104,13 +105,22 @@ def content_unchanged(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.sha2("html", 256).alias("h")).join(seen, "h", "left_anti").select("page_id")
 
 
-@query("relevance_rank", """
-WITH w AS (SELECT ['that', 'ering', 'thereof', 'ontion', 'hadthe', 'andthe'] AS words), d AS (SELECT doc_id, list_intersect(list_distinct(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ')), words) AS have FROM documents, w)
-SELECT doc_id, CAST(coalesce(list_sum(list_transform(have, lambda x: CASE WHEN length(x) >= 6 THEN 2 ELSE 1 END)), 0) AS INTEGER) AS score FROM d ORDER BY score DESC, doc_id LIMIT 40
+_POSTING = "That thereof: the ontion, hadthe andthe intern for ering. RE th-in C++ your"
+_STOPS = ", ".join(f"'{w}'" for w in text.MATCH_STOP_WORDS)
+
+
+@query("relevance_rank", f"""
+WITH f AS (SELECT doc_id, coalesce(text, '') || ' ' || coalesce(source, '') AS content, lang = 'en' AS context FROM documents),
+d AS (SELECT doc_id, context, list_distinct(regexp_extract_all(lower(content), '[a-z0-9][a-z0-9+.#-]{{1,}}')) AS have FROM f),
+w AS (SELECT DISTINCT unnest(regexp_extract_all(lower('{_POSTING}'), '[a-z0-9][a-z0-9+.#-]{{1,}}')) AS word),
+s AS (SELECT doc_id, sum(CASE WHEN length(word) >= 6 THEN 2 ELSE 1 END) AS score FROM (SELECT doc_id, unnest(have) AS word FROM d) JOIN w USING (word) WHERE length(word) >= 3 AND word NOT IN ({_STOPS}) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(score, 0) AS INTEGER) AS score FROM d LEFT JOIN s USING (doc_id) WHERE coalesce(context, false) OR score > 0 ORDER BY coalesce(context, false) DESC, coalesce(score, 0) DESC, doc_id LIMIT 40
 """)
 def relevance_rank(t: Tables) -> DataFrame:
-    words = F.array(*map(F.lit, ["that", "ering", "thereof", "ontion", "hadthe", "andthe"]))
-    return t.documents.select("doc_id", text.relevance(F.col("text"), words).alias("score")).orderBy(F.desc("score"), "doc_id").limit(40)
+    """The documents as facts, those in English as context, held against one posting."""
+    kind = F.when(F.col("lang") == "en", "education").otherwise("skill")
+    facts = t.documents.select("doc_id", kind.alias("type"), F.col("text").alias("content"), F.col("source").alias("detail"))
+    return catalogue.relevant_facts(facts, "doc_id", _POSTING).select("doc_id", "score")
 
 
 @query("parse_dates", """

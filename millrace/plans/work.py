@@ -24,21 +24,28 @@ def company_lookup(t: Tables) -> DataFrame:
     return work.company_lookup(t.supplier.select("s_suppkey", "s_name"), "s_name", c, "name", "c_custkey").select("s_suppkey", "match_id")
 
 
-@query("mail_matches", """
-WITH m AS (SELECT conv_id AS mail_id, lower(coalesce(text, '')) AS text, CASE conv_id % 3 WHEN 0 THEN 'mail.example.com' WHEN 1 THEN 'corp.net' ELSE 'x.org' END AS domain FROM conversations WHERE turn = 0),
-j AS (SELECT item_id AS job_id, substring(lower(text), 1, 6) AS requisition, CASE item_id WHEN 5 THEN 'example.com' WHEN 7 THEN 'corp.net' END AS employer_domain, string_split(lower(text), ' ')[1] AS company, string_split(lower(text), ' ')[2] AS title FROM benchmark),
-n AS (SELECT company, count(*) AS n FROM j GROUP BY company),
-a AS (SELECT mail_id, 1 AS method, job_id FROM m JOIN j ON contains(m.text, requisition) WHERE length(requisition) >= 4
-  UNION ALL SELECT mail_id, 2, job_id FROM m JOIN j ON domain = employer_domain OR domain LIKE '%.' || employer_domain
-  UNION ALL SELECT mail_id, CASE WHEN n = 1 THEN 3 ELSE 4 END, job_id FROM m JOIN (SELECT * FROM j JOIN n USING (company)) j ON contains(m.text, company) WHERE length(company) >= 3 AND (n = 1 OR (length(title) >= 3 AND contains(m.text, title)))),
-b AS (SELECT mail_id, min((method, job_id)) AS b FROM a GROUP BY mail_id)
-SELECT DISTINCT m.mail_id, b[1] AS method, b[2] AS job_id FROM m LEFT JOIN b USING (mail_id)
+@query("mail_matches", r"""
+WITH m AS (SELECT conv_id || '-' || turn AS mail_id, trim(regexp_replace(lower(role || ' ' || coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) AS text,
+  lower(regexp_extract(CASE conv_id % 6 WHEN 0 THEN 'Ann <ann@Mail.Example.com>' WHEN 1 THEN 'hr@notexample.com' WHEN 2 THEN 'a.b@corp.net' WHEN 3 THEN 'nobody' END, '@([A-Za-z0-9.-]+)', 1)) AS domain FROM conversations),
+w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark),
+r AS (SELECT item_id AS job_id, w[3] || '-' || w[4] || '/' || w[5] AS requisition, CASE item_id WHEN 5 THEN 'example.com' WHEN 7 THEN 'Corp.net' END AS employer_domain, w[1] AS company, w[2] AS title FROM w),
+j AS (SELECT job_id, length(requisition) AS signs, trim(regexp_replace(lower(requisition), '[^a-z0-9]+', ' ', 'g')) AS requisition, lower(employer_domain) AS employer_domain,
+  trim(regexp_replace(lower(coalesce(company, '')), '[^a-z0-9]+', ' ', 'g')) AS company, trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g')) AS title FROM r),
+n AS (SELECT *, count(*) OVER (PARTITION BY company) AS n FROM j),
+a AS (SELECT mail_id, job_id, n, CASE WHEN signs >= 4 AND requisition <> '' AND contains(m.text, requisition) THEN 1 WHEN suffix(domain, employer_domain) THEN 2
+  WHEN length(company) >= 3 AND contains(m.text, company) AND (n = 1 OR (length(title) >= 3 AND contains(m.text, title))) THEN 3 END AS tier FROM m, n),
+b AS (SELECT mail_id, arg_min(a, (tier, job_id)) AS a FROM a WHERE tier IS NOT NULL GROUP BY mail_id)
+SELECT mail_id, CASE a.tier WHEN 1 THEN 'requisition-id' WHEN 2 THEN 'ats-domain' WHEN 3 THEN CASE WHEN a.n = 1 THEN 'company-name' ELSE 'job-title' END END AS method, a.job_id AS job_id FROM m LEFT JOIN b USING (mail_id)
 """)
 def mail_matches(t: Tables) -> DataFrame:
-    k = F.col("conv_id") % 3
-    mails = t.conversations.where("turn = 0").select(F.col("conv_id").alias("mail_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"), F.when(k == 0, "mail.example.com").when(k == 1, "corp.net").otherwise("x.org").alias("domain"))
-    words = F.split(F.lower("text"), " ")
-    jobs = t.benchmark.select(F.col("item_id").alias("job_id"), F.substring(F.lower("text"), 1, 6).alias("requisition"), F.when(F.col("item_id") == 5, "example.com").when(F.col("item_id") == 7, "corp.net").alias("employer_domain"), words[0].alias("company"), words[1].alias("title"))
+    """Every turn as a mail, every benchmark item as a job."""
+    k = F.col("conv_id") % 6
+    sender = F.when(k == 0, "Ann <ann@Mail.Example.com>").when(k == 1, "hr@notexample.com").when(k == 2, "a.b@corp.net").when(k == 3, "nobody")
+    mails = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("mail_id"), F.col("role").alias("subject"), sender.alias("from_address"), F.col("text").alias("body"))
+    w = lambda i: F.get(F.split("text", " "), F.lit(i))
+    employer = F.when(F.col("item_id") == 5, "example.com").when(F.col("item_id") == 7, "Corp.net")
+    requisition = F.concat(w(2), F.lit("-"), w(3), F.lit("/"), w(4))
+    jobs = t.benchmark.select(F.col("item_id").alias("job_id"), w(1).alias("title"), w(0).alias("company"), requisition.alias("requisition"), employer.alias("employer_domain"))
     return work.mail_matches(mails, jobs)
 
 
