@@ -165,6 +165,6 @@ def union_of_feeds(t: Tables) -> DataFrame:
     return a.unionByName(t.supplier.select(F.lit("supplier").alias("feed"), F.col("s_name").alias("name")), allowMissingColumns=True)
 
 
-@query("except_keys", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("except_keys", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)")
 def except_keys(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey").join(t.lineitem.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+    return t.part.select("p_partkey").join(t.lineitem.where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")

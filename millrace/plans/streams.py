@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming import queue
-from .base import NOW, Tables, query
+from .base import Tables, query
 
 
 def _folder(t: Tables) -> str:
@@ -35,10 +35,14 @@ def stream_dedup(t: Tables) -> DataFrame:
     return t.spark.read.schema("event_key string").parquet(f"{at}/out")
 
 
-@query("stream_late_drop", f"SELECT event_id FROM events WHERE ts <= TIMESTAMP '{NOW}' AND ts >= TIMESTAMP '{NOW}' - INTERVAL 90 DAY")
+#: A clock amid the events, so that late, timely and future ones occur.
+_AMID = "2024-01-20 00:00:00"
+
+
+@query("stream_late_drop", f"SELECT event_id FROM events WHERE ts <= TIMESTAMP '{_AMID}' AND ts >= TIMESTAMP '{_AMID}' - INTERVAL 7 DAY")
 def stream_late_drop(t: Tables) -> DataFrame:
     at = _folder(t)
-    rows = queue.on_time(_events(t), "ts", F.lit(NOW).cast("timestamp_ntz"), 90).select("event_id")
+    rows = queue.on_time(_events(t), "ts", F.lit(_AMID).cast("timestamp_ntz")).select("event_id")
     queue.drain(rows, f"{at}/out", f"{at}/checkpoint")
     return t.spark.read.schema("event_id long").parquet(f"{at}/out")
 

@@ -58,13 +58,31 @@ def parse_range(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", text.compensation(pay)["min"].alias("low"), text.compensation(pay)["max"].alias("high"))
 
 
-@query("fraud_signals", """
-SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)\\b(bitcoin|cryptocurrency|crypto wallet|usdt|ethereum payment)\\b') THEN 'requests-cryptocurrency' END,
-  CASE WHEN regexp_matches(text, '(?i)\\bgift cards?\\b') THEN 'requests-gift-cards' END, CASE WHEN regexp_matches(text, '(?i)\\b(social security number|ssn|passport number|driver''?s licen[sc]e number)\\b') THEN 'requests-government-id' END], lambda x: x IS NOT NULL), ',') AS signals FROM documents
+#: Ends that documents are given, by doc_id, so that each signal and some near misses occur.
+_ASKS = (
+    "Pay a deposit first", "send bitcoin", "buy gift cards", "your routing number", "passport number, please", "contact us on telegram", "https://x.example/run.exe now",
+    "send your CV to Ann.Lee@gmail.com or email b@corp.net", "contact c@corp.net", "a gift cardholder", "",
+)
+
+
+@query("fraud_signals", f"""
+WITH d AS (SELECT doc_id, text || '\n' || [{", ".join(f"'{a}'" for a in _ASKS)}][CAST(doc_id % {len(_ASKS)} AS INTEGER) + 1] AS text FROM documents)
+SELECT doc_id, array_to_string(list_filter([
+  CASE WHEN regexp_matches(text, '(?i)\\b(application fee|processing fee|registration fee|pay (a |an )?(fee|deposit)|purchase (a |your )?(laptop|equipment|starter kit)|wire transfer|western union|moneygram)\\b') THEN 'requests-payment' END,
+  CASE WHEN regexp_matches(text, '(?i)\\b(bitcoin|cryptocurrency|crypto wallet|usdt|ethereum payment)\\b') THEN 'requests-cryptocurrency' END,
+  CASE WHEN regexp_matches(text, '(?i)\\bgift cards?\\b') THEN 'requests-gift-cards' END,
+  CASE WHEN regexp_matches(text, '(?i)\\b(bank account number|routing number|direct deposit (details|information) before)\\b') THEN 'requests-banking-info' END,
+  CASE WHEN regexp_matches(text, '(?i)\\b(social security number|ssn|passport number|driver''?s licen[sc]e number)\\b') THEN 'requests-government-id' END,
+  CASE WHEN regexp_matches(text, '(?i)\\bcontact (us |me )?(on |via )?(telegram|whatsapp)\\b') THEN 'unusual-contact-channel' END,
+  CASE WHEN regexp_matches(text, '(?i)https?://\\S+\\.(exe|scr|bat|msi|jar)\\b') THEN 'executable-download' END,
+  CASE WHEN len(list_filter(regexp_extract_all(text, '(?i)\\b(?:contact|email|reach (?:us|out|me)|send (?:your )?(?:resume|application|cv) to)\\b[^.\\n]{{0,60}}?([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}})', 1),
+    lambda x: lower(split_part(x, '@', 2)) IN ('gmail.com', 'yahoo.com', 'outlook.com', 'hotmail.com', 'aol.com', 'icloud.com'))) > 0 THEN 'personal-email-contact' END
+  ], lambda x: x IS NOT NULL), ',') AS signals FROM d
 """)
 def fraud_signals(t: Tables) -> DataFrame:
-    kept = F.filter(text.fraud_signals(F.col("text")), lambda s: s.isin("requests-cryptocurrency", "requests-gift-cards", "requests-government-id"))
-    return t.documents.select("doc_id", F.array_join(kept, ",").alias("signals"))
+    """All signals of whole documents, each with one of the ends."""
+    end = F.get(F.array(*map(F.lit, _ASKS)), (F.col("doc_id") % len(_ASKS)).cast("int"))
+    return t.documents.select("doc_id", F.array_join(text.fraud_signals(F.concat("text", F.lit("\n"), end)), ",").alias("signals"))
 
 
 @query("email_extraction", """
@@ -74,9 +92,27 @@ def email_extraction(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"), 0), ",").alias("emails"))
 
 
-@query("closed_html", "SELECT page_id, regexp_matches(substring(html, 1, 750000), '(?i)\\b(no longer accepting|position (has been )?filled|posting closed|this (job|role|posting) is closed|applications are closed)\\b') AS closed FROM pages")
+#: Ends that pages are given, by page_id, so that each notice and each near miss occurs.
+_ENDS = (
+    "This job is closed", "the requisition  has been cancelled.", "Job posting expired!", "position has been filled", "job is no longer available",
+    "We are sorry", "we''re sorry, this job at Acme is no longer available", "no longer accepting", "this job isclosed", "posting closed", "",
+)
+_BLANK = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+_GONE = "(is|has been)_(closed|filled|expired|removed|cancelled|canceled|no longer available)"
+_CLOSED = "|".join([
+    rf"\bthis_(job|position|posting|requisition)_{_GONE}\b", rf"\bthe_(job|position|posting|requisition)_{_GONE}\b", r"\bjob_posting_(has_)?expired\b", r"\bposition_has_been_filled\b",
+    r"\bjob_is_no_longer_available\b", r"\bwe(''|\x{2019})re_sorry[^.]{0,120}\b(job|position)\b[^.]{0,120}\bno_longer_available\b",
+]).replace("_", _BLANK)
+
+
+@query("closed_html", f"""
+WITH e AS (SELECT [{", ".join(f"'{e}'" for e in _ENDS)}] AS ends)
+SELECT page_id, regexp_matches(html || ' ' || ends[CAST(page_id % {len(_ENDS)} AS INTEGER) + 1], '(?i)({_CLOSED})') AS closed FROM pages, e
+""")
 def closed_html(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", text.looks_closed(F.col("html")).alias("closed"))
+    """Whole pages, each with one of the ends."""
+    end = F.get(F.array(*[F.lit(e.replace("''", "'")) for e in _ENDS]), (F.col("page_id") % len(_ENDS)).cast("int"))
+    return t.pages.select("page_id", text.looks_closed(F.concat("html", F.lit(" "), end)).alias("closed"))
 
 
 @query("html_title", "SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages")
