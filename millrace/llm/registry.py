@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bigru_langid, chat_template, chunk_store, ftrl_toxicity, knn_quality, monoid_bpe, positional_index, prefix_tree_join, rule_ledger, url_rules
+from . import bigru_langid, chat_template, chunk_store, ftrl_toxicity, knn_quality, monoid_bpe, positional_index, prefix_tree_join, prefix_trie, rule_ledger, url_rules
 from .common import Query
 
 QUERIES: dict[str, Query] = {
@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {
     "op8_bigru_langid": bigru_langid.query,
     "op9_chat_template": chat_template.query,
     "op10_monoid_bpe": monoid_bpe.query,
+    "op11_prefix_trie": prefix_trie.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -25,4 +26,5 @@ ORACLES: dict[str, str] = {
     "op7_rule_ledger": rule_ledger.ORACLE,
     "rule_ablations": rule_ledger.ABLATION_ORACLE,
     "op9_chat_template": chat_template.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
 }
