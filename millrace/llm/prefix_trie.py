@@ -192,7 +192,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(rebuilt(digests, ids), ids, scratch)
 
 
-_CRC = """xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::UBIGINT)),
+#: crc32 of the column ``key`` in SQL.
+CRC_SQL = """xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::UBIGINT)),
   lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 1, 2, 3, 4, 5, 6, 7]::UBIGINT[]), lambda a, z: xor(a >> 1, 3988292384::UBIGINT * (a & 1)))), 4294967295::UBIGINT)"""
 
 ORACLE = f"""
@@ -200,7 +201,7 @@ WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
-ids AS (SELECT conv_id, CAST({_CRC} % 9 AS BIGINT) AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS key FROM t)),
+ids AS (SELECT conv_id, CAST({CRC_SQL} % 9 AS BIGINT) AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS key FROM t)),
 built AS (
   SELECT i.conv_id, b.pos, b.role, b.text FROM ids i JOIN t b ON b.conv_id = i.conv_id - i.conv_id % 5 AND b.pos <= i.h
   UNION ALL SELECT i.conv_id, o.pos, o.role, o.text FROM ids i JOIN t o ON o.conv_id = i.conv_id AND o.pos > i.h),

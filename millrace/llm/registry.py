@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bigru_langid, chat_template, chunk_store, ftrl_toxicity, knn_quality, monoid_bpe, positional_index, prefix_tree_join, prefix_trie, rule_ledger, url_rules
+from . import bigru_langid, chat_template, chunk_store, ftrl_toxicity, knn_quality, monoid_bpe, positional_index, prefix_tree_join, prefix_trie, rule_ledger, structure_repair, url_rules
 from .common import Query
 
 QUERIES: dict[str, Query] = {
@@ -18,6 +18,7 @@ QUERIES: dict[str, Query] = {
     "op9_chat_template": chat_template.query,
     "op10_monoid_bpe": monoid_bpe.query,
     "op11_prefix_trie": prefix_trie.query,
+    "op12_structure_repair": structure_repair.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLES: dict[str, str] = {
     "rule_ablations": rule_ledger.ABLATION_ORACLE,
     "op9_chat_template": chat_template.ORACLE,
     "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_structure_repair": structure_repair.ORACLE,
 }
