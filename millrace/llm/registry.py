@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bigru_langid, chat_template, chunk_store, ftrl_toxicity, knn_quality, monoid_bpe, positional_index, prefix_tree_join, prefix_trie, rule_ledger, structure_repair, url_rules
+from . import bigru_langid, chat_template, chunk_store, ftrl_toxicity, knn_quality, minhash_forest, monoid_bpe, positional_index, prefix_tree_join, prefix_trie, rule_ledger, structure_repair, url_rules
 from .common import Query
 
 QUERIES: dict[str, Query] = {
@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {
     "op10_monoid_bpe": monoid_bpe.query,
     "op11_prefix_trie": prefix_trie.query,
     "op12_structure_repair": structure_repair.query,
+    "op13_minhash_forest": minhash_forest.query,
 }
 
 ORACLES: dict[str, str] = {
