@@ -14,23 +14,26 @@ def linked_groups(keys: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> Dat
     ``keys`` has columns node (long) and key; null keys link nothing.  A key ties its
     nodes to its least one, so a key with any share of the rows gives one link a row.
     Then neighbours of a node and the node itself are tied to the least among them,
-    first the greater neighbours, then the others, until nothing changes; the number of
-    rounds grows with the logarithm of the longest chain.  Each round is written.
+    first the greater neighbours, then the others, until all nodes are tied to their
+    roots alone; the number of rounds grows with the logarithm of the longest chain.
+    Each round is written.
     """
     held = keys.where("key IS NOT NULL").select("node", "key")
     least = held.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
     links = cut(held.join(least, "key").where("node > low").select(F.col("node").alias("up"), F.col("low").alias("down")).distinct())
-    before = None
-    while True:
+    while not _settled(links):
         links = cut(_tied(_tied(links, greater=True), greater=False))
-        now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("up", "down"))).first()
-        if now == before:
-            break
-        before = now
     nodes = keys.select("node").distinct()
     return nodes.join(links, F.col("node") == F.col("up"), "left").select("node", F.coalesce("down", "node").alias("root"))
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every node has one link, and no root has any up to another."""
+    if not links.groupBy("up").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return False
+    return links.select("up").join(links.select(F.col("down").alias("up")), "up", "left_semi").isEmpty()
+
+
 def _tied(links: DataFrame, greater: bool) -> DataFrame:
     """``links`` (up > down) with each node's neighbours tied to the least of them: its greater ones, or its lesser ones and itself."""
     if not greater:

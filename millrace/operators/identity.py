@@ -117,3 +117,18 @@ def surest(rows: DataFrame, by: Sequence[str], rank: Column, order: Sequence[str
 def insert_missing(target: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """The rows to append so that no key is inserted twice."""
     return rows.dropDuplicates(list(key)).join(target.select(*key), list(key), "left_anti")
+
+
+def first_with_any_url(rows: DataFrame, key: str, scope: str, url: Column, others: DataFrame, other_key: str, columns: Sequence[str], canonical: Callable[[Column], Column]) -> DataFrame:
+    """key, match_id, column: for each row the least other of its scope with the row's URL in any of ``columns``.
+
+    ``column`` is the first of them that has it.  The others' URLs become one inverted
+    table (scope, URL, least other) before the join, so a URL or a scope with any share
+    of the rows is one entry; rows without a URL or without a match are left out.
+    """
+    urls = F.array(*[canonical(F.col(c)) for c in columns])
+    inverted = others.select(F.col(scope).alias("scope"), F.col(other_key).alias("id"), F.posexplode(urls).alias("place", "url")).where("url IS NOT NULL AND scope IS NOT NULL")
+    first = inverted.groupBy("scope", "url").agg(F.min(F.struct("id", "place")).alias("first"))
+    wanted = rows.select(F.col(key), F.col(scope).alias("scope"), canonical(url).alias("url"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return wanted.join(first, ["scope", "url"]).select(key, F.col("first.id").alias("match_id"), names[F.col("first.place")].alias("column"))

@@ -10,8 +10,8 @@ and of those jobs the first:
 4. company, source, title key, location key and requisition (none equals none).
 
 It updates that job or makes a new one, which later sightings of the same batch may
-find.  Rows that can ever meet share a key of some tier, so groups of rows linked by
-keys are independent; within a group the rows are folded in order.  Spark finds the
+find.  Rows that can ever meet share a key of some tier (a URL under any company, as a job
+may get it from a sighting of another), so groups of rows linked by keys are independent; within a group the rows are folded in order.  Spark finds the
 groups, deals them out and sorts them; a task holds the jobs' keys of one group.
 
 What an update keeps: a posting date goes only to a surer one; a missing URL, an empty
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, keys
 from .graph import linked_groups
+from .identity import first_with_any_url
 
 # Hosts that list other employers' postings.
 AGGREGATORS = ["jobright.ai", "intern-list.com", "simplify.jobs", "linkedin.com", "indeed.com", "glassdoor.com", "ziprecruiter.com"]
@@ -43,7 +44,7 @@ AGGREGATORS = ["jobright.ai", "intern-list.com", "simplify.jobs", "linkedin.com"
 JOB = ["source", "source_job_id", "company", "requisition_id", "title", "location", "official_url", "source_url", "other_url", "description", "posted_at", "confidence", "classification"]
 _OUT = "kind string, seq long, outcome string, tier int, job_id long, made_by long, last_seq long, sightings long, text_from long, source_url string, official_url string, posted_at timestamp, rank int, classification string"
 _SENT = [
-    "fold_group", "known", "seq", "id_key", "requisition_key", "title_key", "official_key", "source_key", "other_key", "direct_key",
+    "fold_group", "known", "seq", "company", "id_key", "requisition_key", "title_key", "official_key", "source_key", "other_key", "direct_key",
     "official_url", "source_url", "direct_url", "text", "has_text", "posted_at", "rank", "classification",
 ]
 
@@ -58,13 +59,13 @@ def _prepared(rows: DataFrame, known: bool, seq: str) -> DataFrame:
     direct = F.when(~keys.host_in(source, AGGREGATORS), source)
     requisition = _blank("requisition_id")
     hashed = lambda *c: F.when(F.greatest(*(x.isNull().cast("int") for x in (*c, F.lit(1)))) == 0, F.sha2(F.to_json(F.array(*c)), 256))
-    scoped = lambda url: hashed(F.lit("3"), F.col("company"), keys.canonical_url(url))
+    place = lambda url: hashed(F.lit("3"), keys.canonical_url(url))
     title = hashed(F.lit("4"), F.col("company"), F.col("source"), keys.title_key(F.coalesce("title", F.lit(""))), keys.location_key(F.col("location")), F.coalesce(F.concat(F.lit("="), requisition), F.lit("")))
     return rows.select(
         F.lit(known).alias("known"), F.col(seq).cast("long").alias("seq"),
         hashed(F.lit("1"), F.col("source"), F.col("source_job_id")).alias("id_key"), hashed(F.lit("2"), F.col("company"), requisition).alias("requisition_key"), title.alias("title_key"),
-        scoped(official).alias("official_key"), scoped(source).alias("source_key"), scoped(_blank("other_url")).alias("other_key"), scoped(direct).alias("direct_key"),
-        official.alias("official_url"), source.alias("source_url"), direct.alias("direct_url"),
+        place(official).alias("official_key"), place(source).alias("source_key"), place(_blank("other_url")).alias("other_key"), place(direct).alias("direct_key"),
+        "company", official.alias("official_url"), source.alias("source_url"), direct.alias("direct_url"),
         F.md5(F.coalesce("description", F.lit(""))).alias("text"), (F.coalesce("description", F.lit("")) != "").alias("has_text"),
         F.col("posted_at").cast("timestamp").alias("posted_at"), dates.confidence_rank(F.col("confidence")).cast("int").alias("rank"), "classification",
     )
@@ -83,9 +84,13 @@ def _fold() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
 
         def __init__(self) -> None:
             self.jobs: list[dict] = []
-            self.by_key: dict[str, list[int]] = {}
+            self.by_key: dict[str | tuple, list[int]] = {}
 
         def file(self, key: str | None, number: int) -> None:
+            """Makes a job known by a key, or by one of its URLs within its company."""
+            job = self.jobs[number]
+            if key in job["urls"].values():
+                key = (job["company"], key) if job["company"] is not None and key is not None else None
             if key is not None:
                 found = self.by_key.setdefault(key, [])
                 if number not in found:
@@ -97,7 +102,7 @@ def _fold() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
             official_key = at["official_key"] if official == at["official_url"] else at["direct_key"]
             job = {
                 "job_id": row[at["seq"]] if known else None, "made_by": None if known else row[at["seq"]], "last": None if known else row[at["seq"]],
-                "sightings": 0 if known else 1, "text_from": None if known else row[at["seq"]], "text": row[at["text"]], "source_url": row[at["source_url"]],
+                "company": row[at["company"]], "sightings": 0 if known else 1, "text_from": None if known else row[at["seq"]], "text": row[at["text"]], "source_url": row[at["source_url"]],
                 "official_url": row[official], "urls": {"official": row[official_key], "source": row[at["source_key"]], "other": row[at["other_key"]]},
                 "posted_at": row[at["posted_at"]], "rank": row[at["rank"]], "classification": row[at["classification"]],
             }
@@ -109,7 +114,8 @@ def _fold() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def find(self, row: tuple) -> tuple[int, int] | None:
             """Tier and number of the sighting's job."""
             wanted = row[at["official_key"]] if row[at["official_key"]] is not None else row[at["source_key"]]
-            for tier, key in enumerate((row[at["id_key"]], row[at["requisition_key"]], wanted, row[at["title_key"]]), 1):
+            near = (row[at["company"]], wanted) if wanted is not None and row[at["company"]] is not None else None
+            for tier, key in enumerate((row[at["id_key"]], row[at["requisition_key"]], near, row[at["title_key"]]), 1):
                 for number in self.by_key.get(key, ()) if key is not None else ():
                     if tier != 3 or wanted in self.jobs[number]["urls"].values():
                         return tier, number
@@ -203,3 +209,37 @@ def ingest(jobs: DataFrame, sightings: DataFrame, seq: str, cut: Callable[[DataF
     state = after.where("made_by IS NULL").join(old, "job_id").select(kept).unionByName(after.where("made_by IS NOT NULL").join(new, "made_by").select(kept))
     described = state.join(texts, "text_from", "left").withColumn("description", F.when(F.col("text_from").isNull(), F.col("old_text")).otherwise(F.col("description")))
     return outcomes, described.select("job_id", "made_by", *[c if c != "confidence" else confidence for c in JOB], "last_seq", F.col("n_sightings").alias("sightings"))
+
+
+#: The five URL columns of a job, in the order in which they are looked at.
+URL_COLUMNS = ["official_url", "official_apply_url", "official_job_url", "source_url", "url"]
+#: Sources whose postings are read from public pages.
+PAGE_SOURCES = ["icims", "successfactors"]
+OFFICIAL = "VERIFIED_OFFICIAL_AT_LAST_CHECK"
+PROMOTED_REASON = "Read from an official source and matched the engineering internship/co-op role filter."
+
+
+def promote(jobs: DataFrame, sightings: DataFrame, now: Column) -> DataFrame:
+    """The jobs, with the provenance of the direct sightings that name one of their URLs.
+
+    ``sightings``: seq, company, apply_url, ats_type, ats_tenant, source_job_id,
+    requisition_id.  All of them look at the jobs as they are before the batch; of the
+    sightings of one job the last one's values stay.  Jobs without one are unchanged.
+    """
+    met = first_with_any_url(sightings, "seq", "company", F.col("apply_url"), jobs, "job_id", URL_COLUMNS, keys.canonical_url)
+    told = ["seq", "apply_url", "ats_type", "ats_tenant", "source_job_id", "requisition_id"]
+    last = met.join(sightings.select(told), "seq").groupBy("match_id").agg(F.max_by(F.struct(*told), "seq").alias("s"))
+    joined = jobs.join(last, F.col("job_id") == F.col("match_id"), "left")
+    hit = F.col("s").isNotNull()
+    method = F.concat(F.col("s.ats_type"), F.when(F.col("s.ats_type").isin(PAGE_SOURCES), "-public-job-page").otherwise("-board-api"))
+    values = {
+        "source": F.col("s.ats_type"), "source_job_id": F.col("s.source_job_id"), "requisition_id": F.coalesce("s.requisition_id", jobs.requisition_id),
+        "source_url": F.col("s.apply_url"), "source_listing_url": F.lit(None), "official_url": F.col("s.apply_url"), "original_url": F.col("s.apply_url"),
+        "verification_status": F.lit(OFFICIAL), "reason_code": F.lit("OFFICIAL_ATS_BOARD"), "verification_method": method,
+        "verification_reason": F.concat(F.lit("Read directly from the official "), F.col("s.ats_type"), F.lit(" job source.")), "last_verified_at": now,
+        "ats_type": F.col("s.ats_type"), "ats_tenant": F.col("s.ats_tenant"), "classification": F.lit("QUALIFYING_INTERNSHIP"),
+        "classification_reason": F.lit(PROMOTED_REASON), "active_feed": F.lit(True),
+    }
+    old = lambda c: jobs[c] if c in jobs.columns else F.lit(None)
+    kept = [jobs[c] for c in jobs.columns if c not in values]
+    return joined.select(*kept, *(F.when(hit, v).otherwise(old(c)).alias(c) for c, v in values.items()))

@@ -1,40 +1,45 @@
-"""Order-dependent deduplication on two keys, in parallel rounds."""
+"""Order-dependent deduplication on two keys, as one ordered scan per group of clashing rows."""
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import linked_groups
+from .tables import Passing
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's shared folder (a temporary one where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
-    return df.checkpoint()
 
-
-def first_by_two_keys(rows: DataFrame, order: str, first: str, second: str) -> DataFrame:
+def first_by_two_keys(rows: DataFrame, order: str, first: str, second: str, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """What a scan in ``order`` keeps that drops rows whose first or second key a kept row has.
 
-    ``order`` must be unique; null keys clash with nothing.  In each round the
-    rows that lead both of their groups are surely kept, and rows that share a key
-    with one are surely dropped; the rest goes on.  Chains of clashes halve or
-    better on usual data, so rounds are few.
+    ``order`` must be unique; null keys clash with nothing.  Rows that are linked by
+    shared keys, over any number of others, form a group; groups are independent, and
+    finding them takes rounds that grow with the logarithm of the longest chain.  A
+    group's rows stream in order, and a task holds the digests of its kept keys.
     """
-    left = _cut(rows.select(F.col(order).alias("_o"), F.col(first).alias("_a"), F.col(second).alias("_b")))
-    kept = None
-    while not left.isEmpty():
-        lead_a = left.where("_a IS NOT NULL").groupBy("_a").agg(F.min("_o").alias("_la"))
-        lead_b = left.where("_b IS NOT NULL").groupBy("_b").agg(F.min("_o").alias("_lb"))
-        leads = left.join(lead_a, "_a", "left").join(lead_b, "_b", "left").where("coalesce(_la, _o) = _o AND coalesce(_lb, _o) = _o").select("_o", "_a", "_b")
-        leads = _cut(leads)
-        kept = leads.select("_o") if kept is None else kept.unionByName(leads.select("_o"))
-        rest = left.join(leads.select("_o"), "_o", "left_anti")
-        rest = rest.join(leads.where("_a IS NOT NULL").select("_a"), "_a", "left_anti").join(leads.where("_b IS NOT NULL").select("_b"), "_b", "left_anti")
-        left = _cut(rest)
-    if kept is None:
-        return rows
-    return rows.join(kept.withColumnRenamed("_o", order), order, "left_semi").select(*rows.columns)
+    cut = cut or Passing(rows.sparkSession, "two-keys")
+    kind = rows.schema[order].dataType.simpleString()
+    digest = lambda side, c: F.when(F.col(c).isNotNull(), F.unhex(F.md5(F.concat(F.lit(side), F.col(c).cast("string")))))
+    keyed = rows.select(F.monotonically_increasing_id().alias("node"), F.col(order).alias("place"), digest("1", first).alias("a"), digest("2", second).alias("b"))
+    keyed = cut(keyed)
+    groups = linked_groups(keyed.select("node", F.explode(F.array("a", "b")).alias("key")), cut)
+    ordered = keyed.join(groups, "node").select("root", "place", "a", "b").repartition("root").sortWithinPartitions("root", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen = None, set()
+        for batch in batches:
+            keep = []
+            for root, _, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if root != at:
+                    at, seen = root, set()
+                fresh = a not in seen and b not in seen
+                if fresh:
+                    seen.update(k for k in (a, b) if k is not None)
+                keep.append(fresh)
+            yield pa.RecordBatch.from_arrays([batch.column(1)], ["place"]).filter(pa.array(keep, pa.bool_()))
+
+    kept = ordered.mapInArrow(run, f"place {kind}")
+    return rows.join(kept, F.col(order) == F.col("place"), "left_semi").select(*rows.columns)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from ..operators import identity, runs
 from ..operators import ingest as ingestion
 from ..operators.tables import Passing
 from .base import Tables, query
@@ -96,3 +97,107 @@ def ingest_jobs(t: Tables) -> DataFrame:
     after = ingestion.ingest(jobs, sightings, "seq", Passing(t.spark, "ingest"))[1]
     rank = F.when(F.col("confidence") == "EXACT", 3).when(F.col("confidence") == "RELATIVE_PARSED", 2).when(F.col("confidence") == "DATE_ONLY", 1).otherwise(0)
     return after.select("company", "job_id", "made_by", "official_url", "source_url", "description", "posted_at", rank.alias("sureness"), "classification", "last_seq", "sightings")
+
+
+_FIVE = {
+    "official_url": "CASE WHEN p_partkey % 3 = 0 THEN concat('https://www.careers.example.com/jobs/', CAST(p_partkey % 211 AS STRING), '/?utm_source=', p_type) END",
+    "official_apply_url": "CASE WHEN p_partkey % 5 = 0 THEN concat('http://apply.example.com/', CAST(p_partkey % 101 AS STRING), '/') END",
+    "official_job_url": "CASE WHEN p_partkey % 4 = 0 THEN concat('https://careers.example.com/jobs/', CAST(p_partkey % 97 AS STRING), '#apply') END",
+    "source_url": "CASE WHEN p_partkey % 7 > 2 THEN concat('https://boards.example.org/', CAST(p_partkey % 307 AS STRING)) ELSE ' ' END",
+    "url": "CASE WHEN p_partkey % 11 = 0 THEN concat('https://apply.example.com/', CAST(p_partkey % 89 AS STRING), '?ref=x&id=', CAST(p_partkey % 2 AS STRING)) END",
+}
+_APPLY = "CASE p_partkey % 3 WHEN 0 THEN concat('https://careers.example.com/jobs/', CAST(p_partkey % 239 AS STRING)) WHEN 1 THEN concat('https://apply.example.com/', CAST(p_partkey % 113 AS STRING), '?src=mail') ELSE concat('http://www.boards.example.org/', CAST(p_partkey % 331 AS STRING), '/') END"
+
+
+def _duck(e: str) -> str:
+    return e.replace("AS STRING", "AS VARCHAR")
+
+
+_PROMOTED = f"""
+WITH j AS (SELECT p_partkey AS job_id, p_brand AS company, {', '.join(f'{_duck(e)} AS {c}' for c, e in _FIVE.items())} FROM part),
+u AS ({' UNION ALL '.join(f"SELECT job_id, company, {i} AS place, '{c}' AS name, {_CANON.format(u=c)} AS u FROM j" for i, c in enumerate(_FIVE))}),
+s AS (SELECT p_partkey AS seq, p_brand AS company, {_duck(_APPLY)} AS apply_url FROM part),
+k AS (SELECT seq, company, apply_url, {_CANON.format(u='apply_url')} AS u FROM s),
+m AS (SELECT k.seq, k.apply_url, arg_min(u.job_id, (u.job_id, u.place)) AS match_id, arg_min(u.name, (u.job_id, u.place)) AS name FROM k JOIN u ON u.company = k.company AND u.u = k.u GROUP BY ALL)
+"""
+
+
+def _five(t: Tables) -> tuple[DataFrame, DataFrame]:
+    jobs = t.part.selectExpr("p_partkey AS job_id", "p_brand AS company", "p_type AS source", "CAST(NULL AS STRING) AS requisition_id", *(f"{e} AS {c}" for c, e in _FIVE.items()))
+    sightings = t.part.selectExpr(
+        "p_partkey AS seq", "p_brand AS company", f"{_APPLY} AS apply_url", "CASE WHEN p_size % 2 = 0 THEN 'icims' ELSE 'lever' END AS ats_type", "lower(p_brand) AS ats_tenant",
+        "CAST(p_partkey AS STRING) AS source_job_id", "CASE WHEN p_size % 3 = 0 THEN concat('R', CAST(p_size AS STRING)) END AS requisition_id",
+    )
+    return jobs, sightings
+
+
+@query("any_url_match", _PROMOTED + "SELECT seq, match_id, name AS column FROM m")
+def any_url_match(t: Tables) -> DataFrame:
+    """The first job of the company with the sighting's URL in any of five columns."""
+    jobs, sightings = _five(t)
+    return identity.first_with_any_url(sightings, "seq", "company", F.col("apply_url"), jobs, "job_id", ingestion.URL_COLUMNS, keys.canonical_url)
+
+
+@query("promote_direct", _PROMOTED + """,
+w AS (SELECT match_id, max(seq) AS seq FROM m GROUP BY match_id)
+SELECT j.job_id, CASE WHEN w.seq IS NULL THEN p.p_type WHEN s.p_size % 2 = 0 THEN 'icims' ELSE 'lever' END AS source, CASE WHEN w.seq IS NULL THEN j.official_url ELSE x.apply_url END AS official_url,
+  CASE WHEN w.seq IS NULL THEN j.source_url ELSE x.apply_url END AS source_url, CASE WHEN s.p_size % 3 = 0 THEN 'R' || s.p_size END AS requisition_id,
+  CASE WHEN w.seq IS NOT NULL THEN CASE WHEN s.p_size % 2 = 0 THEN 'icims-public-job-page' ELSE 'lever-board-api' END END AS verification_method, CASE WHEN w.seq IS NOT NULL THEN true END AS active_feed
+FROM j JOIN part p ON p.p_partkey = j.job_id LEFT JOIN w ON w.match_id = j.job_id LEFT JOIN part s ON s.p_partkey = w.seq LEFT JOIN s x ON x.seq = w.seq
+""")
+def promote_direct(t: Tables) -> DataFrame:
+    """Jobs with the provenance of the last direct sighting that names one of their URLs."""
+    jobs, sightings = _five(t)
+    out = ingestion.promote(jobs, sightings, F.lit("2024-01-01").cast("timestamp"))
+    return out.select("job_id", "source", "official_url", "source_url", "requisition_id", "verification_method", "active_feed")
+
+
+_TITLE = "CASE o_orderkey % 7 WHEN 1 THEN 'Software Engineer Intern' WHEN 2 THEN 'Senior Software Engineer' WHEN 3 THEN 'Summer Analyst' WHEN 4 THEN '' WHEN 5 THEN 'Robotics Co-op' ELSE 'Analyst' END"
+_DESCRIPTION = "CASE WHEN o_orderkey % 9 = 0 THEN 'This position has been filled, position filled.' WHEN o_orderkey % 4 = 0 THEN 'For an undergraduate of the class of 2026' ELSE 'Work with us' END"
+_LINK = "CASE WHEN o_orderkey % 19 = 0 THEN 'mailto:jobs@example.com' WHEN o_orderkey % 17 = 0 THEN '' ELSE concat('http://boards.example.com/', CAST(o_custkey AS STRING), '/jobs/', CAST(o_orderkey % 23 AS STRING), '?utm_source=', o_orderstatus) END"
+_ERROR = "CASE WHEN c_acctbal < 0 THEN 'fetch timeout' WHEN c_acctbal > 9500 THEN 'no such board' END"
+_VENDOR = "CASE {c} % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' ELSE 'ashby' END"
+
+
+@query("ingest_run", f"""
+WITH e AS (SELECT c_custkey, {_VENDOR.format(c='c_custkey')} AS source, {_ERROR} AS error FROM customer),
+p AS (
+  SELECT o_custkey * 4000000000 + o_orderkey AS seq, o_custkey, o_orderkey, o_orderstatus, source, {_TITLE} AS title, {_DESCRIPTION} AS description,
+    CASE WHEN o_orderkey % 19 <> 0 AND o_orderkey % 17 <> 0 THEN o_custkey || '-' || (o_orderkey % 23) END AS link
+  FROM orders JOIN e ON c_custkey = o_custkey WHERE error IS NULL),
+b AS (
+  SELECT *, CASE WHEN link IS NULL THEN 'missing_url' WHEN seq > min(seq) OVER (PARTITION BY link) THEN 'duplicate' WHEN title = '' THEN 'PARSE_FAILED' WHEN o_orderkey % 9 = 0 THEN 'CONFIRMED_CLOSED'
+    WHEN o_orderkey % 7 IN (1, 5) THEN 'QUALIFYING_INTERNSHIP' WHEN o_orderkey % 7 = 3 AND o_orderkey % 4 = 0 THEN 'QUALIFYING_INTERNSHIP' WHEN o_orderkey % 7 = 3 THEN 'UNCERTAIN_CLASSIFICATION'
+    WHEN o_orderkey % 7 = 2 THEN 'NOT_AN_INTERNSHIP' WHEN o_orderkey % 4 = 0 THEN 'UNCERTAIN_CLASSIFICATION' ELSE 'NOT_AN_INTERNSHIP' END AS bucket FROM p),
+r AS (
+  SELECT *, CASE WHEN bucket = 'QUALIFYING_INTERNSHIP' THEN CASE WHEN o_custkey % 2 = 1 OR o_orderkey % 23 % 3 > 0 THEN 'new' WHEN description = 'Work with us' AND o_orderstatus = 'O' THEN 'unchanged' ELSE 'updated' END END AS outcome,
+    CASE bucket WHEN 'missing_url' THEN 'MISSING_OFFICIAL_URL' WHEN 'NOT_AN_INTERNSHIP' THEN 'EXCLUDED_NOT_AN_INTERNSHIP' WHEN 'UNCERTAIN_CLASSIFICATION' THEN 'REVIEW_UNCERTAIN'
+      WHEN 'CONFIRMED_CLOSED' THEN 'EXCLUDED_CONFIRMED_CLOSED' WHEN 'PARSE_FAILED' THEN 'PARSE_FAILED' END AS reason FROM b),
+s AS (SELECT source, count(*) AS discovered, count(*) FILTER (bucket = 'QUALIFYING_INTERNSHIP') AS qualifying, count(*) FILTER (outcome = 'new') AS inserted, count(*) FILTER (outcome = 'updated') AS updated FROM r GROUP BY source),
+f AS (SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason UNION ALL
+  SELECT CASE WHEN c_acctbal < 0 THEN 'BOARD_FETCH_TIMEOUT' ELSE 'BOARD_FETCH_PERSISTENCE_FAILED' END, count(*) FROM customer WHERE c_acctbal < 0 OR c_acctbal > 9500 GROUP BY 1)
+SELECT (SELECT count(*) FROM e) AS employers_checked, (SELECT count(DISTINCT o_custkey) FROM p) AS employers_with_board, (SELECT count(*) FROM e WHERE error IS NOT NULL) AS employers_failed,
+  count(*) AS rows_discovered, count(*) FILTER (bucket NOT IN ('missing_url', 'duplicate')) AS unique_rows, count(*) FILTER (bucket = 'QUALIFYING_INTERNSHIP') AS qualifying,
+  count(*) FILTER (bucket = 'NOT_AN_INTERNSHIP') AS not_internship, count(*) FILTER (bucket = 'UNCERTAIN_CLASSIFICATION') AS uncertain, count(*) FILTER (bucket = 'CONFIRMED_CLOSED') AS closed,
+  count(*) FILTER (bucket IN ('missing_url', 'PARSE_FAILED')) AS parse_failures, count(*) FILTER (outcome = 'new') AS inserted, count(*) FILTER (outcome = 'updated') AS updated,
+  count(*) FILTER (outcome = 'unchanged') AS unchanged, count(*) FILTER (bucket = 'duplicate') AS duplicates_prevented, count(*) FILTER (bucket = 'QUALIFYING_INTERNSHIP') AS official_urls_confirmed,
+  (SELECT to_json(list({{'source': source, 'discovered': discovered, 'qualifying': qualifying, 'inserted': inserted, 'updated': updated}} ORDER BY source))::VARCHAR FROM s) AS by_source,
+  (SELECT to_json(list({{'reason': reason, 'n': n}} ORDER BY reason))::VARCHAR FROM f) AS failures_by_reason FROM r
+""")
+def ingest_run(t: Tables) -> DataFrame:
+    """A run over all customers' boards of orders: discovery, URL dedup, classification, ingestion, counters."""
+    employers = t.customer.selectExpr("CAST(c_custkey AS STRING) AS employer", f"{_VENDOR.format(c='c_custkey')} AS source", "c_name AS tenant", f"{_ERROR} AS error")
+    named = t.orders.selectExpr(
+        "CAST(o_custkey AS STRING) AS employer", "o_custkey * 4000000000 + o_orderkey AS seq", "concat(o_custkey, '-', o_orderkey % 23) AS source_job_id", f"{_TITLE} AS title", f"{_DESCRIPTION} AS description",
+        f"{_LINK} AS apply_url", "CAST(NULL AS STRING) AS employment_type", "CAST(o_orderkey % 23 AS STRING) AS location", "CAST(NULL AS TIMESTAMP) AS posted_at", "'UNKNOWN' AS confidence",
+        "CAST(NULL AS STRING) AS requisition_id",
+    )
+    url = "concat('https://boards.example.com/', c_custkey, '/jobs/', k, '?utm_source=O')"
+    known = t.customer.where("c_custkey % 2 = 0").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(22), F.lit(3))).alias("k"))
+    jobs = known.selectExpr(
+        "c_custkey * 100 + k AS job_id", f"{_VENDOR.format(c='c_custkey')} AS source", "concat(c_custkey, '-', k) AS source_job_id", "CAST(c_custkey AS STRING) AS company",
+        "CAST(NULL AS STRING) AS requisition_id", "concat('known ', k) AS title", "CAST(k AS STRING) AS location", f"{url} AS official_url", f"{url} AS source_url", "CAST(NULL AS STRING) AS other_url",
+        "'Work with us' AS description", "CAST(NULL AS TIMESTAMP) AS posted_at", "'UNKNOWN' AS confidence", "CAST(NULL AS STRING) AS classification",
+    )
+    rows, _ = runs.ledger(employers, named, jobs, Passing(t.spark, "run"))
+    return runs.metrics(employers, named, rows)
