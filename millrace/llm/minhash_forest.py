@@ -17,9 +17,13 @@
    that trees agree on it) if that stays, else its best neighbour; at most two over
    all trees.  Those are confirmed on whole sets and contracted to components, so a
    group of near copies costs as many pairs as it has members.
-5. Second round: in the regions that span several components, every pair that stays
-   and is of different components.  Exact bounds by sketches come first, then whole
-   sets; components are formed from all links.
+5. Joining rounds: in regions that span several components, each component takes the
+   best pair that leaves it, of those that the exact bounds by sketches of whole sets
+   allow.  Those pairs are confirmed and contracted in turn, until a round joins nothing
+   or ``ROUNDS`` are over.
+6. Last round: in the regions that still span several components, every pair that the
+   bounds allow and that is of different components is confirmed on whole sets, and
+   components are formed from all links.
 
 Every link is confirmed on the whole sets, and no region, partner list or candidate
 list is cut short.  Nothing is collected; what reaches the driver is counts.
@@ -48,11 +52,13 @@ TREES, DEEP = 16, 8
 HASHES = TREES * DEEP
 DEPTHS = (3, 4, 5, 6, 8)
 REGION = 2048
+#: Joining rounds at most; what they don't join is left to the last round.
+ROUNDS = 4
 #: Most of the 128 values that may differ, as two bits, at Jaccard 0.8: expected 19, deviation 4.
 APART = 40
 #: The 128 low bits and the 128 next bits of a signature's values.
 PLANES = ["low0", "low1", "high0", "high1"]
-SHINGLES_AT_ONCE = 2048
+SHINGLES_AT_ONCE, ROWS_AT_ONCE = 2048, 4096
 
 _SEEDS = np.random.Generator(np.random.PCG64(20240501)).integers(1, 1 << 63, (2, HASHES), np.uint64)
 FACTORS, OFFSETS = _SEEDS[0] | np.uint64(1), _SEEDS[1]
@@ -140,31 +146,56 @@ def regions(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def _stepped(rows: DataFrame, key: list[str], extra: list[str], num: int, den: int, schema: str, made) -> DataFrame:
-    """``made(columns, pairs)`` for whole groups of rows with equal ``key``.
+def _stepped(rows: DataFrame, key: list[str], extra: list[str], num: int, den: int, schema: str, made, bounded: bool = False) -> DataFrame:
+    """``made(columns, ends, pairs)`` for whole groups of rows with equal ``key``.
 
     ``pairs`` yields (i, j, how many values differ) as arrays, for rows 1, 2, ...
     places apart in all groups of a batch at once, where sizes and signatures leave
-    the pair; no row is twice in an i, or twice in a j.  Only a batch's last,
-    unfinished group is carried on.
+    the pair, and, if ``bounded``, the exact bounds and components do; no row is twice in
+    an i, or twice in a j.  Only a batch's last, unfinished group is carried on.
     """
-    columns = [*key, "cid", "size", *extra, *PLANES]
+    columns = [*key, "cid", "size", *extra, *PLANES, *(["parts", *SKETCH] if bounded else [])]
     sorted_rows = rows.select(*columns).repartition(*key).sortWithinPartitions(*key)
 
-    def pairs(c: dict[str, np.ndarray], bits: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def pairs(c: dict[str, np.ndarray], bits: np.ndarray, ends: np.ndarray, exact) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         size = c["size"]
         left, step = np.arange(len(ends)), 1
         while len(left := left[left + step < ends[left]]):
             i, j = left, left + step
             fit = (num * size[i] <= den * size[j]) & (num * size[j] <= den * size[i])
+            if bounded:
+                fit &= (c["comp"][i] != c["comp"][j]) & ((c["role"][i] != c["role"][j]) | (c["role"][i] == BOTH))
             i, j = i[fit], j[fit]
             x = bits[i] ^ bits[j]
             differ = np.bitwise_count(x[:, :2] | x[:, 2:]).sum(axis=1, dtype=np.int64)
             near = differ <= APART
-            if near.any():
-                yield i[near], j[near], differ[near]
+            i, j, differ = i[near], j[near], differ[near]
+            if bounded and len(i):
+                near = exact(i, j, size)
+                i, j, differ = i[near], j[near], differ[near]
+            if len(i):
+                yield i, j, differ
             step += 1
 
+    def sketches(ready: pa.RecordBatch):
+        """The exact bounds: parities and part sizes differ no more than sets that are similar enough."""
+        parity = np.stack([ready.column(s).to_numpy() for s in SKETCH], axis=1).view(np.uint64)
+        long = ready.column("parts").is_valid().to_numpy(zero_copy_only=False)
+        parts = np.frombuffer(b"".join(ready.column("parts").drop_null().to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16)
+        nth = np.cumsum(long) - 1
+
+        def exact(i: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:
+            both = size[i] + size[j]
+            apart = both + 2 * (-num * both // (num + den))
+            near = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64) <= apart
+            known = np.flatnonzero(near & long[i] & long[j])
+            for at in range(0, len(known), 4096):
+                some = known[at : at + 4096]
+                near[some] = np.abs(parts[nth[i[some]]] - parts[nth[j[some]]]).sum(axis=1, dtype=np.int64) <= apart[some]
+            return near
+
+        return exact
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -180,11 +211,11 @@ def _stepped(rows: DataFrame, key: list[str], extra: list[str], num: int, den: i
             ready = whole.slice(0, done)
             c = {name: ready.column(name).to_numpy(zero_copy_only=False) for name in [*key, "cid", "size", *extra]}
             bits = np.stack([ready.column(p).to_numpy() for p in PLANES], axis=1).view(np.uint64)
-            yield from made(c, ends, pairs(c, bits, ends))
+            yield from made(c, ends, pairs(c, bits, ends, sketches(ready) if bounded else None))
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                held.append(batch.slice(at, ROWS_AT_ONCE))
                 yield from settled(False)
         if held:
             yield from settled(True)
@@ -224,53 +255,60 @@ def first_round(rows: DataFrame, num: int, den: int) -> DataFrame:
     return both.select(F.when(F.xxhash64("a") <= F.xxhash64("b"), F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.xxhash64("a") <= F.xxhash64("b"), F.col("b")).otherwise(F.col("a")).alias("y")).distinct().toDF("a", "b")
 
 
-def second_round(rows: DataFrame, stars: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """a, b: all near pairs of different components within a region."""
+def mixed_regions(rows: DataFrame, stars: DataFrame) -> DataFrame:
+    """The rows of regions that span several components, with comp."""
     labelled = rows.join(stars, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cid")).drop("node", "root")
-    counts = labelled.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("region")
-    mixed = scratch.table(labelled.join(counts, "region"), "mixed")
-    per_comp = mixed.groupBy("region", "comp").agg(F.count("*").alias("k")).groupBy("region").agg(F.max("k").alias("most"), F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    grid = mixed.where(f"n > {REGION}").select("region").distinct().join(per_comp, "region")
-    cell = lambda side, chunk, role: F.struct(side.alias("side"), chunk.alias("chunk"), role.alias("role"))
-    small = mixed.where(f"n <= {REGION}").withColumn("cell", cell(F.lit(0), F.lit(0), F.lit(BOTH)))
-    large = mixed.where(f"n > {REGION}").join(grid, "region").withColumn("blocks", F.ceil(F.col("n") / REGION).cast("int")).withColumn("chunks", F.ceil((F.col("n") - F.col("most")) / REGION).cast("int"))
-    large = large.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("chunks")).cast("int"))
-    as_member = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: cell(F.col("side"), k, F.lit(MEMBER)))
-    as_probe = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: cell(b, F.col("chunk"), F.lit(PROBE)))
-    cells = F.when(F.col("comp") != F.col("main"), F.concat(as_member, as_probe)).otherwise(as_member)
-    columns = ["region", "cid", "comp", "size", *PLANES, "cell"]
-    dealt = small.select(columns).unionByName(large.withColumn("cell", F.explode(cells)).select(columns)).select(*columns[:-1], "cell.*")
+    several = labelled.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("region")
+    return labelled.join(several, "region")
+
+
+def cells(mixed: DataFrame) -> DataFrame:
+    """``mixed`` dealt out by region, side and chunk, with role; a region of up to ``REGION`` rows is one cell.
+
+    In a larger one the rows outside its largest component probe all blocks of members.
+    """
+    columns = [c for c in mixed.columns if c != "n"]
+    small = mixed.where(f"n <= {REGION}").select(*columns, F.lit(0).alias("side"), F.lit(0).alias("chunk"), F.lit(BOTH).alias("role"))
+    large = mixed.where(f"n > {REGION}")
+    per_comp = large.groupBy("region", "comp").agg(F.count("*").alias("k")).groupBy("region").agg(F.max("k").alias("most"), F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    dealt = large.join(per_comp, "region").withColumn("blocks", F.ceil(F.col("n") / REGION).cast("int")).withColumn("chunks", F.ceil((F.col("n") - F.col("most")) / REGION).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("share", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("chunks")).cast("int"))
+    cell = lambda side, chunk, role: F.struct(side.alias("side"), chunk.alias("chunk"), F.lit(role).alias("role"))
+    as_member = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: cell(F.col("own"), k, MEMBER))
+    as_probe = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: cell(b, F.col("share"), PROBE))
+    cut = dealt.withColumn("cell", F.explode(F.when(F.col("comp") != F.col("main"), F.concat(as_member, as_probe)).otherwise(as_member)))
+    return small.unionByName(cut.select(*columns, "cell.*"))
+
+
+def joining_round(mixed: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: for each component of a cell the best pair that leaves it."""
 
     def made(c: dict[str, np.ndarray], ends: np.ndarray, pairs: Iterator) -> Iterator[pa.RecordBatch]:
-        cid, comp, role = c["cid"], c["comp"], c["role"]
-        for i, j, _ in pairs:
-            met = (comp[i] != comp[j]) & ((role[i] != role[j]) | (role[i] == BOTH))
-            if met.any():
-                x, y = cid[i[met]], cid[j[met]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        cid = c["cid"]
+        _, local = np.unique(np.stack([ends, c["comp"]], axis=1), axis=0, return_inverse=True)
+        local = local.ravel()
+        best = np.full(local.max() + 1, np.iinfo(np.int64).max)
+        x, y = np.zeros(len(best), np.int64), np.zeros(len(best), np.int64)
+        for i, j, differ in pairs:
+            for side in (local[i], local[j]):
+                np.minimum.at(best, side, differ * len(ends) + i)
+                won = best[side] == differ * len(ends) + i
+                x[side[won]], y[side[won]] = cid[i[won]], cid[j[won]]
+        found = best < np.iinfo(np.int64).max
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[found]), pa.array(np.maximum(x, y)[found])], ["a", "b"])
 
-    return _stepped(dealt, ["region", "side", "chunk"], ["comp", "role"], num, den, "a long, b long", made).distinct()
+    return _stepped(cells(mixed), ["region", "side", "chunk"], ["comp", "role"], num, den, "a long, b long", made, True).distinct()
 
 
-def within_bounds(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that sketches of whole sets leave: a sketch is a bit of parity, or a count, for each of 256 parts of a set."""
-    own = classes.select("cid", "size", "parts", F.array(*SKETCH).alias("parity"))
-    x, y = (own.toDF(*(f"{c}_{side}" for c in own.columns)) for side in "ab")
-    met = pairs.join(x, F.col("a") == F.col("cid_a")).join(y, F.col("b") == F.col("cid_b"))
-    both = F.col("size_a") + F.col("size_b")
-    apart = both - 2 * F.ceil(num * both / (num + den))
-    differ = sum((F.bit_count(F.col("parity_a")[k].bitwiseXOR(F.col("parity_b")[k])) for k in range(len(SKETCH))), F.lit(0))
-    met = met.withColumn("apart", apart).where(differ <= F.col("apart")).select("a", "b", "apart", "parts_a", "parts_b")
+def last_round(mixed: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: all pairs of different components that the bounds allow within a cell."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for i, (apart, p, q) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))):
-                if p is not None and q is not None:
-                    keep[i] = np.abs(np.frombuffer(p, np.uint8).astype(np.int16) - np.frombuffer(q, np.uint8)).sum() <= apart
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+    def made(c: dict[str, np.ndarray], ends: np.ndarray, pairs: Iterator) -> Iterator[pa.RecordBatch]:
+        for i, j, _ in pairs:
+            x, y = c["cid"][i], c["cid"][j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    return _stepped(cells(mixed), ["region", "side", "chunk"], ["comp", "role"], num, den, "a long, b long", made, True).distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
@@ -286,10 +324,20 @@ def near_duplicates(docs: DataFrame, n: int, num: int, den: int, scratch: Scratc
     classes = scratch.table(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     near = regions(scratch.table(tree_rows(classes), "trees"), scratch)
     links = verified(first_round(near, num, den), classes, docs, n, num, den, scratch, "first")
-    stars = components(links, scratch, "first-stars")
-    pairs = scratch.table(second_round(near, stars, num, den, scratch), "met")
-    more = verified(within_bounds(pairs, classes, num, den), classes, docs, n, num, den, scratch, "rest")
-    roots = stars if more.isEmpty() else components(links.unionByName(more), scratch, "all-stars")
+    roots = components(links, scratch, "first-stars")
+    sketches = classes.select("cid", "parts", *SKETCH)
+    left = scratch.table(mixed_regions(near, roots).drop("comp").join(sketches, "cid"), "mixed")
+    for step in range(ROUNDS):
+        mixed = scratch.table(mixed_regions(left, roots), f"mixed-{step}")
+        more = verified(joining_round(mixed, num, den), classes, docs, n, num, den, scratch, f"round-{step}")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        roots = components(links, scratch, f"stars-{step}")
+    mixed = scratch.table(mixed_regions(left, roots), "mixed-last")
+    more = verified(last_round(mixed, num, den), classes, docs, n, num, den, scratch, "last")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more), scratch, "all-stars")
     placed = classes.select("cid", "key", "doc_id").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_key = placed.select("key", "root").join(least, "root").select("key", "component_id")
