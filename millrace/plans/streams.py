@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..streaming import queue
+from ..streaming import queue, timers
 from .base import Tables, query
 
 
@@ -60,3 +60,84 @@ def stream_state(t: Tables) -> DataFrame:
     queue.drain(states, f"{at}/out", f"{at}/checkpoint", "update")
     updates = t.spark.read.parquet(f"{at}/out")
     return updates.groupBy("key").agg(F.max_by(F.struct("state", "attempts"), "batch").alias("s")).select("key", "s.state", "s.attempts")
+
+
+_START = "2024-01-01 00:00:00"
+_TRIED = "CASE WHEN event_type = 'purchase' AND event_id % 7 = 0 THEN 'resolved' WHEN event_type = 'signup' AND event_id % 31 = 0 THEN 'closed' ELSE 'failed' END"
+_WORK = "CASE event_type WHEN 'view' THEN 'queue' WHEN 'purchase' THEN 'succeed' WHEN 'error' THEN CASE WHEN event_id % 9 = 0 THEN 'error' ELSE 'fail' END ELSE 'claim' END"
+SLICES = 4
+
+
+def _clocked(t: Tables, event: str, faster: int) -> DataFrame:
+    """The events in time as a stream of several batches: slices of the table by time, each written after the one before."""
+    at = f"{_folder(t)}/in"
+    us = "unix_micros(CAST(ts AS TIMESTAMP))"
+    start = f"unix_micros(TIMESTAMP '{_START}')"
+    rows = t.events.selectExpr("user_id AS key", "event_id AS seq", f"{event} AS event", f"{start} + ({us} - {start}) div {faster} AS at").selectExpr("*", "timestamp_micros(at) AS ts")
+    bounds = rows.agg(F.min("at"), F.max("at")).first()
+    if bounds[0] is None:
+        rows.write.parquet(f"{at}/slice=0")
+    else:
+        width = (bounds[1] - bounds[0]) // SLICES + 1
+        for i in range(SLICES):
+            rows.where((F.col("at") >= bounds[0] + i * width) & (F.col("at") < bounds[0] + (i + 1) * width)).coalesce(1 if i % 2 else 2).write.parquet(f"{at}/slice={i}")
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/slice=*")
+
+
+def _run(t: Tables, event: str, faster: int, rules: timers.Rules) -> DataFrame:
+    """The last state of each key after its last event."""
+    at = _folder(t)
+    timers.run_queue(timers.queue_states(_clocked(t, event, faster), rules), f"{at}/out", f"{at}/checkpoint")
+    updates = t.spark.read.parquet(f"{at}/out").where("cause = 'event'")
+    return updates.groupBy("key").agg(F.max_by(F.struct("state", "attempts", "next_at", "steps"), F.struct("at", "steps")).alias("s")).select("key", "s.*")
+
+
+def _loop(event: str, faster: int, settled: str, stepped: str) -> str:
+    """A loop over each key's events in SQL: first the clocks, then the event."""
+    start = f"epoch_us(TIMESTAMP '{_START}')"
+    return f"""WITH RECURSIVE e AS (
+  SELECT user_id AS key, {event} AS event, {start} + (epoch_us(ts) - {start}) // {faster} AS tm, row_number() OVER (PARTITION BY user_id ORDER BY {start} + (epoch_us(ts) - {start}) // {faster}, event_id) AS n FROM events),
+w AS (
+  SELECT key, 0::BIGINT AS n, NULL::VARCHAR AS state, 0::BIGINT AS attempts, 0::BIGINT AS next_at, 0::BIGINT AS since, 0::BIGINT AS first_at, 0::BIGINT AS steps FROM (SELECT DISTINCT key FROM e)
+  UNION ALL
+  SELECT key, n, {stepped}, first_at, steps + 1 FROM (
+    SELECT key, n, event, tm, CASE WHEN fresh THEN 'pending' ELSE state END AS state, CASE WHEN fresh THEN 0 ELSE attempts END AS attempts, CASE WHEN fresh THEN tm ELSE next_at END AS next_at,
+      CASE WHEN fresh THEN tm ELSE since END AS since, CASE WHEN fresh THEN tm ELSE first_at END AS first_at, CASE WHEN fresh THEN 0 ELSE steps END AS steps
+    FROM (SELECT *, state IS NULL OR (state IN ('resolved', 'closed', 'abandoned', 'succeeded', 'permanent') AND since + {timers.Retries.keep} <= tm) AS fresh FROM ({settled}))))
+SELECT key, state, attempts, next_at, steps FROM w WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1
+"""
+
+
+_JOINED = "SELECT e.key, e.n, e.event, e.tm, {state} AS state, w.attempts, {next_at} AS next_at, {since} AS since, w.first_at, w.steps FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1"
+_RETRIED = """CASE WHEN is_done THEN state WHEN event IN ('resolved', 'closed') THEN event WHEN attempts + 1 >= 12 OR tm - first_at > 604800000000 THEN 'abandoned' ELSE 'retry' END,
+    CASE WHEN is_done THEN attempts ELSE attempts + 1 END,
+    CASE WHEN is_done THEN next_at WHEN event IN ('resolved', 'closed') OR attempts + 1 >= 12 OR tm - first_at > 604800000000 THEN tm ELSE tm + least(7200000000, 600000000 * CAST(pow(2, least(attempts + 1, 4)) AS BIGINT)) END,
+    CASE WHEN is_done THEN since ELSE tm END""".replace("is_done", "state IN ('resolved', 'closed', 'abandoned')")
+
+
+@query("queue_retries", _loop(_TRIED, 1, _JOINED.format(state="w.state", next_at="w.next_at", since="w.since"), _RETRIED))
+def queue_retries(t: Tables) -> DataFrame:
+    """Attempts with growing pauses, ended by success, by 12 attempts or by age; done items leave after 7 days."""
+    return _run(t, _TRIED, 1, timers.Retries())
+
+
+#: The events' times are pressed together for the score queue, so that its pauses and leases matter.
+_FASTER, _LEASE = 400, timers.Scores.lease
+_OVER = f"w.state = 'running' AND w.since + {_LEASE} <= e.tm"
+_LAPSED = _JOINED.format(
+    state=f"CASE WHEN {_OVER} THEN CASE WHEN w.attempts >= 3 THEN 'permanent' ELSE 'retryable' END ELSE w.state END",
+    next_at=f"CASE WHEN {_OVER} THEN w.since + {_LEASE} ELSE w.next_at END", since=f"CASE WHEN {_OVER} THEN w.since + {_LEASE} ELSE w.since END",
+)
+_CLAIMED = "event = 'claim' AND state IN ('pending', 'retryable') AND next_at <= tm"
+_ENDS = "state = 'running' AND event IN ('succeed', 'fail', 'error')"
+_AGAIN = "state = 'running' AND event = 'fail' AND attempts < 3"
+_SCORED = f"""CASE WHEN {_CLAIMED} THEN 'running' WHEN {_AGAIN} THEN 'retryable' WHEN {_ENDS} AND event = 'succeed' THEN 'succeeded' WHEN {_ENDS} THEN 'permanent' ELSE state END,
+    CASE WHEN {_CLAIMED} THEN attempts + 1 ELSE attempts END,
+    CASE WHEN {_CLAIMED} THEN tm WHEN {_AGAIN} THEN tm + CASE attempts WHEN 1 THEN 60000000 ELSE 300000000 END WHEN {_ENDS} THEN tm ELSE next_at END,
+    CASE WHEN {_CLAIMED} OR {_ENDS} THEN tm ELSE since END"""
+
+
+@query("queue_scores", _loop(_WORK, _FASTER, _LAPSED, _SCORED))
+def queue_scores(t: Tables) -> DataFrame:
+    """Claims, pauses of one and five minutes, leases, and three attempts at most."""
+    return _run(t, _WORK, _FASTER, timers.Scores())
