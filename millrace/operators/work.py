@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import company_key
 from .identity import latest
+from .phrases import containing
+from .tables import Passing
 
 #: Ranks of application states; states outside always apply.
 STATUS_RANK = {"SUBMITTED": 1, "ASSESSMENT_REQUIRED": 2, "INTERVIEW": 3, "OFFER": 4}
@@ -29,31 +31,19 @@ REVIEW_REASONS = (
 )
 
 
-def grams(text: Column, n: int) -> Column:
-    """The distinct substrings of length n."""
-    places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, n)))
-
-
-def containing(left: DataFrame, text: str, right: DataFrame, needle: str, least: int) -> DataFrame:
-    """Pairs where the text contains the needle (of at least ``least`` letters).
-
-    The needle's first letters must be among the text's substrings of that length,
-    so an equi-join finds the candidates.
-    """
-    parts = left.withColumn("_gram", F.explode(grams(F.col(text), least)))
-    needles = right.where(F.length(needle) >= least).withColumn("_gram", F.substring(needle, 1, least))
-    return parts.join(needles, "_gram").where(F.col(text).contains(F.col(needle))).drop("_gram")
-
-
 def company_lookup(names: DataFrame, name: str, companies: DataFrame, company: str, company_id: str, least: int = 5) -> DataFrame:
     """Each name with the least id of the companies of its key, else of those whose key contains it or is contained."""
-    n = names.select(name).distinct().withColumn("_k", company_key(F.col(name)))
-    c = companies.select(F.col(company_id).alias("_id"), company_key(F.col(company)).alias("_c"))
-    exact = n.join(c, F.col("_k") == F.col("_c")).where("_k <> ''").select(name, F.lit(1).alias("_tier"), "_id")
-    longer = containing(n, "_k", c, "_c", least).where(F.length("_k") >= least).select(name, F.lit(2).alias("_tier"), "_id")
-    shorter = containing(c, "_c", n, "_k", least).where(F.length("_c") >= least).select(name, F.lit(2).alias("_tier"), "_id")
-    best = exact.unionByName(longer).unionByName(shorter).groupBy(name).agg(F.min(F.struct("_tier", "_id")).alias("_b"))
+    cut = Passing(names.sparkSession, "companies")
+    n = cut(names.select(name).distinct().withColumn("_k", company_key(F.col(name))))
+    c = cut(companies.groupBy(company_key(F.col(company)).alias("_c")).agg(F.min(company_id).alias("_id")).where("_c <> ''"))
+    exact = n.join(c, F.col("_k") == F.col("_c")).select(name, F.lit(1).alias("_tier"), "_id")
+    keyed = n.where(F.length("_k") >= least).select("_k").distinct()
+    named = c.where(F.length("_c") >= least)
+    longer = containing(keyed, "_k", "_k", named, "_c", cut)
+    shorter = containing(named, "_c", "_c", keyed, "_k", cut)
+    pairs = longer.unionByName(shorter).join(c, "_c").groupBy("_k").agg(F.min("_id").alias("_id"))
+    part = n.join(pairs, "_k").select(name, F.lit(2).alias("_tier"), "_id")
+    best = exact.unionByName(part).groupBy(name).agg(F.min(F.struct("_tier", "_id")).alias("_b"))
     return names.join(best.select(name, F.col("_b._id").alias("match_id")), name, "left")
 
 
@@ -69,18 +59,24 @@ def mail_matches(mails: DataFrame, jobs: DataFrame) -> DataFrame:
     domain that ends like the employer's, then a company named in the mail that has
     a single job, or whose job's title is named too.  Within each of the three the
     least job_id wins, whatever the last one's method.  A requisition without
-    letters or digits finds nothing.
+    letters or digits finds nothing.  ``mail_id`` must be unique.  Requisitions and
+    companies are looked for in one pass.
     """
-    texts = mails.select("mail_id", plain_words(F.concat_ws(" ", "subject", "body")).alias("text"))
-    asked = jobs.where(F.length("requisition") >= 4).select("job_id", plain_words(F.col("requisition")).alias("needle"))
-    by_id = containing(texts, "text", asked, "needle", 4).unionByName(containing(texts, "text", asked.where(F.length("needle") < 4), "needle", 1))
+    cut = Passing(mails.sparkSession, "mails")
+    texts = cut(mails.select("mail_id", plain_words(F.concat_ws(" ", "subject", "body")).alias("text")))
+    plain = jobs.select("job_id", *(plain_words(F.col(c)).alias(c) for c in ("company", "title")), F.when(F.length("requisition") >= 4, plain_words(F.col("requisition"))).alias("requisition"))
+    counted = cut(plain.join(plain.groupBy("company").agg(F.count("*").alias("n")), "company"))
+    long = F.when(F.length("company") >= 3, F.col("company"))
+    phrases = counted.select(F.explode(F.array("requisition", long)).alias("phrase"))
+    held = cut(containing(texts, "mail_id", "text", phrases, "phrase", cut))
+    by_id = held.join(counted.select("job_id", F.col("requisition").alias("phrase")), "phrase").select("mail_id", "job_id")
     sender = F.lower(F.nullif(F.regexp_extract("from_address", "@([A-Za-z0-9.-]+)", 1), F.lit("")))
     suffixes = F.transform(F.sequence(F.lit(1), F.length("domain")), lambda i: F.substring(F.col("domain"), i, F.length("domain")))
     employers = jobs.select("job_id", F.lower("employer_domain").alias("suffix"))
     by_domain = mails.select("mail_id", sender.alias("domain")).select("mail_id", F.explode(suffixes).alias("suffix")).join(employers, "suffix")
-    plain = jobs.select("job_id", plain_words(F.col("company")).alias("company"), plain_words(F.col("title")).alias("title"))
-    counted = plain.join(plain.groupBy("company").agg(F.count("*").alias("n")), "company")
-    named = containing(texts, "text", counted, "company", 3).where("n = 1 OR (length(title) >= 3 AND contains(text, title))")
+    met = held.join(counted.select("job_id", "n", "title", F.col("company").alias("phrase")), "phrase")
+    unsure = met.where("n > 1 AND length(title) >= 3").join(texts, "mail_id").where("contains(text, title)")
+    named = met.where("n = 1").select("mail_id", "job_id", "n").unionByName(unsure.select("mail_id", "job_id", "n"))
     tier = lambda df, k, method: df.select("mail_id", F.struct(F.lit(k).alias("tier"), "job_id", method.alias("method")).alias("found"))
     by_name = tier(named, 3, F.when(F.col("n") == 1, "company-name").otherwise("job-title"))
     every = tier(by_id, 1, F.lit("requisition-id")).unionByName(tier(by_domain, 2, F.lit("ats-domain"))).unionByName(by_name)

@@ -164,8 +164,9 @@ SELECT o_orderkey, CASE o_orderkey % 5 WHEN 4 THEN NULL ELSE CAST(CAST(o_orderda
 """)
 def parse_dates(t: Tables) -> DataFrame:
     forms = F.array(*[F.date_format("o_orderdate", f) for f in ("yyyy-MM-dd", "M/d/yyyy", "MMM d, yyyy", "MMMM d yyyy")], F.lit("soon"))
-    got = dates.posted_at(F.element_at(forms, (F.col("o_orderkey") % 5 + 1).cast("int")), F.lit(NOW).cast("timestamp"))
-    return t.orders.select("o_orderkey", F.to_date(got["posted_at"]).cast("string").alias("posted"), got["confidence"].alias("confidence"))
+    raw = F.element_at(forms, (F.col("o_orderkey") % 5 + 1).cast("int"))
+    got = dates.with_posted_at(t.orders.select("o_orderkey", "o_orderdate"), raw, F.lit(NOW).cast("timestamp"), "got")
+    return got.select("o_orderkey", F.to_date("got.posted_at").cast("string").alias("posted"), "got.confidence")
 
 
 @query("parse_relative", """
@@ -174,7 +175,8 @@ SELECT event_id, strftime(TIMESTAMP '2024-01-01' - to_minutes(CAST(CASE event_id
 def parse_relative(t: Tables) -> DataFrame:
     e = F.col("event_id")
     said = F.when(e % 4 == 0, F.concat(e % 60, F.lit(" minutes ago"))).when(e % 4 == 1, F.concat(F.lit("about "), e % 20, F.lit(" hrs ago"))).when(e % 4 == 2, F.concat(e % 9, F.lit("+ days ago"))).otherwise(F.concat(F.lit("Posted "), e % 5, F.lit(" months ago")))
-    return t.events.select("event_id", F.date_format(dates.posted_at(said, F.lit(NOW).cast("timestamp"))["posted_at"], "yyyy-MM-dd HH:mm:ss").alias("at"))
+    got = dates.with_posted_at(t.events.select("event_id"), said, F.lit(NOW).cast("timestamp"), "got")
+    return got.select("event_id", F.date_format("got.posted_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 @query("age_label", """
