@@ -1,7 +1,8 @@
 """Near-duplicates by an LSH forest of minhash signatures, with exact links.
 
 1. One pass over the texts gives each document's set of word shingles: its size and
-   key, ``TREES`` x ``DEEP`` minhash values of 16 bits, and what exact bounds need.
+   key, ``TREES`` x ``DEEP`` minhash values of 16 bits, and what exact bounds need (parities and counts of
+   ``PARTS`` parts of the set).
    Equal sets are one class, so copies never meet each other again.
 2. Each tree is the order of the classes by its own ``DEEP`` values.  A region of a
    tree is a run of classes with a common prefix; its depth adapts to the data: it
@@ -46,16 +47,18 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, read, ship
 from .components import components
-from .prefix_tree_join import BOTH, MEMBER, PROBE, SKETCH, WordHashes, part_sizes, set_key, shingles, sketch, verified
+from .prefix_tree_join import BOTH, BROADCAST_ROWS, LONG, MEMBER, PROBE, WordHashes, set_key, shingles, verified
 
 TREES, DEEP = 16, 8
 HASHES = TREES * DEEP
 DEPTHS = (3, 4, 5, 6, 8)
 REGION = 2048
 #: Joining rounds at most; what they don't join is left to the last round.
-ROUNDS = 4
+ROUNDS = 2
 #: Most of the 128 values that may differ, as two bits, at Jaccard 0.8: expected 19, deviation 4.
 APART = 40
+#: Parts of the hash values for exact bounds.
+PARTS = 1024
 #: The 128 low bits and the 128 next bits of a signature's values.
 PLANES = ["low0", "low1", "high0", "high1"]
 SHINGLES_AT_ONCE, ROWS_AT_ONCE = 2048, 4096
@@ -75,6 +78,16 @@ def signature(found: np.ndarray) -> np.ndarray:
     return ((least ^ (least >> np.uint64(31))) * _MIX >> np.uint64(48)).astype(np.uint16)
 
 
+def sketches_of(found: np.ndarray) -> tuple[bytes, bytes | None]:
+    """For each of ``PARTS`` parts of the hash values: whether the set has an odd number there, and for long sets how many, 15 at most."""
+    counts = np.bincount((found & np.uint64(PARTS - 1)).astype(np.intp), minlength=PARTS)
+    parity = np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+    if len(found) < LONG:
+        return parity, None
+    few = np.minimum(counts, 15).astype(np.uint8)
+    return parity, (few[::2] | few[1::2] << 4).tobytes()
+
+
 def planes(signatures: np.ndarray) -> np.ndarray:
     """Rows of ``PLANES``: the two low bits of every value."""
     bits = [np.packbits(((signatures >> b) & 1).astype(np.uint8), axis=1, bitorder="little").view(np.int64) for b in (0, 1)]
@@ -82,7 +95,7 @@ def planes(signatures: np.ndarray) -> np.ndarray:
 
 
 def document_signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size, key (null if empty), signature, and the sketches for exact bounds."""
+    """doc_id, size, key (null if empty), signature, and parity and parts for exact bounds."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,15 +104,14 @@ def document_signatures(docs: DataFrame, n: int) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 found = [shingles(x.as_py(), n, hashes) for x in part.column(1)]
-                sketches = np.array([sketch(f) for f in found]).reshape(-1, len(SKETCH))
+                bounds = [sketches_of(f) for f in found]
                 columns = [
                     part.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([set_key(f) if len(f) else None for f in found], pa.binary()),
-                    pa.array([signature(f).astype(">u2").tobytes() for f in found], pa.binary()), pa.array([part_sizes(f) for f in found], pa.binary()),
+                    pa.array([signature(f).astype(">u2").tobytes() for f in found], pa.binary()), *(pa.array(b, pa.binary()) for b in zip(*bounds)),
                 ]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(s, pa.int64()) for s in sketches.T)], ["doc_id", "size", "key", "signature", "parts", *SKETCH])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "key", "signature", "parity", "parts"])
 
-    sketched = ", ".join(f"{s} long" for s in SKETCH)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size long, key binary, signature binary, parts binary, {sketched}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size long, key binary, signature binary, parity binary, parts binary")
 
 
 def tree_rows(classes: DataFrame) -> DataFrame:
@@ -154,7 +166,7 @@ def _stepped(rows: DataFrame, key: list[str], extra: list[str], num: int, den: i
     the pair, and, if ``bounded``, the exact bounds and components do; no row is twice in
     an i, or twice in a j.  Only a batch's last, unfinished group is carried on.
     """
-    columns = [*key, "cid", "size", *extra, *PLANES, *(["parts", *SKETCH] if bounded else [])]
+    columns = [*key, "cid", "size", *extra, *PLANES, *(["parity", "parts"] if bounded else [])]
     sorted_rows = rows.select(*columns).repartition(*key).sortWithinPartitions(*key)
 
     def pairs(c: dict[str, np.ndarray], bits: np.ndarray, ends: np.ndarray, exact) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -179,9 +191,10 @@ def _stepped(rows: DataFrame, key: list[str], extra: list[str], num: int, den: i
 
     def sketches(ready: pa.RecordBatch):
         """The exact bounds: parities and part sizes differ no more than sets that are similar enough."""
-        parity = np.stack([ready.column(s).to_numpy() for s in SKETCH], axis=1).view(np.uint64)
+        parity = np.frombuffer(b"".join(ready.column("parity").to_pylist()), np.uint64).reshape(-1, PARTS // 64)
         long = ready.column("parts").is_valid().to_numpy(zero_copy_only=False)
-        parts = np.frombuffer(b"".join(ready.column("parts").drop_null().to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16)
+        packed = np.frombuffer(b"".join(ready.column("parts").drop_null().to_pylist()), np.uint8).reshape(-1, PARTS // 2)
+        low, high = (packed & 15).astype(np.int8), (packed >> 4).astype(np.int8)
         nth = np.cumsum(long) - 1
 
         def exact(i: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -189,9 +202,10 @@ def _stepped(rows: DataFrame, key: list[str], extra: list[str], num: int, den: i
             apart = both + 2 * (-num * both // (num + den))
             near = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64) <= apart
             known = np.flatnonzero(near & long[i] & long[j])
-            for at in range(0, len(known), 4096):
-                some = known[at : at + 4096]
-                near[some] = np.abs(parts[nth[i[some]]] - parts[nth[j[some]]]).sum(axis=1, dtype=np.int64) <= apart[some]
+            for at in range(0, len(known), 1024):
+                some = known[at : at + 1024]
+                x, y = nth[i[some]], nth[j[some]]
+                near[some] = sum(np.abs(half[x] - half[y]).sum(axis=1, dtype=np.int64) for half in (low, high)) <= apart[some]
             return near
 
         return exact
@@ -224,7 +238,7 @@ def _stepped(rows: DataFrame, key: list[str], extra: list[str], num: int, den: i
 
 
 def first_round(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: at most two partners a of each class b, its region's leader among them if that is near."""
+    """a, b, differ: for each class b of a cell that has near ones its leader, if that is near, else its nearest."""
     blocks = F.ceil(F.col("n") / REGION).cast("int")
     dealt = rows.select("region", F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("side"), "cid", "size", *PLANES, F.lit(False).alias("leads"))
     large = rows.where(f"n > {REGION}")
@@ -249,7 +263,11 @@ def first_round(rows: DataFrame, num: int, den: int) -> DataFrame:
         found = np.flatnonzero(partner >= 0)
         yield pa.RecordBatch.from_arrays([pa.array(c["cid"][partner[found]]), pa.array(c["cid"][found]), pa.array(np.maximum(best[found], 0))], ["a", "b", "differ"])
 
-    met = _stepped(hashed, ["region", "side"], ["rank"], num, den, "a long, b long, differ long", made)
+    return _stepped(hashed, ["region", "side"], ["rank"], num, den, "a long, b long, differ long", made)
+
+
+def at_most_two(met: DataFrame) -> DataFrame:
+    """a, b: of a class's partners over all trees the nearest and the one of the lowest hash; the lower hash leads a pair."""
     few = met.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("best"), F.min_by("a", F.xxhash64("a")).alias("lead"))
     both = few.select(F.explode(F.array_distinct(F.array("best", "lead"))).alias("a"), "b")
     return both.select(F.when(F.xxhash64("a") <= F.xxhash64("b"), F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.xxhash64("a") <= F.xxhash64("b"), F.col("b")).otherwise(F.col("a")).alias("y")).distinct().toDF("a", "b")
@@ -320,12 +338,18 @@ def near_duplicates(docs: DataFrame, n: int, num: int, den: int, scratch: Scratc
         raise ValueError("the forest's bound on signatures is for similarities of 0.8 or more")
     ship(docs.sparkSession)
     sets = scratch.table(document_signatures(docs, n), "sets")
-    grouped = sets.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("size", "signature", "parts", *SKETCH)))
+    grouped = sets.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("size", "signature", "parity", "parts")))
     classes = scratch.table(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     near = regions(scratch.table(tree_rows(classes), "trees"), scratch)
-    links = verified(first_round(near, num, den), classes, docs, n, num, den, scratch, "first")
+    met = scratch.table(first_round(near, num, den), "met")
+    # only classes with a near one in some cell are ever confirmed; their texts are gathered once
+    active = met.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(near.where(f"n > {REGION}").select("cid")).distinct()
+    reps = scratch.table(active.join(classes, "cid").select(F.col("doc_id").alias("rep")).distinct(), "active")
+    small = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
+    docs = scratch.table(docs.select("doc_id", "text").join(small, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi"), "texts")
+    links = verified(at_most_two(met), classes, docs, n, num, den, scratch, "first")
     roots = components(links, scratch, "first-stars")
-    sketches = classes.select("cid", "parts", *SKETCH)
+    sketches = classes.select("cid", "parity", "parts")
     left = scratch.table(mixed_regions(near, roots).drop("comp").join(sketches, "cid"), "mixed")
     for step in range(ROUNDS):
         mixed = scratch.table(mixed_regions(left, roots), f"mixed-{step}")
