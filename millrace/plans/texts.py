@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, json, text
 from ..operators import catalogue
+from ..sources.jsonld import found_postings
 from ..sources.readers import structured_postings
 from .base import NOW, Tables, query
 
@@ -212,3 +213,32 @@ def json_ld(t: Tables) -> DataFrame:
     )
     html = F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"), F.coalesce("html", F.lit("")))
     return structured_postings(t.pages.select("page_id", html.alias("html"))).select("page_id", "title", "company", "location")
+
+
+#: Pages by page_id % 10: what their JSON-LD is like, with {i} for the page, and the title, company and location that are found.
+_LD_SHAPES = [
+    ('[{"@type":"WebSite","name":"x"},{"@type":"JobPosting","title":" T{i} ","hiringOrganization":{"name":"Org"}}]', "T", "Org", None),
+    ('{"@graph":[{"@type":"Thing","zone":{"@graph":[{"@type":["Thing","jobposting"],"title":"T{i}","hiringOrganization":"Own"}]}}]}', "T", "Own", None),
+    ('{"a":{"b":{"c":{"d":{"e":{"@type":"JobPosting","title":"T{i}"}}}}}}', "T", None, None),
+    ('{"a":{"b":{"c":{"d":{"e":{"f":{"@type":"JobPosting","title":"T{i}"}}}}}}}', None, None, None),
+    ('{"@type":"JobPosting","title":"T{i}","jobLocation":[{"address":{"addressLocality":"Clifton","addressRegion":"NJ","addressCountry":7}},{"address":{"addressLocality":"Clifton","addressRegion":"NJ"}},{"addressLocality":"Rome"}]}', "T", None, "Clifton, NJ; Rome"),
+    ('{"@type":"JobPosting","title":"T{i}"', None, None, None),
+    ('{"zz":{"@type":"JobPosting","title":"no"},"@graph":{"x":[{"@type":"JobPosting","title":"T{i}"}]}}', "T", None, None),
+    ('{&quot;@type&quot;:&quot;JobPosting&quot;,&quot;title&quot;:&quot;T{i}&quot;,&quot;hiringOrganization&quot;:[&quot;&quot;,&quot;Third&quot;]}', "T", "Third", None),
+    ('"JobPosting"', None, None, None),
+    ('{"@type":"JobPosting","title":5,"hiringOrganization":{"legal":"x"},"jobLocation":null,"mainEntity":{"@type":"JobPosting","title":"deeper"}}', "", None, None),
+]
+_LD_ROWS = ", ".join(f"({k}, {'NULL' if t is None else chr(39) + t + chr(39)}, {'NULL' if c is None else chr(39) + c + chr(39)}, {'NULL' if p is None else chr(39) + p + chr(39)})" for k, (_, t, c, p) in enumerate(_LD_SHAPES))
+
+
+@query("json_ld_deep", f"""
+WITH v(k, t, company, location) AS (VALUES {_LD_ROWS})
+SELECT page_id, CASE WHEN t = 'T' THEN 'T' || page_id END AS title, company, location FROM pages JOIN v ON k = page_id % 10 WHERE t IS NOT NULL
+""")
+def json_ld_deep(t: Tables) -> DataFrame:
+    """The first JobPosting of every page, nested up to five levels; each page has a malformed and a foreign script before it."""
+    i = F.col("page_id").cast("string")
+    shapes = F.array(*[F.replace(F.lit(shape), F.lit("{i}"), i) for shape, *_ in _LD_SHAPES])[(F.col("page_id") % 10).cast("int")]
+    script = lambda body: F.concat(F.lit('<script id="a" type="application/ld+json">'), body, F.lit("</script>"))
+    html = F.concat("html", script(F.lit('{"@type":')), script(F.lit('{"@type":"Organization","name":"x"}')), script(shapes), F.lit("<p>end</p>"))
+    return found_postings(t.pages.select("page_id", html.alias("html")), "page_id", "html").select("page_id", "title", "company", "location")
