@@ -33,19 +33,14 @@ MATCH_STOP_WORDS = (
     "that", "the", "this", "with", "will", "you", "your",
 )
 CONTEXT_FACTS = ("education", "gpa", "graduationDate", "experience", "project", "activity")
-#: Closing notices of whole pages; ``_`` stands for JavaScript's blanks, ``<`` and ``>`` for its word ends.
-_GONE = "(?:is|has been)_(?:closed|filled|expired|removed|cancelled|canceled|no longer available)"
-_NOTICES = (
-    f"<this_(?:job|position|posting|requisition)_{_GONE}>",
-    f"<the_(?:job|position|posting|requisition)_{_GONE}>",
-    "<job_posting_(?:has_)?expired>",
-    "<position_has_been_filled>",
-    "<job_is_no_longer_available>",
-    "<we(?:'|\u2019)re_sorry[^.]{0,120}<(?:job|position)>[^.]{0,120}<no_longer_available>",
-)
-CLOSED_HTML = tuple(
-    "(?i)" + n.replace("_", r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+").replace("<", "(?<![A-Za-z0-9_])").replace(">", "(?![A-Za-z0-9_])")
-    for n in _NOTICES
+#: The closing notices of whole pages, as patterns of ECMAScript.
+CLOSED_NOTICES = (
+    r"\bthis\s+(?:job|position|posting|requisition)\s+(?:is|has been)\s+(?:closed|filled|expired|removed|cancelled|canceled|no longer available)\b",
+    r"\bthe\s+(?:job|position|posting|requisition)\s+(?:is|has been)\s+(?:closed|filled|expired|removed|cancelled|canceled|no longer available)\b",
+    r"\bjob\s+posting\s+(?:has\s+)?expired\b",
+    r"\bposition\s+has\s+been\s+filled\b",
+    r"\bjob\s+is\s+no\s+longer\s+available\b",
+    r"\bwe(?:'|’)re\s+sorry[^.]{0,120}\b(?:job|position)\b[^.]{0,120}\bno\s+longer\s+available\b",
 )
 STUDENT_ROLE = r"(?i)\b(intern(ship)?s?|co-?ops?|undergrad(uate)?)\b"
 CLEARANCE = (
@@ -158,10 +153,21 @@ def fraud_signals(text: Column) -> Column:
     return F.array_compact(F.array(*found, F.when(F.size(personal_emails(text)) > 0, "personal-email-contact")))
 
 
+def java_pattern(pattern: str) -> str:
+    """A case-blind ECMAScript pattern as one of Java.
+
+    ``\\s`` has ECMAScript's blanks, and ``\\b`` stands between ASCII letters, digits
+    and underscores and anything else, as Java's differ in both.
+    """
+    blanks = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+    edge = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+    return "(?i)" + pattern.replace(r"\s", blanks).replace(r"\b", edge)
+
+
 def looks_closed(html: Column) -> Column:
     """Whether a page, read to its end, has one of the closing notices."""
     found = F.lit(False)
-    for notice in CLOSED_HTML:
+    for notice in map(java_pattern, CLOSED_NOTICES):
         found = found | html.rlike(notice)
     return found
 

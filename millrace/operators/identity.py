@@ -14,10 +14,13 @@ def latest(rows: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataF
     return top(rows, by, order, 1)
 
 
-def top(rows: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, number: str = "_rank") -> DataFrame:
-    """The first ``k`` rows of each group; ``number`` is kept only if named otherwise."""
-    out = rows.withColumn(number, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(number) <= k)
-    return out.drop(number) if number == "_rank" else out
+def top(rows: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, number: str | None = None) -> DataFrame:
+    """The first ``k`` rows of each group; the rank is kept under ``number``, if that is given."""
+    rank = number or "rank_"
+    while number is None and rank in rows.columns:
+        rank += "_"
+    out = rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
+    return out.drop(rank) if number is None else out
 
 
 def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:

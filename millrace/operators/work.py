@@ -24,6 +24,10 @@ VERIFICATION = {
 }
 #: Systems that a source's name may stand for, in order of preference.
 SYSTEMS = ("greenhouse", "lever", "ashby", "smartrecruiters", "workday", "icims", "taleo", "successfactors", "usajobs", "manual")
+#: What a source's name has besides the system's: a prefix, ends of sites, words.
+SOURCE_PREFIX = "^ats:"
+SITE_ENDS = r"\.(com|ai|io|co|net|org|jobs)\b"
+SITE_WORDS = r"\b(ai|inc|llc|jobs|labs|the|app)\b"
 #: Review reasons, in the order in which they are reported.
 REVIEW_REASONS = (
     "EMPLOYER_NOT_APPROVED", "OFFICIAL_JOB_NOT_FOUND", "ATS_TENANT_NOT_PROVEN", "POSTING_CLOSED", "JOB_ID_MISMATCH", "COMPANY_MISMATCH",
@@ -31,6 +35,23 @@ REVIEW_REASONS = (
 )
 
 
+#: The words by which a stored reason is known, and the order in which reasons count.
+REASON_WORDS = {
+    "DEMO_OR_FIXTURE": "fixture|mock test",
+    "POSTING_CLOSED": "closed|no longer open|404",
+    "LOCATION_MISMATCH": "location(?s:.*)(doesn.t match|mismatch)|(doesn.t match|mismatch)(?s:.*)location",
+    "COMPANY_MISMATCH": "company(?s:.*)(doesn.t match|mismatch)|(doesn.t match|mismatch)(?s:.*)company",
+    "JOB_ID_MISMATCH": "(job id|requisition)(?s:.*)mismatch|mismatch(?s:.*)(job id|requisition)",
+    "NETWORK_FAILURE": "network|timed out|could not reach|fetch",
+    "PARSING_FAILURE": "parse|malformed|invalid html",
+    "OFFICIAL_JOB_NOT_FOUND": "could not independently locate|not found",
+}
+REASON_ORDER = (
+    "DEMO_OR_FIXTURE", "POSTING_CLOSED", "UNAVAILABLE", "EMPLOYER_NOT_APPROVED", "LOCATION_MISMATCH", "COMPANY_MISMATCH", "JOB_ID_MISMATCH",
+    "NETWORK_FAILURE", "PARSING_FAILURE", "STALE_VERIFICATION", "OFFICIAL_JOB_NOT_FOUND", "MISSING_EVIDENCE",
+)
+
+
 def company_lookup(names: DataFrame, name: str, companies: DataFrame, company: str, company_id: str, least: int = 5) -> DataFrame:
     """Each name with the least id of the companies of its key, else of those whose key contains it or is contained."""
     cut = Passing(names.sparkSession, "companies")
@@ -133,10 +154,10 @@ def retired(registry: DataFrame, snapshot: DataFrame, key: str, source: str, rul
 
 def canonical_source(raw: Column, aggregators: Sequence[str] = ()) -> Column:
     """One token for a source's name, address or adapter label: an aggregator, a known system or ``other``."""
-    low = F.regexp_replace(F.lower(F.trim(raw)), "^ats:", "")
+    low = F.regexp_replace(F.lower(F.trim(raw)), SOURCE_PREFIX, "")
     name = F.regexp_replace(F.when(low.rlike("^[a-z]+://"), F.regexp_extract(low, "^[a-z]+://([^/]+)", 1)).otherwise(low), r"^www\.", "")
-    bare = F.regexp_replace(F.regexp_replace(name, r"\.(com|ai|io|co|net|org|jobs)\b", " "), "[^a-z0-9]+", " ")
-    flat = F.regexp_replace(F.regexp_replace(bare, r"\b(ai|inc|llc|jobs|labs|the|app)\b", " "), " ", "")
+    bare = F.regexp_replace(F.regexp_replace(name, SITE_ENDS, " "), "[^a-z0-9]+", " ")
+    flat = F.regexp_replace(F.regexp_replace(bare, SITE_WORDS, " "), " ", "")
     found = F.when(low.isNull() | (low == ""), None)
     for s in (*aggregators, *SYSTEMS):
         found = found.when(flat.contains(s.replace("-", "")), s)
@@ -156,23 +177,18 @@ def in_active_feed(status: Column, source: Column, demo: Column, aggregators: Se
 
 def review_reason(demo: Column, closed: Column, approved: Column, reason: Column, verified_at: Column, now: Column, url: Column, evidence: Column, available: Column | None = None) -> Column:
     """The first reason why a posting needs review."""
-    r = F.coalesce(reason, F.lit(""))
-    mismatch = r.rlike("(?i)doesn.t match|mismatch")
-    return (
-        F.when(demo | r.rlike("(?i)fixture|mock test"), "DEMO_OR_FIXTURE")
-        .when(closed | r.rlike("(?i)closed|no longer open|404"), "POSTING_CLOSED")
-        .when(~(F.lit(True) if available is None else available), "MISSING_EVIDENCE")
-        .when(~approved, "EMPLOYER_NOT_APPROVED")
-        .when(r.rlike("(?i)location") & mismatch, "LOCATION_MISMATCH")
-        .when(r.rlike("(?i)company") & mismatch, "COMPANY_MISMATCH")
-        .when(r.rlike("(?i)job id|requisition") & r.rlike("(?i)mismatch"), "JOB_ID_MISMATCH")
-        .when(r.rlike("(?i)network|timed out|could not reach|fetch"), "NETWORK_FAILURE")
-        .when(r.rlike("(?i)parse|malformed|invalid html"), "PARSING_FAILURE")
-        .when(verified_at < now - F.expr("interval 24 hours"), "STALE_VERIFICATION")
-        .when(url.isNull() | r.rlike("(?i)could not independently locate|not found"), "OFFICIAL_JOB_NOT_FOUND")
-        .when(evidence.isNull(), "MISSING_EVIDENCE")
-        .otherwise("ATS_TENANT_NOT_PROVEN")
-    )
+    said = {name: F.coalesce(reason, F.lit("")).rlike(f"(?i){pattern}") for name, pattern in REASON_WORDS.items()}
+    none = F.lit(False)
+    facts = {
+        "DEMO_OR_FIXTURE": demo, "POSTING_CLOSED": closed, "UNAVAILABLE": ~(F.lit(True) if available is None else available), "EMPLOYER_NOT_APPROVED": ~approved,
+        "STALE_VERIFICATION": verified_at < now - F.expr("interval 24 hours"), "OFFICIAL_JOB_NOT_FOUND": url.isNull(), "MISSING_EVIDENCE": evidence.isNull(),
+    }
+    found = None
+    for name in REASON_ORDER:
+        holds = facts.get(name, none) | said.get(name, none)
+        result = "MISSING_EVIDENCE" if name == "UNAVAILABLE" else name
+        found = F.when(holds, result) if found is None else found.when(holds, result)
+    return found.otherwise("ATS_TENANT_NOT_PROVEN")
 
 
 def over_fetched(rows: DataFrame, order: Sequence[Column], keep: Column, limit: int, times: int = 3) -> DataFrame:

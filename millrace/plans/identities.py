@@ -24,13 +24,20 @@ def url_canonical(t: Tables) -> DataFrame:
 
 
 @query("multi_col_antijoin", f"""
-WITH p AS (SELECT page_id, {_CANON.format(u='url')} AS k FROM pages)
-SELECT page_id FROM p WHERE k NOT IN (SELECT k FROM p WHERE page_id % 3 = 0 AND k IS NOT NULL) OR k IS NULL
+WITH p AS (SELECT page_id, url AS u, {_CANON.format(u='url')} AS k FROM pages),
+n AS (SELECT CASE WHEN page_id % 3 = 0 THEN u END AS a, CASE WHEN page_id % 5 = 0 THEN u || '#x' END AS b, CASE WHEN page_id % 7 = 0 THEN replace(u, 'https://', 'http://www.') END AS c FROM p),
+e AS (SELECT a AS u FROM n UNION ALL SELECT b FROM n UNION ALL SELECT c FROM n), f AS (SELECT {_CANON.format(u='u')} AS k FROM e WHERE u IS NOT NULL)
+SELECT page_id FROM p WHERE k IS NULL OR k NOT IN (SELECT k FROM f WHERE k IS NOT NULL)
 """)
 def multi_col_antijoin(t: Tables) -> DataFrame:
-    known = t.pages.where("page_id % 3 = 0").select(F.col("url").alias("apply_url"), F.concat("url", F.lit("?utm_source=x")).alias("listing_url"), F.lit(None).cast("string").alias("source_url"))
+    """Pages whose URL no page is known by in any of three columns, each with other pages and another spelling."""
+    i = F.col("page_id")
+    known = t.pages.select(
+        F.when(i % 3 == 0, F.col("url")).alias("apply_url"), F.when(i % 5 == 0, F.concat("url", F.lit("#x"))).alias("listing_url"),
+        F.when(i % 7 == 0, F.replace("url", F.lit("https://"), F.lit("http://www."))).alias("source_url"),
+    )
     rows = t.pages.select("page_id", keys.canonical_url(F.col("url")).alias("k"))
-    return identity.without_known_urls(rows, F.col("k"), known.select("apply_url", "source_url"), ["apply_url", "source_url"], keys.canonical_url).select("page_id")
+    return identity.without_known_urls(rows, F.col("k"), known, ["apply_url", "listing_url", "source_url"], keys.canonical_url).select("page_id")
 
 
 @query("tiered_identity", """

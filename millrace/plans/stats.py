@@ -192,6 +192,13 @@ def work_generation(t: Tables) -> DataFrame:
     return summaries.missing_work(t.nation.select("n_nationkey"), t.part.select("p_partkey"), done, ["n_nationkey", "p_partkey"])
 
 
-@query("collated_top", "SELECT c_name FROM customer ORDER BY c_name, c_custkey LIMIT 30")
+@query("collated_top", """
+WITH v AS (SELECT c_custkey, lower(c_mktsegment) AS base, c_custkey % 4 AS k FROM customer)
+SELECT c_custkey, CASE k WHEN 0 THEN base || 'e' WHEN 1 THEN upper(base[1]) || base[2:] || 'e' WHEN 2 THEN upper(base) || 'E' ELSE base || 'é' END AS name FROM v
+ORDER BY base, k = 3, CASE WHEN k < 3 THEN k ELSE 0 END, c_custkey LIMIT 500
+""")
 def collated_top(t: Tables) -> DataFrame:
-    return t.customer.orderBy(F.collate("c_name", "UNICODE"), "c_custkey").limit(30).select("c_name")
+    """The first 500 names by Unicode collation: letters before accents before case."""
+    base, k = F.lower("c_mktsegment"), F.col("c_custkey") % 4
+    name = F.when(k == 0, F.concat(base, F.lit("e"))).when(k == 1, F.concat(F.initcap(base), F.lit("e"))).when(k == 2, F.concat(F.upper(base), F.lit("E"))).otherwise(F.concat(base, F.lit("é")))
+    return t.customer.select("c_custkey", name.alias("name")).orderBy(F.collate("name", "UNICODE"), "c_custkey").limit(500)
