@@ -42,7 +42,7 @@ def is_remote(location: Column) -> Column:
 def parsed_location(location: Column) -> tuple[Column, Column]:
     """City and the last part of a location, which may be a state's name or end with its letters; both lower case or null."""
     cleaned = F.trim(F.regexp_replace(location, r"(?i),?\s*(united states|usa|u\.s\.a\.|us)\.?$", ""))
-    parts = F.filter(F.transform(F.split(cleaned, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(cleaned, ","), lambda p: F.trim(p)), lambda p: p != "")
     last = F.element_at(parts, F.when(F.size(parts) > 0, -1))
     city = F.regexp_replace(F.trim(F.lower(parts[0])), r"\s+", " ")
     return F.when(F.size(parts) > 0, city), F.lower(last)
