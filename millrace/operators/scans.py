@@ -108,3 +108,19 @@ def count_state(*_) -> tuple[int]:
 
 def add_states(x: tuple, y: tuple) -> tuple:
     return tuple(a + b for a, b in zip(x, y))
+
+
+def until_enough(rows: DataFrame, order: list[Column | str], counts: Column, most: int, cut: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The rows that a scan in ``order`` takes that passes over some and stops at the ``most``-th that counts.
+
+    The second table is one row: considered (all rows), taken (rows that count, ``most``
+    at the highest) and passed (rows that don't, up to the stop).  A null condition
+    doesn't count.  Running counts are prefix sums over ranges, so no task sees all rows;
+    ``order`` should be total.
+    """
+    flag, all_ = _spare("counts_", rows.columns), _spare("all_", rows.columns)
+    marked = rows.withColumns({flag: F.coalesce(counts, F.lit(False)).cast("int"), all_: F.lit(0)})
+    scanned = ordered_scan(marked, all_, order, [flag], "scan_count long", lambda n: (n,), add_states, [*rows.columns, all_, flag], cut)
+    taken = scanned.where((F.col(flag) == 1) & (F.col("scan_count") <= most)).select(*rows.columns)
+    passed = (F.col(flag) == 0) & (F.col("scan_count") < most)
+    return taken, scanned.agg(F.count("*").alias("considered"), F.count_if((F.col(flag) == 1) & (F.col("scan_count") <= most)).alias("taken"), F.count_if(passed).alias("passed"))
