@@ -13,7 +13,7 @@ _LOCATIONS = [
 #: What they mean: latitude, longitude and precision, worked out by hand.
 _MEANT = [
     (40.7357, -74.1724, "city"), (40.7357, -74.1724, "city"), (40.7178, -74.0431, "city"), (40.6782, -73.9442, "city"), (31.9686, -99.9018, "state"), (30.2672, -97.7431, "city"), (None, None, "remote"), (None, None, "none"),
-    (42.3601, -71.0589, "city"), (27.6648, -81.5158, "state"), (42.9, -75.5, "state"), (37.3382, -121.8863, "city"), (None, None, "none"), (None, None, "none"), (None, None, "none"), (41.034, -73.7629, "city"), (None, None, "none"),
+    (42.3601, -71.0589, "city"), (27.6648, -81.5158, "state"), (42.9, -75.5, "state"), (37.3382, -121.8863, "city"), (None, None, "none"), (None, None, "none"), (40.2171, -74.7429, "city"), (41.034, -73.7629, "city"), (None, None, "none"),
     (36.7783, -119.4179, "state"), (39.9526, -75.1652, "city"), (None, None, "none"),
 ]
 _SQL_VALUES = ", ".join(
