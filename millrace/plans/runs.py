@@ -43,8 +43,8 @@ def replaced_rows(t: Tables) -> DataFrame:
     table = OwnedTable(t.spark, shared_folder(t.spark, "owned"), "c_custkey long, c_nationkey long, state string, c_acctbal double", "c_nationkey")
     rows = t.customer.select(F.col("c_custkey").cast("long").alias("c_custkey"), F.col("c_nationkey").cast("long").alias("c_nationkey"), F.lit("old").alias("state"), F.col("c_acctbal").cast("double").alias("c_acctbal"))
     table.replace(rows)
-    gone = rows.where("c_nationkey % 3 = 2").select("c_nationkey").distinct()
-    table.replace(rows.where("c_nationkey % 3 = 1 AND c_custkey % 2 = 0").withColumn("state", F.lit("new")), gone)
+    named = rows.where("c_nationkey % 3 <> 0").select("c_nationkey").distinct()
+    table.replace(rows.where("c_nationkey % 3 = 1 AND c_custkey % 2 = 0").withColumn("state", F.lit("new")), named)
     ids = t.customer.where("c_custkey % 7 = 0").select(F.col("c_custkey").cast("long").alias("c_custkey"))
     table.update(ids, ["c_custkey"], {"c_acctbal": F.lit(0.0)}, F.expr("state = 'new' AND c_acctbal > 0"))
     return table.read()
