@@ -93,7 +93,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     scratch, passing = Scratch(spark, "decontamination"), Scratch(spark, "decontamination-passing")
     numbered, row = numbered_rows(docs, scratch)
-    index = passing.table(positional_index.build_index(numbered, F.col(row)), "segments")
+    index = positional_index.written_index(numbered, passing, "segments", F.col(row))
     hits = positional_index.phrase_matches(index, read(spark, sf_dir, "benchmark")).select("row_no").distinct()
     gone = scratch.table(hits.select(F.col("row_no").alias(row)), "gone")
     passing.drop()

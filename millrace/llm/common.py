@@ -50,13 +50,13 @@ def shared_root(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write(df: DataFrame, path: str, codec: str = "zstd") -> None:
+def write(df: DataFrame, path: str, codec: str = "zstd", options: dict[str, str] | None = None) -> None:
     """Write a Parquet table; the shuffles behind it are not kept, as readers start from the files."""
     conf = df.sparkSession.conf
     before = conf.get(CLEANUP, None)
     conf.set(CLEANUP, "true")
     try:
-        df.write.mode("overwrite").option("compression", codec).parquet(path)
+        df.write.mode("overwrite").options(**(options or {})).option("compression", codec).parquet(path)
     finally:
         conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
 
@@ -72,10 +72,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def table(self, df: DataFrame, name: str, codec: str = "zstd", options: dict[str, str] | None = None) -> DataFrame:
         """Write ``df`` and return it as read back, so later work starts from files."""
         schema = df.schema
-        write(df, self.path(name), codec)
+        write(df, self.path(name), codec, options)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:

@@ -44,6 +44,9 @@ SEGMENT_WORDS, SEGMENT_DOCUMENTS = 400_000, 100_000
 GAP = 1_000
 BLOCK_WINDOWS = 200_000
 MAX_ITEM_WORDS = 1 << 30
+#: A segment is a row of megabytes.  Parquet looks at sizes only every hundred rows by itself, and a reader takes
+#: thousands of rows of a row group at once; with small row groups a task holds a few segments, however many it has.
+ROW_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
 #: Bytes other than those of words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` become spaces, A-Z become a-z.
 WORD_BYTES = bytes(
     b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
@@ -63,7 +66,7 @@ class _Numbers(dict):
 
 
 def build_index(docs: DataFrame, row: Column | None = None) -> DataFrame:
-    """The segments of ``docs`` (doc_id, text); write them before use.
+    """The segments of ``docs`` (doc_id, text); ``written_index`` writes them before use.
 
     Rows are numbered by ``row``.  Without it they get numbers that hold only
     within the written index, as another scan of ``docs`` may number them otherwise.
@@ -112,6 +115,11 @@ def build_index(docs: DataFrame, row: Column | None = None) -> DataFrame:
     return docs.select((F.monotonically_increasing_id() if row is None else row).alias("row_no"), "doc_id", "text").mapInArrow(run, schema)
 
 
+def written_index(docs: DataFrame, scratch: Scratch, name: str, row: Column | None = None) -> DataFrame:
+    """The index of ``docs`` as a table of few segments a row group."""
+    return scratch.table(build_index(docs, row), name, options=ROW_GROUPS)
+
+
 def directory(index: DataFrame) -> DataFrame:
     """row_no, doc_id, n_words of every indexed document."""
     return index.select(F.explode(F.arrays_zip("row_nos", "doc_ids", "sizes")).alias("d")).select(
@@ -309,7 +317,7 @@ def contamination(index: DataFrame, items: DataFrame, scratch: Scratch, size: in
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "positional-index")
-    index = scratch.table(build_index(read(spark, sf_dir, "documents")), "segments")
+    index = written_index(read(spark, sf_dir, "documents"), scratch, "segments")
     found = contamination(index, read(spark, sf_dir, "benchmark"), scratch)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),

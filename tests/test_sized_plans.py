@@ -1,10 +1,13 @@
 """Plans that must hold on tables larger than the fixtures, and rows that tell two rules apart."""
 
 import duckdb
+import pyarrow.parquet as pq
 from conftest import bag
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from millrace.llm import positional_index
+from millrace.llm.common import Scratch
 
 
 def agree_on(spark, folder, name):
@@ -23,3 +26,13 @@ def test_half_prices_and_repeated_names_of_firms(spark, tmp_path):
     orders.write.parquet(str(tmp_path / "orders.parquet"))
     spark.range(0, 20).selectExpr("id AS c_custkey", "format_string('Customer#%09d', id % 8) AS c_name").write.parquet(str(tmp_path / "customer.parquet"))
     agree_on(spark, tmp_path, "local_firms")
+
+
+def test_a_row_group_holds_few_segments(spark):
+    words = F.transform(F.sequence(F.lit(0), F.lit(250_000)), lambda i: F.hex(F.xxhash64("doc_id", i)))
+    docs = spark.range(8).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text")).coalesce(1)
+    scratch = Scratch(spark, "segments-test")
+    assert positional_index.written_index(docs, scratch, "index").count() == 8
+    for path in scratch.spark.read.parquet(scratch.path("index")).inputFiles():
+        file = pq.ParquetFile(path.removeprefix("file://"))
+        assert max(file.metadata.row_group(i).num_rows for i in range(file.num_row_groups)) <= 4
