@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Cut = Callable[[DataFrame], DataFrame]
-# Stems by which words of one meaning are known.
+# The beginnings by which words of one meaning are known.
 STEMS = (
-    ("^(acquir|acquisition)", "acquisition"), ("^diagnos", "diagnose"), ("^measur", "measure"), ("^reliab", "reliability"),
-    ("^sampl", "sample"), ("^stabil", "stability"), ("^test", "test"),
+    ("acquir", "acquisition"), ("acquisition", "acquisition"), ("diagnos", "diagnose"), ("measur", "measure"), ("reliab", "reliability"),
+    ("sampl", "sample"), ("stabil", "stability"), ("test", "test"),
 )
 
 
@@ -19,10 +19,10 @@ def concepts(text: Column) -> Column:
     """The distinct concepts of a text: words of two signs or more, without a plural's end, by their stem."""
 
     def concept(word: Column) -> Column:
-        one = F.regexp_replace(word, "s$", "")
+        one = F.when(F.endswith(word, F.lit("s")), F.left(word, F.length(word) - 1)).otherwise(word)
         known = F.lit(None).cast("string")
-        for pattern, name in reversed(STEMS):
-            known = F.when(one.rlike(pattern), name).otherwise(known)
+        for start, name in reversed(STEMS):
+            known = F.when(F.startswith(word, F.lit(start)), name).otherwise(known)
         return F.coalesce(known, one)
 
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9+#]+"), lambda w: F.length(w) > 1)
@@ -43,18 +43,18 @@ def covering(texts: DataFrame, text_id: list[str], words: str, phrases: DataFram
     """text_id, phrase: pairs where the text's array ``words`` has all of the phrase's ``parts`` (relational division).
 
     A phrase is filed under the part that the fewest texts have, so it meets only
-    those texts, and is compared with their arrays.  A phrase without parts, or with one
-    that no text has, covers nothing.  ``text_id`` must be unique.
+    those texts, and is compared with their arrays, which come along: texts should be
+    short.  A phrase without parts, or with one that no text has, covers nothing.
+    ``text_id`` must be unique.
     """
     needed = cut(phrases.select(F.col(phrase).alias("phrase"), F.col(parts).alias("parts")).where("size(parts) > 0").dropDuplicates(["phrase"]))
     each = needed.select("phrase", F.explode("parts").alias("w"), F.size("parts").alias("k"))
-    held = texts.select(*text_id, F.explode(F.array_distinct(words)).alias("w")).join(each.select("w").distinct(), "w", "left_semi")
-    held = cut(held)
+    held = texts.select(F.explode_outer(F.array_distinct(words)).alias("w")).join(each.select("w").distinct(), "w", "left_semi")
     often = held.groupBy("w").agg(F.count("*").alias("n"))
     rarest = each.join(often, "w").groupBy("phrase", "k").agg(F.count("*").alias("found"), F.min(F.struct("n", "w")).alias("best")).where("found = k")
-    met = held.join(rarest.select("phrase", F.col("best.w").alias("w")), "w").join(needed, "phrase")
-    own = texts.select(*text_id, F.col(words).alias("words"))
-    return met.join(own, text_id).where(F.size(F.array_except("parts", "words")) == 0).select(*text_id, F.col("phrase").alias(phrase))
+    filed = cut(rarest.select("phrase", F.col("best.w").alias("w")).join(needed, "phrase"))
+    own = texts.select(*text_id, F.col(words).alias("words"), F.explode_outer(F.array_distinct(words)).alias("w"))
+    return own.join(filed, "w").where(F.size(F.array_except("parts", "words")) == 0).select(*text_id, F.col("phrase").alias(phrase))
 
 
 def unsupported_claims(sources: DataFrame, phrases: DataFrame, facts: DataFrame, cut: Cut) -> DataFrame:
@@ -67,10 +67,9 @@ def unsupported_claims(sources: DataFrame, phrases: DataFrame, facts: DataFrame,
     known = cut(facts.select("fact_id", concepts(F.col("text")).alias("words")))
     supported = covering(known, ["fact_id"], "words", wanted, "phrase", "parts", cut).select("phrase").distinct()
     lacking = wanted.join(supported, "phrase", "left_anti")
-    said = sources.where("context = 'candidate'").select("section", F.explode(sentences(F.col("text"))).alias("sentence"))
-    said = said.select("section", F.trim("sentence").alias("sentence")).distinct().withColumn("n", F.monotonically_increasing_id()).withColumn("words", concepts(F.col("sentence")))
-    said = cut(said)
-    return covering(said, ["n"], "words", lacking, "phrase", "parts", cut).join(said.select("n", "section", "sentence"), "n").select("section", "sentence", "phrase")
+    said = sources.where("context = 'candidate'").select("section", F.explode_outer(F.array_distinct(F.transform(sentences(F.col("text")), lambda s: F.trim(s)))).alias("sentence"))
+    said = cut(said.where("sentence IS NOT NULL").withColumn("words", concepts(F.col("sentence"))))
+    return covering(said, ["section", "sentence"], "words", lacking, "phrase", "parts", cut).distinct()  # rows of one section may share sentences
 
 
 def facts_without(facts: DataFrame, phrases: DataFrame, cut: Cut) -> DataFrame:
@@ -82,12 +81,23 @@ def facts_without(facts: DataFrame, phrases: DataFrame, cut: Cut) -> DataFrame:
 
 
 def named_phrases(texts: DataFrame, phrases: DataFrame, cut: Cut) -> DataFrame:
-    """text_id, phrase: texts (text_id, text) that have the phrase's words in a row; phrases of one sign are none."""
+    """text_id, phrase: texts (text_id, text) that have the phrase's words in a row; phrases of one sign are none.
+
+    Phrases are filed under their first two words (or their only one), and meet the
+    texts' neighbouring words, without the texts; only phrases of more words are then
+    compared with the texts that have their beginning.  ``text_id`` must be unique.
+    """
+    wanted = phrases.select("phrase").distinct().withColumn("plain", plain(F.col("phrase"))).where("length(plain) >= 2")
+    wanted = cut(wanted.withColumns({"head": F.substring_index("plain", " ", 2), "k": F.size(F.split("plain", " "))}))
     own = cut(texts.select("text_id", plain(F.col("text")).alias("text")))
-    wanted = phrases.select("phrase").distinct().withColumn("plain", plain(F.col("phrase"))).where("length(plain) >= 2").withColumn("parts", F.array_distinct(F.split("plain", " ")))
-    met = covering(own.withColumn("words", F.split("text", " ")), ["text_id"], "words", wanted, "phrase", "parts", cut)
+    words = F.split("text", " ")
+    heads = F.zip_with(words, F.slice(words, 2, F.length("text") + 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    if not wanted.where("k = 1").isEmpty():
+        heads = F.concat(heads, words)
+    met = cut(own.select("text_id", F.explode_outer(F.array_distinct(heads)).alias("head")).join(wanted, "head").select("text_id", "phrase", "plain", "k"))
     pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    return met.join(wanted.select("phrase", "plain"), "phrase").join(own, "text_id").where(F.contains(pad("text"), pad("plain"))).select("text_id", "phrase")
+    longer = met.where("k > 2").join(own, "text_id").where(F.contains(pad("text"), pad("plain")))
+    return met.where("k <= 2").select("text_id", "phrase").unionByName(longer.select("text_id", "phrase"))
 
 
 def _token(word: Column) -> Column:

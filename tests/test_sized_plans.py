@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from millrace.llm import positional_index
 from millrace.llm.common import Scratch
+from millrace.operators import claims
+from millrace.operators.tables import Passing
 
 
 def agree_on(spark, folder, name):
@@ -36,3 +38,35 @@ def test_a_row_group_holds_few_segments(spark):
     for path in scratch.spark.read.parquet(scratch.path("index")).inputFiles():
         file = pq.ParquetFile(path.removeprefix("file://"))
         assert max(file.metadata.row_group(i).num_rows for i in range(file.num_row_groups)) <= 4
+
+
+def counted_tables(spark, label):
+    """A cut, and the rows of the tables that it wrote."""
+    passing, rows = Passing(spark, label), []
+
+    def cut(df):
+        out = passing(df)
+        rows.append(out.count())
+        return out
+
+    return cut, rows
+
+
+def test_phrases_of_frequent_words_meet_no_text(spark):
+    """All texts have all words, but none of 900 phrases in a row, but for one of three words and one of one."""
+    line = " ".join([*(f"a{i}" for i in range(30)), *(f"b{i}" for i in range(30))])
+    texts = spark.range(200).select(F.col("id").alias("text_id"), F.lit(line).alias("text"))
+    said = [f"a{i} b{j}" for i in range(29) for j in range(30)] + ["a29-b0 b1", "a29 b0 b2", "b7"]
+    cut, rows = counted_tables(spark, "phrases")
+    got = claims.named_phrases(texts, spark.createDataFrame([(x,) for x in said], "phrase string"), cut)
+    assert {r.phrase: r["count"] for r in got.groupBy("phrase").count().collect()} == {"a29-b0 b1": 200, "b7": 200}
+    assert max(rows) <= 900
+
+
+def test_covering_writes_no_row_for_each_word_of_a_text(spark):
+    words = [f"w{i}" for i in range(50)]
+    texts = spark.range(300).select("id", F.array(*map(F.lit, words)).alias("words"))
+    cut, rows = counted_tables(spark, "covering")
+    phrases = spark.createDataFrame([(f"w{i} x", [f"w{i}", "x"]) for i in range(50)] + [("w1 w2", ["w1", "w2"])], "phrase string, parts array<string>")
+    assert claims.covering(texts, ["id"], "words", phrases, "phrase", "parts", cut).count() == 300
+    assert max(rows) <= 51
