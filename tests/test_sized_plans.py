@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from millrace.llm import positional_index
 from millrace.llm.common import Scratch
-from millrace.operators import claims
+from millrace.operators import claims, rounds
 from millrace.operators.tables import Passing
 
 
@@ -70,3 +70,16 @@ def test_covering_writes_no_row_for_each_word_of_a_text(spark):
     phrases = spark.createDataFrame([(f"w{i} x", [f"w{i}", "x"]) for i in range(50)] + [("w1 w2", ["w1", "w2"])], "phrase string, parts array<string>")
     assert claims.covering(texts, ["id"], "words", phrases, "phrase", "parts", cut).count() == 300
     assert max(rows) <= 51
+
+
+def test_repeated_pairs_of_keys_reach_no_scan(spark):
+    """20,000 rows of 600 pairs of keys, all of them linked."""
+    rows = [(i, (i * 7919 + i // 600) % 20, i * 104729 % 30 if i % 50 else None) for i in range(20_000)]
+    seen, want = (set(), set()), []
+    for i, a, b in rows:
+        if a not in seen[0] and b not in seen[1]:
+            seen[0].add(a), seen[1].update({b} - {None}), want.append(i)
+    cut, written = counted_tables(spark, "two-keys")
+    got = rounds.first_by_two_keys(spark.createDataFrame(rows, "id long, a long, b long"), "id", "a", "b", cut)
+    assert sorted(r.id for r in got.collect()) == want
+    assert max(written) <= 620
