@@ -10,9 +10,12 @@ and of those jobs the first:
 4. company, source, title key, location key and requisition (none equals none).
 
 It updates that job or makes a new one, which later sightings of the same batch may
-find.  Rows that can ever meet share a key of some tier (a URL under any company, as a job
-may get it from a sighting of another), so groups of rows linked by keys are independent; within a group the rows are folded in order.  Spark finds the
-groups, deals them out and sorts them; a task holds the jobs' keys of one group.
+find.  Rows that can ever meet share a key of some tier, so groups of rows linked by keys
+are independent; within a group the rows are folded in order.  A URL links rows of one
+company.  Only by tier 1 can a job get a URL from a sighting of another company (or of
+none), so the URLs of rows whose source and id several companies have link any rows.
+Spark finds the groups, deals them out and sorts them; a task holds the jobs' keys of one
+group.
 
 What an update keeps: a posting date goes only to a surer one; a missing URL, an empty
 description or a missing classification never replaces a value.  Outcomes are ``new``,
@@ -27,7 +30,7 @@ are ignored.
 
 from __future__ import annotations
 
-from bisect import insort
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -93,8 +96,18 @@ def _fold() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
                 key = (job["company"], key) if job["company"] is not None and key is not None else None
             if key is not None:
                 found = self.by_key.setdefault(key, [])
-                if number not in found:
-                    insort(found, number)
+                i = bisect_left(found, number)
+                if i == len(found) or found[i] != number:
+                    found.insert(i, number)
+
+        def leave(self, keys: list[str | None], number: int) -> None:
+            """Forgets a job under the URLs that it no longer has, so that a search ends at its first entry."""
+            job = self.jobs[number]
+            for key in set(keys).difference(job["urls"].values()) if job["company"] is not None else ():
+                found = self.by_key.get((job["company"], key), [])
+                i = bisect_left(found, number)
+                if i < len(found) and found[i] == number:
+                    del found[i]
 
         def add(self, row: tuple, known: bool) -> int:
             number = len(self.jobs)
@@ -134,6 +147,7 @@ def _fold() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
                 job["posted_at"], job["rank"] = row[at["posted_at"]], row[at["rank"]]
             if row[at["classification"]] is not None:
                 job["classification"] = row[at["classification"]]
+            had = list(job["urls"].values())
             job["official_url"], job["urls"]["official"] = official, official_key
             self.file(official_key, number)
             if changed and row[at["has_text"]] and row[at["text"]] != job["text"]:
@@ -141,6 +155,7 @@ def _fold() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
             if changed and row[at["source_url"]] is not None:
                 job["source_url"], job["urls"]["source"] = row[at["source_url"]], row[at["source_key"]]
                 self.file(row[at["source_key"]], number)
+            self.leave(had, number)
             return "updated" if changed else "unchanged"
 
         def ended(self) -> Iterator[tuple]:
@@ -182,6 +197,19 @@ def _fold() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     return run
 
 
+def _link_keys(both: DataFrame) -> DataFrame:
+    """node, key: hashes of what ties rows that can meet; a clash of hashes only makes a group larger."""
+    hashed = lambda *c: F.when(F.greatest(*(F.col(x).isNull().cast("int") for x in c), F.lit(0)) == 0, F.xxhash64(*c))
+    own = both.select("node", F.explode(F.array(*map(hashed, ("id_key", "requisition_key", "title_key")))).alias("key"))
+    url = F.explode(F.array_distinct(F.array("official_key", "source_key", "other_key", "direct_key"))).alias("url")
+    urls = both.select("node", "company", "id_key", url).where("url IS NOT NULL")
+    ids = both.where("id_key IS NOT NULL").groupBy("id_key").agg(F.min("company").alias("low"), F.max("company").alias("high"), F.count_if(F.col("company").isNull()).alias("none"))
+    mixed = ids.where("low < high OR (none > 0 AND low IS NOT NULL)").select("id_key")
+    loose = urls.join(mixed, "id_key", "left_semi").select("url").distinct()
+    within = urls.where("company IS NOT NULL").select("node", hashed("company", "url").alias("key"))
+    return own.where("key IS NOT NULL").unionByName(within).unionByName(urls.join(loose, "url", "left_semi").select("node", hashed("url").alias("key")))
+
+
 def ingest(jobs: DataFrame, sightings: DataFrame, seq: str, cut: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """The sightings' outcomes and the jobs after the batch.
 
@@ -193,8 +221,7 @@ def ingest(jobs: DataFrame, sightings: DataFrame, seq: str, cut: Callable[[DataF
     """
     both = cut(_prepared(jobs, True, "job_id").unionByName(_prepared(sightings, False, seq)))
     node = (F.col("seq") * 2 + F.when(F.col("known"), 0).otherwise(1)).alias("node")
-    held = F.array("id_key", "requisition_key", "title_key", "official_key", "source_key", "other_key", "direct_key")
-    groups = linked_groups(both.select(node, F.explode(F.array_distinct(held)).alias("key")), cut)
+    groups = linked_groups(_link_keys(both.withColumn("node", node)), cut)
     sent = both.withColumn("node", node).join(groups, "node", "left").withColumn("fold_group", F.coalesce("root", "node")).select(_SENT)
     ordered = sent.repartition("fold_group").sortWithinPartitions("fold_group", F.desc("known"), "seq")
     done = cut(ordered.mapInArrow(_fold(), _OUT))

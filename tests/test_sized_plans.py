@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from millrace.llm import positional_index
 from millrace.llm.common import Scratch
-from millrace.operators import claims, rounds
+from millrace.operators import claims, ingest, rounds
+from millrace.operators.graph import linked_groups
 from millrace.operators.tables import Passing
 
 
@@ -83,3 +84,11 @@ def test_repeated_pairs_of_keys_reach_no_scan(spark):
     got = rounds.first_by_two_keys(spark.createDataFrame(rows, "id long, a long, b long"), "id", "a", "b", cut)
     assert sorted(r.id for r in got.collect()) == want
     assert max(written) <= 620
+
+
+def test_a_url_links_rows_of_one_company_unless_an_id_is_shared(spark):
+    ddl = "node long, company string, id_key string, requisition_key string, title_key string, official_key string, source_key string, other_key string, direct_key string"
+    row = lambda node, company, id_key, url: (node, company, id_key, None, None, url, None, None, None)
+    rows = [row(1, "A", "a", "u"), row(2, "A", None, "u"), row(3, "B", "b", "u"), row(4, "A", "x", "v"), row(5, "B", "x", "w"), row(6, "A", None, "w"), row(7, "C", "c", "z"), row(8, None, "c", "y"), row(9, "C", None, "y"), row(10, None, "n", "u")]
+    groups = linked_groups(ingest._link_keys(spark.createDataFrame(rows, ddl)), Passing(spark, "links"))
+    assert {r.node: r.root for r in groups.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 4, 7: 7, 8: 7, 9: 7, 10: 10}
