@@ -25,8 +25,8 @@ STATES = [
     ("wa", "washington", 47.7511, -120.7401), ("tx", "texas", 31.9686, -99.9018), ("ma", "massachusetts", 42.4072, -71.3824), ("fl", "florida", 27.6648, -81.5158),
 ]
 RADIUS = 50.0
-#: Miles of a degree along a meridian.
-DEGREE = math.pi * geo.EARTH_MILES / 180
+#: Cells of a band at least, rows of a cell at most, and what is added to an angle for rounding (radians).
+AROUND, CELL_ROWS, SLACK = 64, 4096, 1e-6
 
 
 def gazetteer(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -122,40 +122,57 @@ def firm_counts(firms: DataFrame) -> DataFrame:
     )
 
 
-def _cells(radius: float) -> tuple[int, list[int]]:
-    """Bands of latitude no lower than the radius, and for each how many cells it has, none narrower than the radius.
-
-    A band's cells are measured where it and its neighbours are farthest from the equator.
-    """
-    bands = max(1, int(180 / max(radius / DEGREE * (1 + 1e-9), 180 / 20_000)))
-    counts = []
-    for b in range(bands):
-        poleward = max(abs(180 * (b - 1) / bands - 90), abs(180 * (b + 2) / bands - 90))
-        around = 360 * DEGREE * math.cos(math.radians(min(poleward, 90)))
-        counts.append(max(1, int(around / (radius * 1.01 + 1e-9))))
-    return bands, counts
+def _on_globe(rows: DataFrame, key: str, suffix: str) -> DataFrame:
+    """The placed rows: key, lat, lng, the latitude's cosine, and the point on a globe of radius 1 (x, y, z)."""
+    lat, lng = F.radians("lat"), F.radians("lng")
+    cos = F.cos(lat)
+    columns = {"lat": F.col("lat"), "lng": F.col("lng"), "cos": cos, "x": cos * F.cos(lng), "y": cos * F.sin(lng), "z": F.sin(lat)}
+    # NaN sorts after all numbers, so such a place would pass for near
+    return rows.where("lat IS NOT NULL AND lng IS NOT NULL").where(~F.isnan(cos * F.cos(lng))).select(key, *(c.alias(name + suffix) for name, c in columns.items()))
 
 
 def within(rows: DataFrame, key: str, centres: DataFrame, centre_key: str, radius: float) -> DataFrame:
     """key, centre_key, miles: all pairs at most ``radius`` miles apart; both sides have lat and lng.
 
-    Places fall into a grid of cells at least as wide as the radius, so a centre meets
-    its own and the neighbouring cells only; bands near the poles have fewer cells, and
-    cells go round the globe.  Rows without coordinates are near nothing.
+    The globe is cut into bands of latitude of a quarter of the radius, and those into
+    cells about as wide, ``AROUND`` of them at least, so that the places near a pole are
+    many cells too.  A centre meets the cells that its circle touches; a cell of more than
+    ``CELL_ROWS`` rows is dealt out in blocks, which all its centres meet.  Pairs are told
+    apart by the product of their points, and only those near the edge of the circle by
+    their distance.  Rows without coordinates are near nothing.
     """
-    bands, counts = _cells(radius)
-    n = F.array(*map(F.lit, counts)) if bands <= 64 else None
-    if n is None:  # many bands: the same count by formula, as a column
-        edge = lambda b: F.greatest(F.abs(F.lit(180.0) * (b - 1) / bands - 90), F.abs(F.lit(180.0) * (b + 2) / bands - 90))
-        count = lambda b: F.greatest(F.lit(1), F.floor(360 * DEGREE * F.cos(F.radians(F.least(edge(b), F.lit(90.0)))) / (radius * 1.01 + 1e-9))).cast("int")
-    else:
-        count = lambda b: n[b]
-    band = F.least(F.lit(bands - 1), F.floor((F.col("lat") + 90) * bands / 180)).cast("int")
-    cell = lambda b: F.least(count(b) - 1, F.floor(F.pmod(F.col("lng") + 180, F.lit(360.0)) * count(b) / 360).cast("int"))
-    placed = rows.where("lat IS NOT NULL AND lng IS NOT NULL").select(key, "lat", "lng", band.alias("band")).withColumn("cell", cell(F.col("band")))
-    around = centres.where("lat IS NOT NULL AND lng IS NOT NULL").select(centre_key, "lat", "lng", F.explode(F.filter(F.array(band - 1, band, band + 1), lambda b: (b >= 0) & (b < bands))).alias("band"))
-    own = around.withColumns({"c": cell(F.col("band")), "n": count(F.col("band"))})
-    sides = F.array_distinct(F.array(*(F.pmod(F.col("c") + d, F.col("n")) for d in (-1, 0, 1))))
-    spread = own.select(centre_key, F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), "band", F.explode(sides).alias("cell"))
-    far = geo.miles(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2"))
-    return placed.join(spread, ["band", "cell"]).withColumn("miles", far).where(F.col("miles") <= radius).select(key, centre_key, "miles")
+    angle = radius / geo.EARTH_MILES
+    reach = min(angle * (1 + SLACK) + SLACK, math.pi)
+    bands = max(1, int(math.pi / max(reach / 4, math.pi / 20_000)))
+    height, half = math.pi / bands, math.pi / 2
+    count = lambda b: F.greatest(F.lit(AROUND), F.ceil(2 * bands * F.cos((b + 0.5) * height - half)).cast("int"))
+    band = lambda at: F.least(F.lit(bands - 1), F.greatest(F.lit(0), F.floor((at + half) / height).cast("int")))
+    cell = lambda at, n: F.floor((at + math.pi) / (2 * math.pi) * n).cast("int")
+    placed = _on_globe(rows, key, "").withColumn("band", band(F.asin("z"))).withColumn("n", count(F.col("band")))
+    placed = placed.withColumn("cell", F.pmod(cell(F.atan2("y", "x"), F.col("n")), F.col("n"))).drop("n")
+
+    own = _on_globe(centres, centre_key, "2").withColumns({"north": F.asin("z2"), "east": F.atan2("y2", "x2")})
+    own = own.withColumn("band", F.explode(F.sequence(band(F.col("north") - reach), band(F.col("north") + reach))))
+    # the widest part of a circle within a band is at an edge, or where the circle is widest at all
+    edges = [F.greatest(F.lit(-half), F.least(F.lit(half), (F.col("band") + i) * height - half)) for i in (0, 1)]
+    widest = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sin("north") / max(math.cos(reach), 1e-9))))
+    ratio = lambda at: (math.cos(reach) - F.sin("north") * F.sin(at)) / F.greatest(F.cos("north") * F.cos(at), F.lit(1e-15))
+    least = F.least(*map(ratio, (*edges, F.greatest(edges[0], F.least(edges[1], widest)))))
+    wide = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), least))) if reach < half else F.lit(math.pi)
+    spans = own.withColumns({"n": count(F.col("band")), "wide": wide + SLACK})
+    spans = spans.withColumns({"first": cell(F.col("east") - F.col("wide"), F.col("n")), "last": cell(F.col("east") + F.col("wide"), F.col("n"))})
+    spread = spans.withColumn("at", F.explode(F.sequence("first", F.least("last", F.col("first") + F.col("n") - 1))))
+    spread = spread.select(centre_key, "lat2", "lng2", "cos2", "x2", "y2", "z2", "band", F.pmod("at", "n").alias("cell"))
+
+    large = placed.groupBy("band", "cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = placed.join(large, ["band", "cell"], "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"), F.lit(0))).drop("blocks")
+    blocks = F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)
+    copies = spread.join(large, ["band", "cell"], "left").withColumn("block", F.explode(blocks)).drop("blocks")
+
+    product = F.col("x") * F.col("x2") + F.col("y") * F.col("y2") + F.col("z") * F.col("z2")
+    far = geo.miles(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2"), F.col("cos"), F.col("cos2"))
+    inner = max(angle * (1 - SLACK) - SLACK, 0.0)
+    surely = product >= (math.cos(inner) if inner < math.pi else -2.0)
+    near = (product >= math.cos(reach) - 1e-15) & ((surely & (F.lit(inner) > 0)) | (far <= radius))
+    # a merge join: the centres' cells are many more than their rows, which a size estimate doesn't see
+    return dealt.join(copies.hint("merge"), ["band", "cell", "block"]).where(near).select(key, centre_key, far.alias("miles"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from millrace.llm import positional_index
 from millrace.llm.common import Scratch
-from millrace.operators import claims, ingest, rounds
+from millrace.operators import claims, ingest, places, rounds
 from millrace.operators.graph import linked_groups
 from millrace.operators.tables import Passing
 
@@ -92,3 +92,18 @@ def test_a_url_links_rows_of_one_company_unless_an_id_is_shared(spark):
     rows = [row(1, "A", "a", "u"), row(2, "A", None, "u"), row(3, "B", "b", "u"), row(4, "A", "x", "v"), row(5, "B", "x", "w"), row(6, "A", None, "w"), row(7, "C", "c", "z"), row(8, None, "c", "y"), row(9, "C", None, "y"), row(10, None, "n", "u")]
     groups = linked_groups(ingest._link_keys(spark.createDataFrame(rows, ddl)), Passing(spark, "links"))
     assert {r.node: r.root for r in groups.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 4, 7: 7, 8: 7, 9: 7, 10: 10}
+
+
+def test_places_near_a_pole_and_in_one_spot_reach_most_tasks(spark):
+    """Both were one key of the radius join, so one task of four had all their pairs."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        polar = spark.range(500).selectExpr("id", "85 + id % 50 / 10.0D AS lat", "CAST(id * 37 % 360 - 180 AS DOUBLE) AS lng")
+        hot = spark.range(20_000).selectExpr("id", "40.7D AS lat", "-74.0D AS lng")
+        for rows, lat, n in ((polar, 90.0, 500), (hot, 40.8, 20_000)):
+            rows = rows.unionByName(spark.range(2).selectExpr("-1 AS id", "IF(id = 0, double('nan'), 40.7D) AS lat", "IF(id = 1, double('nan'), 1.0D) AS lng"))
+            got = places.within(rows, "id", spark.createDataFrame([(1, lat, -74.0), (2, float("nan"), 1.0)], "b long, lat double, lng double"), "b", 400.0)
+            assert got.select("id").distinct().count() == got.count() == n
+            assert got.select(F.spark_partition_id().alias("p")).distinct().count() >= 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
