@@ -1,11 +1,11 @@
-"""Engineering disciplines and target roles (Column expressions)."""
+"""Engineering disciplines and target roles."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import STUDENT_ROLE, tags
+from .text import STUDENT_ROLE, with_tags
 
 # The disciplines in their order, and the words by which a posting is known to be of one.
 DISCIPLINES = {
@@ -43,11 +43,9 @@ DISCIPLINES = {
 }
 
 
-def disciplines(title: Column, description: Column) -> Column:
-    """The disciplines, in their order, of which title or description has a word; an empty list for none."""
-    return tags(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))), DISCIPLINES)
-
-
-def target_role(title: Column, description: Column) -> Column:
-    """Whether the title names a student's role and title or description a discipline."""
-    return F.coalesce(title.rlike(STUDENT_ROLE), F.lit(False)) & (F.size(disciplines(title, description)) > 0)
+def with_roles(rows: DataFrame, title: Column, description: Column, disciplines: str, target: str) -> DataFrame:
+    """``rows`` with two columns: the disciplines, in their order, of which title or description has a word (an empty list for
+    none), and whether the title names a student's role and there is a discipline."""
+    said = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit("")))
+    found = with_tags(rows, said, DISCIPLINES, disciplines)
+    return found.withColumn(target, F.coalesce(title.rlike(STUDENT_ROLE), F.lit(False)) & (F.size(disciplines) > 0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The vocabularies of the classifiers.
@@ -91,16 +91,30 @@ def classify_internship(title: Column, description: Column, kind: Column, closed
     )
 
 
-def any_keyword(text: Column, words: tuple[str, ...] | list[str]) -> Column:
-    low, found = F.lower(text), F.lit(False)
+def any_word(low: Column, words: tuple[str, ...] | list[str]) -> Column:
+    """Whether a text has one of the words; those that have another one inside say nothing more."""
+    found = F.lit(False)
     for w in words:
-        found = found | low.contains(w)
+        if not any(v != w and v in w for v in words):
+            found = found | low.contains(w)
     return found
 
 
-def tags(text: Column, vocabulary: dict[str, list[str]]) -> Column:
-    """The vocabulary's tags, in its order, of which the text has a keyword."""
-    return F.array_compact(F.array(*[F.when(any_keyword(text, words), tag) for tag, words in vocabulary.items()]))
+def any_keyword(text: Column, words: tuple[str, ...] | list[str]) -> Column:
+    return any_word(F.lower(text), words)
+
+
+def with_tags(rows: DataFrame, text: Column, vocabulary: dict[str, list[str]], name: str) -> DataFrame:
+    """``rows`` with the vocabulary's tags, in its order, of which the text has a keyword.
+
+    The text is made and lowered in a projection of its own, once a row: within one
+    expression it would be again for every keyword.
+    """
+    low = "_low"
+    while low in rows.columns:
+        low += "_"
+    found = F.array_compact(F.array(*[F.when(any_word(F.col(low), words), tag) for tag, words in vocabulary.items()]))
+    return rows.withColumn(low, F.lower(text)).withColumn(name, found).drop(low)
 
 
 def season(term: Column) -> Column:

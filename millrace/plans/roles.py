@@ -29,5 +29,5 @@ def target_roles(t: Tables) -> DataFrame:
     form = F.array(*map(F.lit, _TITLES))[(F.col("doc_id") % len(_TITLES)).cast("int")]
     title = F.replace(form, F.lit("{}"), F.when(F.col("doc_id") % 3 == 0, F.upper(word)).otherwise(word))
     rows = t.documents.select("doc_id", title.alias("title"), "text")
-    found = disciplines.disciplines(F.col("title"), F.col("text"))
-    return rows.select("doc_id", F.array_join(found, ",").alias("tags"), disciplines.target_role(F.col("title"), F.col("text")).alias("target"))
+    found = disciplines.with_roles(rows, F.col("title"), F.col("text"), "found", "target")
+    return found.select("doc_id", F.array_join("found", ",").alias("tags"), "target")

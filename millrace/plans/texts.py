@@ -33,7 +33,7 @@ SELECT p_partkey, array_to_string(list_filter([CASE WHEN regexp_matches(lower(p_
   CASE WHEN regexp_matches(lower(p_type), 'polished|burnished') THEN 'polished' END], lambda x: x IS NOT NULL), ',') AS tags FROM part
 """)
 def classify_arrays(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.array_join(text.tags(F.col("p_type"), _VOCABULARY), ",").alias("tags"))
+    return text.with_tags(t.part, F.col("p_type"), _VOCABULARY, "found").select("p_partkey", F.array_join("found", ",").alias("tags"))
 
 
 @query("season_and_sponsorship", """

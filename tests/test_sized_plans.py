@@ -6,6 +6,7 @@ from conftest import bag
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from millrace.functions import disciplines
 from millrace.llm import positional_index
 from millrace.llm.common import Scratch
 from millrace.operators import claims, ingest, places, rounds
@@ -107,3 +108,12 @@ def test_places_near_a_pole_and_in_one_spot_reach_most_tasks(spark):
             assert got.select(F.spark_partition_id().alias("p")).distinct().count() >= 3
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_text_is_lowered_once_for_all_words(spark):
+    rows = spark.createDataFrame([("VLSI Intern", None), (None, "Rtos and scada"), ("Intern", "x"), (None, None)], "title string, text string")
+    got = disciplines.with_roles(rows, F.col("title"), F.col("text"), "found", "target")
+    assert [(r.found, r.target) for r in got.collect()] == [(["computerEngineering"], True), (["embedded", "controls"], False), ([], False), ([], False)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+    assert plan.count("Contains(") <= sum(map(len, disciplines.DISCIPLINES.values()))
