@@ -11,7 +11,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 SECOND, MINUTE, DAY = 1_000_000, 60_000_000, 86_400_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PROVIDER, _IDLE = "spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 class Item(NamedTuple):
@@ -131,32 +131,38 @@ def taken(rules: Rules, item: Item | None, event: str, at: int) -> Item:
 class Queue(StatefulProcessor):
     """One item a key under ``rules``.
 
-    Rows come out for every event (cause ``event``) and for every timer: ``due`` when a
-    next attempt's time has come, ``lapsed`` when a lease is over, ``expired`` when a
-    finished item leaves the store.  Timers fire with the watermark; an event that comes
-    first sees the same item, as clocks are settled before it is taken.
+    Rows come out for every event (cause ``event``), or for the last one of a key and
+    batch if not ``every``, and for every timer: ``due`` when a next attempt's time has
+    come, ``lapsed`` when a lease is over, ``expired`` when a finished item leaves the
+    store.  Timers fire with the watermark; an event that comes first sees the same item,
+    as clocks are settled before it is taken.  The state has the time of the item's timer,
+    so that no timer is looked for.
     """
 
-    def __init__(self, rules: Rules):
-        self.rules = rules
+    def __init__(self, rules: Rules, every: bool = True):
+        self.rules, self.every = rules, every
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.item = handle.getValueState("item", "state string, attempts long, next_at long, since long, first_at long, steps long")
+        self.item = handle.getValueState("item", "state string, attempts long, next_at long, since long, first_at long, steps long, timer long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        item = Item(*self.item.get()) if self.item.exists() else None
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        for r in sorted(rows, key=lambda r: (r.at, r.seq)):
-            item = taken(self.rules, item, r.event, r.at)
-            yield self._row(key, item, r.at, "event")
-        self._keep(item)
+        kept = self.item.get()
+        item, timer = (None, None) if kept is None else (Item(*kept[:-1]), kept[-1])
+        at = 0
+        for at, _, event in sorted((r["at"], r["seq"], r["event"]) for r in rows):
+            item = taken(self.rules, item, event, at)
+            if self.every:
+                yield self._row(key, item, at, "event")
+        if not self.every:
+            yield self._row(key, item, at, "event")
+        self._keep(item, timer)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.item.exists():
+        kept = self.item.get()
+        if kept is None:
             return
-        item, now = Item(*self.item.get()), expiredTimerInfo.getExpiryTimeInMs() * 1000
+        item, now = Item(*kept[:-1]), expiredTimerInfo.getExpiryTimeInMs() * 1000
         while (what := self.rules.deadline(item)) is not None and what[1] <= now:
             cause, at = what
             if cause == "lapsed":
@@ -166,44 +172,54 @@ class Queue(StatefulProcessor):
                 self.item.clear()
                 return
             if cause == "due":  # nothing more happens to it before its next event
-                self.item.update(tuple(item))
+                self.item.update((*item, None))
                 return
-        self._keep(item)
+        self._keep(item, None)
 
     def close(self) -> None:
         pass
 
-    def _keep(self, item: Item) -> None:
-        self.item.update(tuple(item))
+    def _keep(self, item: Item, timer: int | None) -> None:
         what = self.rules.deadline(item)
-        if what is not None:
-            self.handle.registerTimer(-(-what[1] // 1000))
+        wanted = None if what is None else -(-what[1] // 1000)
+        if wanted != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        self.item.update((*item, wanted))
 
     @staticmethod
     def _row(key: tuple, item: Item, at: int, cause: str) -> Row:
         return Row(key=key[0], state=item.state, attempts=item.attempts, next_at=item.next_at, at=at, cause=cause, steps=item.steps)
 
 
-def queue_states(events: DataFrame, rules: Rules, late: str = "10 minutes") -> DataFrame:
+def queue_states(events: DataFrame, rules: Rules, late: str = "10 minutes", every: bool = True) -> DataFrame:
     """The updates of every key's item over a stream of events.
 
     ``events``: key, event, at (microseconds), ts (the same as a timestamp) and seq, which
     decides between events of one time.  Events that come later than ``late`` behind the
     newest one are dropped by the watermark.  A key holds one small item; nothing of it
-    stays once it has expired.
+    stays once it has expired.  Without ``every`` a key's events of a batch give one row.
     """
     kind = events.schema["key"].dataType.simpleString()
     out = f"key {kind}, state string, attempts long, next_at long, at long, cause string, steps long"
-    return events.withWatermark("ts", late).groupBy("key").transformWithState(statefulProcessor=Queue(rules), outputStructType=out, outputMode="Update", timeMode="EventTime")
+    return events.withWatermark("ts", late).groupBy("key").transformWithState(statefulProcessor=Queue(rules, every), outputStructType=out, outputMode="Update", timeMode="EventTime")
 
 
-def run_queue(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Runs a queue over what is there now, one table of updates a batch, with its state in RocksDB."""
+def run_queue(stream: DataFrame, path: str, checkpoint: str, idle: bool = True) -> None:
+    """Runs a queue over what is there now, one table of updates a batch, with its state in RocksDB.
+
+    Without ``idle`` no batch of timers follows the last rows; they fire in the next run.
+    """
     conf = stream.sparkSession.conf
-    before = conf.get(_PROVIDER, None)
-    conf.set(_PROVIDER, ROCKSDB)
+    wanted = {_PROVIDER: ROCKSDB, _IDLE: str(idle).lower()}
+    before = {name: conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        conf.set(name, value)
     try:
         writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).outputMode("update")
         writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")).start().awaitTermination()
     finally:
-        conf.unset(_PROVIDER) if before is None else conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)

@@ -12,6 +12,7 @@ from millrace.llm.common import Scratch
 from millrace.operators import claims, ingest, places, rounds
 from millrace.operators.graph import linked_groups
 from millrace.operators.tables import Passing
+from millrace.plans import streams
 
 
 def agree_on(spark, folder, name):
@@ -117,3 +118,17 @@ def test_a_text_is_lowered_once_for_all_words(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 1
     assert plan.count("Contains(") <= sum(map(len, disciplines.DISCIPLINES.values()))
+
+
+def test_a_slice_of_several_files_is_one_batch(spark, tmp_path, monkeypatch):
+    """Files of one slice went to two batches, so a key could meet its later event first."""
+    events = spark.range(600).selectExpr(
+        "id AS event_id", "id * 7919 % 6 AS user_id", "elt(1 + id * 31 % 7 % 4, 'purchase', 'view', 'error', 'click') AS event_type",
+        "CAST(timestamp_micros(1704067200000000 + id * 4000000000) AS TIMESTAMP_NTZ) AS ts",
+    )
+    events.repartition(8, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(streams, "_folder", lambda t: str(tmp_path / "stream"))
+    agree_on(spark, tmp_path, "queue_scores")
+    taken = spark.read.parquet(str(tmp_path / "stream" / "out")).where("cause = 'event'").groupBy("batch").agg(F.min("at"), F.max("at")).orderBy("batch").collect()
+    assert len(taken) == streams.SLICES
+    assert all(a[2] < b[1] for a, b in zip(taken, taken[1:]))
