@@ -115,22 +115,32 @@ def document_signatures(docs: DataFrame, n: int) -> DataFrame:
 
 
 def tree_rows(classes: DataFrame) -> DataFrame:
-    """tree, upper, lower (a tree's eight values as two numbers, in order), cid, size, planes: a row for each class and tree."""
+    """tree, upper, lower (a tree's eight values as two numbers, in order), cid: a row for each class and tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                found = np.frombuffer(b"".join(part.column(2).to_pylist()), ">u2").reshape(-1, HASHES)
+                found = np.frombuffer(b"".join(part.column(1).to_pylist()), ">u2").reshape(-1, HASHES)
                 halves = np.ascontiguousarray(found).view(">i8").astype(np.int64).reshape(-1, TREES, 2)
-                again = lambda c: pa.array(np.repeat(c.to_numpy(), TREES))
                 trees = pa.array(np.tile(np.arange(TREES, dtype=np.int32), part.num_rows))
-                bits = planes(found.astype(np.uint16))
-                columns = [trees, pa.array(halves[:, :, 0].ravel()), pa.array(halves[:, :, 1].ravel()), again(part.column(0)), again(part.column(1))]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.repeat(b, TREES)) for b in bits.T)], ["tree", "upper", "lower", "cid", "size", *PLANES])
+                cids = pa.array(np.repeat(part.column(0).to_numpy(), TREES))
+                yield pa.RecordBatch.from_arrays([trees, pa.array(halves[:, :, 0].ravel()), pa.array(halves[:, :, 1].ravel()), cids], ["tree", "upper", "lower", "cid"])
 
-    bits = ", ".join(f"{p} long" for p in PLANES)
-    return classes.select("cid", "size", "signature").mapInArrow(run, f"tree int, upper long, lower long, cid long, size long, {bits}")
+    return classes.select("cid", "signature").mapInArrow(run, "tree int, upper long, lower long, cid long")
+
+
+def class_planes(classes: DataFrame) -> DataFrame:
+    """cid, size, planes: a row for each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                bits = planes(np.frombuffer(b"".join(part.column(2).to_pylist()), ">u2").reshape(-1, HASHES).astype(np.uint16))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(np.ascontiguousarray(b)) for b in bits.T)], ["cid", "size", *PLANES])
+
+    return classes.select("cid", "size", "signature").mapInArrow(run, f"cid long, size long, {', '.join(f'{p} long' for p in PLANES)}")
 
 
 def prefix_hash(depth: int) -> Column:
@@ -139,15 +149,18 @@ def prefix_hash(depth: int) -> Column:
     return F.xxhash64("tree", F.lit(depth), upper, F.shiftrightunsigned("lower", 16 * (8 - depth)) if depth > 4 else F.lit(0))
 
 
-def regions(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """region, n (its classes), cid, size, planes: the rows with neighbours, at the depth of their region."""
+def regions(rows: DataFrame, bits: DataFrame, scratch: Scratch) -> DataFrame:
+    """region, n (its classes), cid, size, planes: the rows with neighbours, at the depth of their region.
+
+    Regions are met by their numbers alone; sizes and planes join the rows that stay.
+    """
     pieces = []
     left = rows
     for depth in DEPTHS:
         keyed = left.withColumn("region", prefix_hash(depth))
         sizes = scratch.table(keyed.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), f"sizes-{depth}")
         fits = F.lit(True) if depth == DEPTHS[-1] else F.col("n") <= REGION
-        pieces.append(scratch.table(keyed.join(sizes.where(fits), "region").select("region", "n", "cid", "size", *PLANES), f"regions-{depth}"))
+        pieces.append(scratch.table(keyed.join(sizes.where(fits), "region").select("region", "n", "cid"), f"regions-{depth}"))
         large = sizes.where(~fits)
         if large.isEmpty():
             break
@@ -155,7 +168,7 @@ def regions(rows: DataFrame, scratch: Scratch) -> DataFrame:
     out = pieces[0]
     for p in pieces[1:]:
         out = out.unionByName(p)
-    return out
+    return scratch.table(out.join(bits, "cid").select("region", "n", "cid", "size", *PLANES), "regions")
 
 
 def _stepped(rows: DataFrame, key: list[str], extra: list[str], num: int, den: int, schema: str, made, bounded: bool = False) -> DataFrame:
@@ -345,7 +358,8 @@ def near_duplicates(docs: DataFrame, n: int, num: int, den: int, scratch: Scratc
     sets = scratch.table(document_signatures(docs, n), "sets")
     grouped = sets.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("size", "signature", "parity", "parts")))
     classes = scratch.table(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    near = regions(scratch.table(tree_rows(classes), "trees"), scratch)
+    near = regions(scratch.table(tree_rows(classes), "trees"), class_planes(classes), scratch)
+    scratch.drop("trees")
     met = scratch.table(first_round(near, num, den), "met")
     # only classes with a near one in some cell are ever confirmed; their texts are gathered once
     active = met.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(near.where(f"n > {REGION}").select("cid")).distinct()

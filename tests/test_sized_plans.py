@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from millrace.functions import disciplines
-from millrace.llm import positional_index
+from millrace.llm import minhash_forest, positional_index
 from millrace.llm.common import Scratch
 from millrace.operators import claims, ingest, places, rounds
 from millrace.operators.graph import linked_groups
@@ -132,3 +132,11 @@ def test_a_slice_of_several_files_is_one_batch(spark, tmp_path, monkeypatch):
     taken = spark.read.parquet(str(tmp_path / "stream" / "out")).where("cause = 'event'").groupBy("batch").agg(F.min("at"), F.max("at")).orderBy("batch").collect()
     assert len(taken) == streams.SLICES
     assert all(a[2] < b[1] for a, b in zip(taken, taken[1:]))
+
+
+def test_a_forest_repeats_no_signature_by_tree(spark):
+    classes = spark.createDataFrame([(7, 3, bytes(range(256))), (8, 4, bytes(256))], "cid long, size long, signature binary")
+    rows = minhash_forest.tree_rows(classes)
+    assert rows.columns == ["tree", "upper", "lower", "cid"]
+    assert rows.count() == 2 * minhash_forest.TREES
+    assert [(r.cid, r.size, r.low0) for r in minhash_forest.class_planes(classes).where("cid = 8").collect()] == [(8, 4, 0)]
