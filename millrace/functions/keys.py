@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,16 +37,17 @@ def canonical_url(url: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Lower-case host without ``www.``; null if there is none."""
-    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, URL, 2)), r"^www\.|:\d+$", ""), F.lit(""))
+    return F.nullif(_host(url), F.lit(""))
+
+
+def _host(url: Column) -> Column:
+    return F.regexp_replace(F.lower(F.regexp_extract(url, URL, 2)), r"^www\.|:\d+$", "")
 
 
 def host_in(url: Column, hosts: list[str]) -> Column:
     """Whether the host is one of ``hosts`` or below one."""
-    name = host(url)
-    found = F.lit(False)
-    for h in hosts:
-        found = found | (name == h) | name.endswith(f".{h}")
-    return F.coalesce(found, F.lit(False))
+    below = "|".join(map(re.escape, hosts)) or "(?!)"
+    return F.coalesce(F.regexp_like(_host(url), F.lit(rf"(?:^|\.)(?:{below})\z")), F.lit(False))
 
 
 def secure_url(url: Column) -> Column:

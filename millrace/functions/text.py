@@ -69,7 +69,7 @@ def _text(c: Column) -> Column:
 
 def experience_years(text: Column) -> Column:
     """The first number of years of experience that a text asks for."""
-    return F.regexp_extract(text, EXPERIENCE, 1).try_cast("int")
+    return F.nullif(F.regexp_extract(text, EXPERIENCE, 1), F.lit("")).cast("int")
 
 
 def classify_internship(title: Column, description: Column, kind: Column, closed: Column) -> Column:

@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 
 def linked_groups(keys: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """node, root: each node with the least node that it is linked to through shared keys.
+    """node, root: each node with the least node that it is linked to through shared keys."""
+    nodes = keys.select("node").distinct()
+    return nodes.join(linked_roots(keys, cut), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def linked_roots(keys: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, root: the nodes that are linked to a lesser one, with the least of these; all others are their own roots.
 
     ``keys`` has columns node (long) and key; null keys link nothing.  A key ties its
     nodes to its least one, so a key with any share of the rows gives one link a row.
@@ -23,8 +29,7 @@ def linked_groups(keys: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> Dat
     links = cut(held.join(least, "key").where("node > low").select(F.col("node").alias("up"), F.col("low").alias("down")).distinct())
     while not _settled(links):
         links = cut(_tied(_tied(links, greater=True), greater=False))
-    nodes = keys.select("node").distinct()
-    return nodes.join(links, F.col("node") == F.col("up"), "left").select("node", F.coalesce("down", "node").alias("root"))
+    return links.select(F.col("up").alias("node"), F.col("down").alias("root"))
 
 
 def _settled(links: DataFrame) -> bool:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, keys
-from .graph import linked_groups
+from .graph import linked_roots
 from .identity import first_with_any_url
 
 # Hosts that list other employers' postings.
@@ -56,21 +56,43 @@ def _blank(c: str | Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
-def _prepared(rows: DataFrame, known: bool, seq: str) -> DataFrame:
-    """Keys and digests of jobs or sightings."""
-    official, source = _blank("official_url"), _blank("source_url")
-    direct = F.when(~keys.host_in(source, AGGREGATORS), source)
-    requisition = _blank("requisition_id")
-    hashed = lambda *c: F.when(F.greatest(*(x.isNull().cast("int") for x in (*c, F.lit(1)))) == 0, F.sha2(F.to_json(F.array(*c)), 256))
-    place = lambda url: hashed(F.lit("3"), keys.canonical_url(url))
-    title = hashed(F.lit("4"), F.col("company"), F.col("source"), keys.title_key(F.coalesce("title", F.lit(""))), keys.location_key(F.col("location")), F.coalesce(F.concat(F.lit("="), requisition), F.lit("")))
+def dealt_out(rows: DataFrame, key: str) -> DataFrame:
+    """The rows over as many tasks as a shuffle has, for work by the row on a table that may be of one row group.
+
+    The number is given, as adaptive execution would join small parts whose work is long.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def _told(rows: DataFrame, known: bool, seq: str) -> DataFrame:
+    """What jobs or sightings say, with texts as digests."""
     return rows.select(
-        F.lit(known).alias("known"), F.col(seq).cast("long").alias("seq"),
-        hashed(F.lit("1"), F.col("source"), F.col("source_job_id")).alias("id_key"), hashed(F.lit("2"), F.col("company"), requisition).alias("requisition_key"), title.alias("title_key"),
-        place(official).alias("official_key"), place(source).alias("source_key"), place(_blank("other_url")).alias("other_key"), place(direct).alias("direct_key"),
-        "company", official.alias("official_url"), source.alias("source_url"), direct.alias("direct_url"),
+        F.lit(known).alias("known"), F.col(seq).cast("long").alias("seq"), *(F.col(c).cast("string").alias(c) for c in ("company", "source", "source_job_id", "location", "classification")),
+        _blank("requisition_id").alias("requisition"), F.coalesce("title", F.lit("")).alias("title"), *(_blank(c).alias(c) for c in ("official_url", "source_url", "other_url")),
         F.md5(F.coalesce("description", F.lit(""))).alias("text"), (F.coalesce("description", F.lit("")) != "").alias("has_text"),
-        F.col("posted_at").cast("timestamp").alias("posted_at"), dates.confidence_rank(F.col("confidence")).cast("int").alias("rank"), "classification",
+        F.col("posted_at").cast("timestamp").alias("posted_at"), dates.confidence_rank(F.col("confidence")).cast("int").alias("rank"),
+    )
+
+
+def _keyed(told: DataFrame) -> DataFrame:
+    """The rows' keys.
+
+    What several expressions use is a column of its own before them; within one
+    expression each use would work it out again.
+    """
+    named = dealt_out(told, "seq").withColumns({
+        "title": keys.title_key(F.col("title")), "location": keys.location_key(F.col("location")), "from_aggregator": keys.host_in(F.col("source_url"), AGGREGATORS),
+        "official_at": keys.canonical_url(F.col("official_url")), "other_at": keys.canonical_url(F.col("other_url")),
+    })
+    source_at = F.when(F.col("source_url") == F.col("official_url"), F.col("official_at")).otherwise(keys.canonical_url(F.col("source_url")))
+    hashed = lambda *c: F.when(F.greatest(*(x.isNull().cast("int") for x in (*c, F.lit(1)))) == 0, F.unhex(F.sha2(F.to_json(F.array(*c)), 256)))
+    place = lambda at: hashed(F.lit("3"), F.col(at))
+    direct = lambda c: F.when(~F.col("from_aggregator"), c)
+    return named.withColumn("source_at", source_at).select(
+        "known", "seq", hashed(F.lit("1"), F.col("source"), F.col("source_job_id")).alias("id_key"), hashed(F.lit("2"), F.col("company"), F.col("requisition")).alias("requisition_key"),
+        hashed(F.lit("4"), F.col("company"), F.col("source"), F.col("title"), F.col("location"), F.coalesce(F.concat(F.lit("="), "requisition"), F.lit(""))).alias("title_key"),
+        place("official_at").alias("official_key"), place("source_at").alias("source_key"), place("other_at").alias("other_key"), direct(place("source_at")).alias("direct_key"),
+        "company", "official_url", "source_url", direct(F.col("source_url")).alias("direct_url"), "text", "has_text", "posted_at", "rank", "classification",
     )
 
 
@@ -87,9 +109,9 @@ def _fold() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
 
         def __init__(self) -> None:
             self.jobs: list[dict] = []
-            self.by_key: dict[str | tuple, list[int]] = {}
+            self.by_key: dict[bytes | tuple, list[int]] = {}
 
-        def file(self, key: str | None, number: int) -> None:
+        def file(self, key: bytes | None, number: int) -> None:
             """Makes a job known by a key, or by one of its URLs within its company."""
             job = self.jobs[number]
             if key in job["urls"].values():
@@ -100,7 +122,7 @@ def _fold() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
                 if i == len(found) or found[i] != number:
                     found.insert(i, number)
 
-        def leave(self, keys: list[str | None], number: int) -> None:
+        def leave(self, keys: list[bytes | None], number: int) -> None:
             """Forgets a job under the URLs that it no longer has, so that a search ends at its first entry."""
             job = self.jobs[number]
             for key in set(keys).difference(job["urls"].values()) if job["company"] is not None else ():
@@ -164,9 +186,15 @@ def _fold() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, state = None, Group()
+        waiting: list[tuple] = []  # the group's known jobs before its first sighting
         out: list[tuple] = []
         nothing = (None,) * 8
 
+        def ended() -> Iterator[tuple]:
+            yield from state.ended()
+            for row in waiting:
+                yield ("job", None, None, None, row[at["seq"]], None, None, 0, None, row[at["source_url"]], row[at["official_url"]], row[at["posted_at"]], row[at["rank"]], row[at["classification"]])
+
         def flush() -> pa.RecordBatch:
             done = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
             out.clear()
@@ -175,11 +203,14 @@ def _fold() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[0] != group:
-                    out.extend(state.ended())
-                    group, state = row[0], Group()
+                    out.extend(ended())
+                    group, state, waiting = row[0], Group(), []
                 if row[at["known"]]:
-                    state.add(row, True)
+                    waiting.append(row)
                     continue
+                for job in waiting:
+                    state.add(job, True)
+                waiting = []
                 met = state.find(row)
                 if met is None:
                     number, outcome, tier = state.add(row, False), "new", None
@@ -190,7 +221,7 @@ def _fold() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
                 out.append(("row", row[at["seq"]], outcome, tier, job["job_id"], job["made_by"], *nothing))
                 if len(out) >= 10_000:
                     yield flush()
-        out.extend(state.ended())
+        out.extend(ended())
         if out:
             yield flush()
 
@@ -219,9 +250,9 @@ def ingest(jobs: DataFrame, sightings: DataFrame, seq: str, cut: Callable[[DataF
     (the sighting that made it).  Jobs: job_id, made_by, the columns of ``JOB``,
     last_seq (the last sighting) and sightings (how many).
     """
-    both = cut(_prepared(jobs, True, "job_id").unionByName(_prepared(sightings, False, seq)))
+    both = cut(_keyed(_told(jobs, True, "job_id").unionByName(_told(sightings, False, seq))))
     node = (F.col("seq") * 2 + F.when(F.col("known"), 0).otherwise(1)).alias("node")
-    groups = linked_groups(_link_keys(both.withColumn("node", node)), cut)
+    groups = linked_roots(_link_keys(both.withColumn("node", node)), cut)
     sent = both.withColumn("node", node).join(groups, "node", "left").withColumn("fold_group", F.coalesce("root", "node")).select(_SENT)
     ordered = sent.repartition("fold_group").sortWithinPartitions("fold_group", F.desc("known"), "seq")
     done = cut(ordered.mapInArrow(_fold(), _OUT))

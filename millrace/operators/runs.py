@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import keys, text
-from .ingest import ingest
+from .ingest import dealt_out, ingest
 
 #: Why a posting isn't ingested, by its classification.
 EXCLUDED = {
@@ -39,13 +39,12 @@ def ledger(employers: DataFrame, postings: DataFrame, jobs: DataFrame, cut: Call
     URL), else the classification.  A dry run ingests nothing.
     """
     read = postings.join(employers.where("error IS NULL").select("employer", "source", "tenant"), "employer")
-    secure = keys.secure_url(F.trim("apply_url"))
-    rows = read.withColumn("official_url", secure).withColumn("canonical", keys.canonical_url(F.col("official_url")))
+    spread = dealt_out(read, "seq")
+    rows = spread.withColumn("official_url", keys.secure_url(F.trim("apply_url"))).withColumn("canonical", keys.canonical_url(F.col("official_url")))
     rows = cut(rows.withColumn("classified", text.classify_internship(F.col("title"), F.col("description"), F.col("employment_type"), F.lit(False))))
-    first = rows.where("canonical IS NOT NULL").groupBy("canonical").agg(F.min("seq").alias("first_seq"))
-    placed = rows.join(first, "canonical", "left")
-    bucket = F.when(F.col("canonical").isNull(), "missing_url").when(F.col("seq") > F.col("first_seq"), "duplicate").otherwise(F.col("classified"))
-    placed = cut(placed.select("seq", "source", "tenant", bucket.alias("bucket")))
+    first = rows.where("canonical IS NOT NULL").groupBy("canonical").agg(F.min("seq").alias("seq")).select("seq", F.lit(True).alias("is_first"))
+    bucket = F.when(F.col("canonical").isNull(), "missing_url").when(F.col("is_first").isNull(), "duplicate").otherwise(F.col("classified"))
+    placed = cut(rows.join(first, "seq", "left").select("seq", "source", "tenant", bucket.alias("bucket")))
     reason = F.when(F.col("bucket") == "missing_url", "MISSING_OFFICIAL_URL")
     for classification, why in EXCLUDED.items():
         reason = reason.when(F.col("bucket") == classification, why)
