@@ -117,7 +117,7 @@ def build_index(docs: DataFrame, row: Column | None = None) -> DataFrame:
 
 def written_index(docs: DataFrame, scratch: Scratch, name: str, row: Column | None = None) -> DataFrame:
     """The index of ``docs`` as a table of few segments a row group."""
-    return scratch.table(build_index(docs, row), name, options=ROW_GROUPS)
+    return scratch.table(build_index(docs, row), name, "zstd", ROW_GROUPS)
 
 
 def directory(index: DataFrame) -> DataFrame:
