@@ -88,10 +88,10 @@ def _keyed(told: DataFrame) -> DataFrame:
     hashed = lambda *c: F.when(F.greatest(*(x.isNull().cast("int") for x in (*c, F.lit(1)))) == 0, F.unhex(F.sha2(F.to_json(F.array(*c)), 256)))
     place = lambda at: hashed(F.lit("3"), F.col(at))
     direct = lambda c: F.when(~F.col("from_aggregator"), c)
-    return named.withColumn("source_at", source_at).select(
+    return named.withColumn("source_at", source_at).withColumn("source_key", place("source_at")).select(
         "known", "seq", hashed(F.lit("1"), F.col("source"), F.col("source_job_id")).alias("id_key"), hashed(F.lit("2"), F.col("company"), F.col("requisition")).alias("requisition_key"),
         hashed(F.lit("4"), F.col("company"), F.col("source"), F.col("title"), F.col("location"), F.coalesce(F.concat(F.lit("="), "requisition"), F.lit(""))).alias("title_key"),
-        place("official_at").alias("official_key"), place("source_at").alias("source_key"), place("other_at").alias("other_key"), direct(place("source_at")).alias("direct_key"),
+        place("official_at").alias("official_key"), "source_key", place("other_at").alias("other_key"), direct(F.col("source_key")).alias("direct_key"),
         "company", "official_url", "source_url", direct(F.col("source_url")).alias("direct_url"), "text", "has_text", "posted_at", "rank", "classification",
     )
 
@@ -195,13 +195,19 @@ def _fold() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
             for row in waiting:
                 yield ("job", None, None, None, row[at["seq"]], None, None, 0, None, row[at["source_url"]], row[at["official_url"]], row[at["posted_at"]], row[at["rank"]], row[at["classification"]])
 
+        def listed(column: pa.Array) -> list:
+            """The column's values; numpy makes texts and keys much faster than ``to_pylist``."""
+            if pa.types.is_temporal(column.type) or (column.null_count and pa.types.is_primitive(column.type)):
+                return column.to_pylist()
+            return column.to_numpy(zero_copy_only=False).tolist()
+
         def flush() -> pa.RecordBatch:
             done = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
             out.clear()
             return done
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in zip(*map(listed, batch.columns)):
                 if row[0] != group:
                     out.extend(ended())
                     group, state, waiting = row[0], Group(), []
@@ -228,15 +234,19 @@ def _fold() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     return run
 
 
-def _link_keys(both: DataFrame) -> DataFrame:
-    """node, key: hashes of what ties rows that can meet; a clash of hashes only makes a group larger."""
+def _link_keys(both: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """node, key: hashes of what ties rows that can meet; a clash of hashes only makes a group larger.
+
+    Ids of several companies and their URLs are written, as they are most often few: then
+    neither is found anew for each use of the keys, nor are all URLs shuffled to meet them.
+    """
     hashed = lambda *c: F.when(F.greatest(*(F.col(x).isNull().cast("int") for x in c), F.lit(0)) == 0, F.xxhash64(*c))
     own = both.select("node", F.explode(F.array(*map(hashed, ("id_key", "requisition_key", "title_key")))).alias("key"))
     url = F.explode(F.array_distinct(F.array("official_key", "source_key", "other_key", "direct_key"))).alias("url")
     urls = both.select("node", "company", "id_key", url).where("url IS NOT NULL")
     ids = both.where("id_key IS NOT NULL").groupBy("id_key").agg(F.min("company").alias("low"), F.max("company").alias("high"), F.count_if(F.col("company").isNull()).alias("none"))
-    mixed = ids.where("low < high OR (none > 0 AND low IS NOT NULL)").select("id_key")
-    loose = urls.join(mixed, "id_key", "left_semi").select("url").distinct()
+    mixed = cut(ids.where("low < high OR (none > 0 AND low IS NOT NULL)").select("id_key"))
+    loose = cut(urls.join(mixed, "id_key", "left_semi").select("url").distinct())
     within = urls.where("company IS NOT NULL").select("node", hashed("company", "url").alias("key"))
     return own.where("key IS NOT NULL").unionByName(within).unionByName(urls.join(loose, "url", "left_semi").select("node", hashed("url").alias("key")))
 
@@ -252,7 +262,7 @@ def ingest(jobs: DataFrame, sightings: DataFrame, seq: str, cut: Callable[[DataF
     """
     both = cut(_keyed(_told(jobs, True, "job_id").unionByName(_told(sightings, False, seq))))
     node = (F.col("seq") * 2 + F.when(F.col("known"), 0).otherwise(1)).alias("node")
-    groups = linked_roots(_link_keys(both.withColumn("node", node)), cut)
+    groups = linked_roots(_link_keys(both.withColumn("node", node), cut), cut)
     sent = both.withColumn("node", node).join(groups, "node", "left").withColumn("fold_group", F.coalesce("root", "node")).select(_SENT)
     ordered = sent.repartition("fold_group").sortWithinPartitions("fold_group", F.desc("known"), "seq")
     done = cut(ordered.mapInArrow(_fold(), _OUT))
